@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, language_id, mixing, quality
 
-MODULES = (mixing, exact_dedup)
+MODULES = (mixing, exact_dedup, language_id, quality)
 
 
 def queries() -> dict:
