@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, quality
+from . import decontamination, exact_dedup, language_id, mixing, quality
 
-MODULES = (mixing, exact_dedup, language_id, quality)
+MODULES = (mixing, exact_dedup, language_id, quality, decontamination)
 
 
 def queries() -> dict:
