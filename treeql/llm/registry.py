@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, mixing, quality
+from . import decontamination, exact_dedup, language_id, mixing, pii, quality
 
-MODULES = (mixing, exact_dedup, language_id, quality, decontamination)
+MODULES = (mixing, exact_dedup, language_id, quality, decontamination, pii)
 
 
 def queries() -> dict:
