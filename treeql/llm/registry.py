@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, mixing, pii, quality
+from . import decontamination, exact_dedup, language_id, mixing, ngram_join, pii, quality
 
-MODULES = (mixing, exact_dedup, language_id, quality, decontamination, pii)
+MODULES = (mixing, exact_dedup, language_id, quality, decontamination, pii, ngram_join)
 
 
 def queries() -> dict:
