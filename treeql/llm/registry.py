@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, mixing, ngram_join, pii, quality
+from . import decontamination, exact_dedup, language_id, mixing, ngram_join, pii, quality, substring_dedup
 
-MODULES = (mixing, exact_dedup, language_id, quality, decontamination, pii, ngram_join)
+MODULES = (mixing, exact_dedup, language_id, quality, decontamination, pii, ngram_join, substring_dedup)
 
 
 def queries() -> dict:
