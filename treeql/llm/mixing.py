@@ -84,7 +84,7 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
-    """Rows (id, source, size, source_size, target, taken) of all documents, and the columns named in `carry`.
+    """Rows (id, source, size, source_size, target, taken) of all documents, and the struct `row` of the columns `carry`.
 
     `carry` columns are read in a second pass over `docs`; without them the texts are read once.
     """
@@ -93,9 +93,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, id_co
     sizes = materialise(docs.select(F.col(id_col).alias("id"), source, *[c.alias(k) for k, c in measured.items()]), "mix-sizes")
     targets = materialise(source_targets(sizes, weights, cap), "mix-targets")
     cuts = small_side(materialise(thresholds(sizes, targets), "mix-cuts")).withColumnRenamed("source", "s")
-    rows = docs.select(F.col(id_col).alias("id"), source, *[c.alias(k) for k, c in measured.items()], F.struct(*carry).alias("rest_of_row")) if carry else sizes
+    rows = docs.select(F.col(id_col).alias("id"), source, *[c.alias(k) for k, c in measured.items()], F.struct(*carry).alias("row")) if carry else sizes
     taken = F.col("size") * (F.col("repeats") + (F.col("hash") < F.col("below")).cast("long"))
-    out = rows.join(cuts, rows["source"].eqNullSafe(cuts["s"])).select(F.col("id").alias(id_col), rows["source"], "size", "source_size", "target", taken.alias("taken"), *(["rest_of_row"] if carry else []))
+    out = rows.join(cuts, rows["source"].eqNullSafe(cuts["s"])).select(F.col("id").alias(id_col), rows["source"], "size", "source_size", "target", taken.alias("taken"), *(["row"] if carry else []))
     return out
 
 

@@ -270,6 +270,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, all columns, without those that another row of their group stands for: the smallest identifier stays.
+
+    Only the identifiers that go meet the documents. Rows without n-grams stay, as do rows without identifier.
+    """
+    grouped = ngram_join(docs, id_col, text_col, **options)
+    gone = materialise(grouped.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__gone")).distinct(), "ngram-gone")
+    return docs.join(small_side(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+
+
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Every document's group of near copies and its number of links."""
     return ngram_join(read_table(spark, sf_dir, "documents"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, html_extraction, language_id, mixing, ngram_join, pii, quality, substring_dedup
+from . import decontamination, exact_dedup, html_extraction, language_id, mixing, ngram_join, pii, quality, substring_dedup, token_counts
 
-MODULES = (mixing, exact_dedup, language_id, quality, decontamination, html_extraction, pii, substring_dedup, ngram_join)
+MODULES = (mixing, exact_dedup, language_id, token_counts, quality, decontamination, html_extraction, pii, substring_dedup, ngram_join)
 
 
 def queries() -> dict:
