@@ -94,7 +94,8 @@ class Page:
         for k in range(len(self._stack) - 1, 0, -1):
             tag = self._stack[k][0]
             if tag in wanted:
-                self._flush()
+                if any(t in BLOCK for t, _ in self._stack[k:]):
+                    self._flush()
                 for t, _ in self._stack[k:]:
                     self._open[t] -= 1
                 del self._stack[k:]
