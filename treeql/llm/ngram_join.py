@@ -245,7 +245,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a band's hash holds its number already
     banded = classes.select("rep", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("band", "least")
-    meet = banded.join(small_side(materialise(buckets, "ngram-buckets")), "band").where("rep > least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
+    met = banded.join(small_side(materialise(buckets, "ngram-buckets")), "band").where("rep > least")
+    # a document is linked to the least of its smallest members, and these to that one: as connected, with far fewer links
+    met = met.groupBy("rep").agg(F.min("least").alias("low"), F.collect_set("least").alias("others"))
+    links = F.expr("concat(array(struct(rep as a, low as b)), transform(filter(others, x -> x <> low), x -> struct(x as a, low as b)))")
+    meet = met.select(F.explode(links).alias("l")).select("l.*").distinct()
     clusters = components(meet)
     members = materialise(clusters.join(classes.drop("bands"), F.col("node") == F.col("rep")).select(F.col("root").alias("cluster"), "rep", "size", "n", "k1", "k2"), "ngram-members")
     volume = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS), F.lit(1)).cast("int").alias("blocks"))
