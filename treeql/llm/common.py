@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,5 +45,16 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(pieces - ends).cast("long")
 
 
+def text_slices(batch, of, rows: int = 512):
+    """Slices of an Arrow batch of at most `rows` rows, with their texts as bytes; `of` takes the column of texts from a slice.
+
+    Only one slice's texts are Python objects at a time, and what Arrow has freed goes back to the system.
+    """
+    for start in range(0, len(batch), rows):
+        piece = batch.slice(start, rows)
+        yield piece, [t.encode() if isinstance(t, str) else t or b"" for t in of(piece).to_pylist()]
+    pa.default_memory_pool().release_unused()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

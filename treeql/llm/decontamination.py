@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, text_slices
 
 ERROR_RATE = 0.08
 BLOCK_CHARS = 4_000_000
@@ -157,19 +157,22 @@ def _detect(shared, error_rate: float):
     def run(batches):
         matcher = Matcher(shared.value, error_rate)
         for batch in batches:
-            out = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in matcher.find(text or "")]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) if j else pa.array(c, batch.schema.types[0]) for j, c in enumerate(zip(*out))], names=["id", "item", "distance", "start", "end"])
+            for piece, texts in text_slices(batch, lambda x: x.column(1)):
+                out = [(doc, *hit) for doc, text in zip(piece.column(0).to_pylist(), texts) for hit in matcher.find(text.decode())]
+                if out:
+                    kinds = [batch.schema.types[0], *[pa.int64()] * 4]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["id", "item", "distance", "start", "end"])
 
     return run
 
 
-def _keep_clean(shared, error_rate: float):
+def _keep_clean(shared, error_rate: float, text_col: str):
     def run(batches):
         matcher = Matcher(shared.value, error_rate)
         for batch in batches:
-            clean = [next(matcher.find(text or ""), None) is None for text in batch.column("__text").to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            for piece, texts in text_slices(batch, lambda x: x.column(0).field(text_col)):
+                clean = [next(matcher.find(text.decode()), None) is None for text in texts]
+                yield piece.filter(pa.array(clean, pa.bool_()))
 
     return run
 
@@ -192,9 +195,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of `docs`, all columns, that hold no item."""
     spark, columns = docs.sparkSession, docs.columns
-    rows = docs.select(F.struct(*columns).alias("__row"), F.col(text_col).alias("__text"))
+    rows = docs.select(F.struct(*columns).alias("__row"))
     for block in blocks(benchmark, item_col, item_text_col, block_chars):
-        rows = rows.mapInArrow(_keep_clean(spark.sparkContext.broadcast(block), error_rate), rows.schema)
+        rows = rows.mapInArrow(_keep_clean(spark.sparkContext.broadcast(block), error_rate, text_col), rows.schema)
     return rows.select("__row.*")
 
 

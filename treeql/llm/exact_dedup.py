@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, small_side
+from .common import materialise, read_table, small_side, text_slices
 
 TRIE_BYTES = 64 << 20
 _HEADER, _HEADER_SIZE = ">qQ", 16
@@ -141,11 +141,12 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 8 << 20) -> I
 def _insert_all(batches, trie: PatriciaTrie) -> Iterator[bytes]:
     """Insert each row; gives its header after each."""
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(6)]
-        for size, chash, body, best, ties, n in zip(*columns):
-            header = struct.pack(_HEADER, size, chash & 0xFFFFFFFFFFFFFFFF)
-            trie.insert(header + body, [best, ties, n])
-            yield header
+        for piece, bodies in text_slices(batch, lambda x: x.column(2)):
+            size, chash, best, ties, n = (piece.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
+            for k, body in enumerate(bodies):
+                header = struct.pack(_HEADER, size[k], chash[k] & 0xFFFFFFFFFFFFFFFF)
+                trie.insert(header + body, [best[k], ties[k], n[k]])
+                yield header
 
 
 def _share(largest: bool, budget: int):

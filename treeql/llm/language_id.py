@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, text_slices
 from .quality import in_fold
 
 MAX_TRAIN_ROWS = 20_000
@@ -102,18 +102,12 @@ class Model:
         return p.argmax(1), top[:, -1], top[:, -1] - top[:, -2] < MARGIN
 
 
-def _in_pieces(batch, at: int, most: int = 256):
-    for start in range(0, len(batch), most):
-        piece = batch.slice(start, most)
-        yield piece, [t or b"" for t in piece.column(at).to_pylist()]
-
-
 def _sum_shares(batches):
     """For each language the sum of its texts' shares, and their number under bucket -1."""
     sums: dict[str, np.ndarray] = {}
     rows: dict[str, int] = {}
     for batch in batches:
-        for piece, texts in _in_pieces(batch, 1):
+        for piece, texts in text_slices(batch, lambda x: x.column(1), 256):
             x = shares(texts)
             for i, lang in enumerate(piece.column(0).to_pylist()):
                 sums.setdefault(lang, np.zeros(BUCKETS))
@@ -131,7 +125,7 @@ def _bit_margins(weights: np.ndarray, code: np.ndarray, languages: list[str]):
         bits = code.shape[1]
         sums = np.zeros((2, bits, 3))
         for batch in batches:
-            for piece, texts in _in_pieces(batch, 1):
+            for piece, texts in text_slices(batch, lambda x: x.column(1), 256):
                 raw = shares(texts) @ weights
                 own = code[[place[x] for x in piece.column(0).to_pylist()]]
                 for side in (0, 1):
@@ -179,17 +173,18 @@ def train(rows: DataFrame) -> Model | None:
     return Model(languages, code, weights, centre, 4 / apart, trust * bits / trust.sum() if bits else trust)
 
 
-def _predict(model: Model | None):
+def _predict(model: Model | None, of):
     def run(batches):
         for batch in batches:
-            for piece, texts in _in_pieces(batch, 2):
+            for piece, texts in text_slices(batch, of, 256):
                 letters = np.asarray(piece.column(1).to_pylist(), dtype=bool)
                 langs, scores, flags = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts)), np.zeros(len(texts), bool)
                 if model and letters.any():
                     who, score, flag = model.decode(shares([t for t, has in zip(texts, letters) if has]))
                     langs[letters], scores[letters], flags[letters] = np.array(model.languages, dtype=object)[who], score, flag
                 columns = [piece.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns + [piece.column(i) for i in range(3, piece.num_columns)], names=["id", "lang_pred", "score", "ambiguous", *piece.schema.names[3:]])
+                rest = [c for c in piece.schema.names if c == "row"]
+                yield pa.RecordBatch.from_arrays(columns + [piece.column(c) for c in rest], names=["id", "lang_pred", "score", "ambiguous", *rest])
 
     return run
 
@@ -205,9 +200,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = train(known.select("lang", "text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), text.cast("binary").alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
+    # a carried row holds the text already
+    inside = text_col in carry
+    more = ([] if inside else [text.cast("binary").alias("text")]) + ([F.struct(*carry).alias("row")] if carry else [])
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), *more)
     kind = f"id {id_type}, lang_pred string, score double, ambiguous boolean" + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else "")
-    scored = rows.mapInArrow(_predict(model), kind)
+    scored = rows.mapInArrow(_predict(model, (lambda x: x.column("row").field(text_col)) if inside else (lambda x: x.column("text"))), kind)
     return scored.select(F.col("id").alias(id_col), in_fold("id", HELD_OUT_OF, HELD_OUT).alias("held_out"), "lang_pred", "score", "ambiguous", *(["row"] if carry else []))
 
 

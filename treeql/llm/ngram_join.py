@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, small_side
+from .common import materialise, read_table, small_side, text_slices
 from .tokens import mix, runs, word_hashes
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 360
@@ -81,21 +81,10 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return mix(out + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
-def _pieces(batch, at: int, most: int = 2 << 20):
-    """Slices of a batch with about `most` bytes of text each, and the texts."""
-    texts = [t or b"" for t in batch.column(at).to_pylist()]
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most or i == len(texts) - 1:
-            yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-            start, size = i + 1, 0
-
-
 def _signatures(n: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
-            for piece, texts in _pieces(batch, 1):
+            for piece, texts in text_slices(batch, lambda x: x.column(1)):
                 sets = gram_sets(texts, n)
                 sizes = np.array([len(s) for s in sets])
                 keys = set_keys(sets)
@@ -111,7 +100,7 @@ def _signatures(n: int, bands: int, rows: int):
 def _sets(n: int):
     def run(batches):
         for batch in batches:
-            for piece, texts in _pieces(batch, 1):
+            for piece, texts in text_slices(batch, lambda x: x.column(1)):
                 sets = gram_sets(texts, n)
                 keys = set_keys(sets)
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))

@@ -61,10 +61,13 @@ def with_matches(df: DataFrame, name: str, body: str, pattern: str, test: str =
     each = f"struct(a.at + x.gap + length(x.value) as at, concat(a.found, array(struct(a.at + x.gap as start, x.value as value))) as found)"
     place = f"transform(sequence(0, (size({z}) - 1) div {BLOCK}), k -> aggregate(slice({z}, cast(k * {BLOCK} + 1 as int), {BLOCK}), struct(0L as at, {empty} as found), (a, x) -> {each}))"
     df = df.withColumn(b, F.expr(f"case when size({z}) > 0 then {place} end"))
-    shift = f"aggregate(slice({b}, 1, i), 0L, (s, y) -> s + y.at)"
-    whole = f"flatten(transform({b}, (k, i) -> transform(k.found, (x, j) -> struct(x.start + {shift} as start, x.value as value))))"
+    # running sums of the blocks' lengths, one for each block
+    o = f"__o_{name}"
+    sums = f"aggregate({b}, struct(0L as at, array(0L) as sums), (s, y) -> struct(s.at + y.at as at, concat(s.sums, array(s.at + y.at)) as sums)).sums"
+    df = df.withColumn(o, F.expr(f"case when size({b}) > 1 then {sums} end"))
+    whole = f"flatten(transform({b}, (k, i) -> transform(k.found, x -> struct(x.start + {o}[i] as start, x.value as value))))"
     first = f"{b}[0].found"
-    return df.withColumn(name, F.expr(f"case when size({b}) = 1 then {first} when size({b}) > 1 then {whole} else {empty} end")).drop(m, z, b)
+    return df.withColumn(name, F.expr(f"case when size({b}) = 1 then {first} when size({b}) > 1 then {whole} else {empty} end")).drop(m, z, b, o)
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import materialise, read_table, small_side
+from .common import materialise, read_table, small_side, text_slices
 
 MAX_TRAIN_ROWS = 30_000
 HELD_OUT_OF = 5
@@ -77,10 +77,10 @@ def statistics(texts: list[bytes]) -> np.ndarray:
 
 def _measure(batches):
     for batch in batches:
-        rows = statistics([t or b"" for t in batch.column(1).to_pylist()])
-        values = pa.array(rows.reshape(-1), pa.float32())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, WIDTH), pa.int32()), values)
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "stats"])
+        for piece, texts in text_slices(batch, lambda x: x.column(1)):
+            values = pa.array(statistics(texts).reshape(-1), pa.float32())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, WIDTH), pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([piece.column(0), lists], names=["id", "stats"])
 
 
 def _score(model: gbt.Trees):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, small_side
+from .common import materialise, read_table, small_side, text_slices
 from .tokens import mix, word_hashes
 
 WINDOW, ROUNDS, LEAST = 35, 5, 6
@@ -155,20 +155,10 @@ def segments(texts: list[bytes], window: int = WINDOW):
     return (text, name[a].view(np.int64), whole.view(np.int64), a - first[text], b - first[text]), words, first
 
 
-def _pieces(batch, column: str, most: int = 2 << 20):
-    texts = [t or b"" for t in batch.column(column).to_pylist()]
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most or i == len(texts) - 1:
-            yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-            start, size = i + 1, 0
-
-
 def _find(window: int):
     def run(batches):
         for batch in batches:
-            for piece, texts in _pieces(batch, "text"):
+            for piece, texts in text_slices(batch, lambda x: x.column("text")):
                 (text, anchor, whole, a, b), _, _ = segments(texts, window)
                 take = pa.array(text)
                 yield pa.RecordBatch.from_arrays([piece.column("id").take(take), piece.column("text_hash").take(take), pa.array(anchor), pa.array(whole), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["id", "text_hash", "anchor", "whole", "a", "b"])
@@ -181,7 +171,7 @@ def _windows(window: int):
 
     def run(batches):
         for batch in batches:
-            for piece, texts in _pieces(batch, "text"):
+            for piece, texts in text_slices(batch, lambda x: x.column("text")):
                 words, _, first, _, _ = _laid_out(texts, window)
                 one, two = _prefix(words, _C1), _prefix(words, _C2)
                 lists = piece.column("at").to_pylist()
@@ -204,26 +194,26 @@ def _cut(window: int):
 
     def run(batches):
         for batch in batches:
-            n, removed, digest, kept = [], [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                words = _WORD.findall(text or b"")
-                n.append(len(words))
-                if spans:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    for x in spans:
-                        edge[x["a"]] += 1
-                        edge[x["b"] + window] -= 1
-                    keep = np.cumsum(edge)[:-1] == 0
-                    words = [words[i] for i in np.flatnonzero(keep)]
-                removed.append(n[-1] - len(words))
-                body = b" ".join(words)
-                digest.append(hashlib.sha256(body).hexdigest())
-                kept.append(body.decode("utf-8", "replace") if "want_text" in batch.schema.names else None)
-            columns = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
-            names = ["n_words", "n_removed", "kept_sha256"]
-            if "want_text" in batch.schema.names:
-                columns, names = [*columns, pa.array(kept, pa.string())], [*names, "kept_text"]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", *names])
+            with_text = "want_text" in batch.schema.names
+            for piece, texts in text_slices(batch, lambda x: x.column("text")):
+                n, removed, digest, kept = [], [], [], []
+                for text, spans in zip(texts, piece.column("spans").to_pylist()):
+                    words = _WORD.findall(text)
+                    n.append(len(words))
+                    if spans:
+                        edge = np.zeros(len(words) + 1, np.int64)
+                        for x in spans:
+                            edge[x["a"]] += 1
+                            edge[x["b"] + window] -= 1
+                        words = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
+                    removed.append(n[-1] - len(words))
+                    body = b" ".join(words)
+                    digest.append(hashlib.sha256(body).hexdigest())
+                    kept.append(body.decode("utf-8", "replace") if with_text else None)
+                columns = {"id": piece.column("id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+                if with_text:
+                    columns["kept_text"] = pa.array(kept, pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 

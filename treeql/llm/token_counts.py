@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, read_table, text_slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed values of that vocabulary: its splitting pattern, and the free identifier that ends documents.
@@ -68,14 +68,15 @@ def _lay_out(name: str, shared, end: int, dtype: str, block_tokens: int):
             blocks += n
 
         for batch in batches:
-            ids = batch.column(0)
-            for text in batch.column(1).to_pylist():
-                tokens = encoder.encode_ordinary(text or "")
-                tokens.append(end)
-                held.append(np.array(tokens, dtype))
-                size += len(tokens)
+            for _, texts in text_slices(batch, lambda x: x.column(1)):
+                for text in texts:
+                    tokens = encoder.encode_ordinary(text.decode())
+                    tokens.append(end)
+                    held.append(np.array(tokens, dtype))
+                    size += len(tokens)
                 if size * width >= 8 << 20:
                     yield from cut(False)
+            ids = batch.column(0)
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.array(range(documents, documents + n), pa.int64()), ids.cast(pa.int64()), pa.nulls(n, pa.binary())], schema=_LAID)
             documents += n
