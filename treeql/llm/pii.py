@@ -50,24 +50,28 @@ _VALID = {
 _FOUND = "array<struct<start:bigint,value:string>>"
 
 
+def _let(value: str, name: str, then: str) -> str:
+    """SQL for `then` with `name` bound to `value`."""
+    return f"transform(array({value}), {name} -> {then})[0]"
+
+
 def with_matches(df: DataFrame, name: str, body: str, pattern: str, test: str = "true") -> DataFrame:
     """`df` with `name`: the matches of `pattern` in column `body` as array of (start, value), in code points."""
     p = F.lit(pattern)
     m, z, b = f"__m_{name}", f"__z_{name}", f"__b_{name}"
     empty = f"cast(array() as {_FOUND})"
     df = df.withColumn(m, F.when(F.expr(test), F.regexp_extract_all(F.col(body), p, F.lit(0))))
-    df = df.withColumn(z, F.when(F.size(m) > 0, F.split(F.col(body), pattern, -1)))
-    df = df.withColumn(z, F.expr(f"transform({m}, (v, i) -> struct(cast(length({z}[i]) as bigint) as gap, v as value))"))
-    each = f"struct(a.at + x.gap + length(x.value) as at, concat(a.found, array(struct(a.at + x.gap as start, x.value as value))) as found)"
-    place = f"transform(sequence(0, (size({z}) - 1) div {BLOCK}), k -> aggregate(slice({z}, cast(k * {BLOCK} + 1 as int), {BLOCK}), struct(0L as at, {empty} as found), (a, x) -> {each}))"
+    # the optimiser may move a column's expression into a lambda, to be run for each element: _let binds its value once
+    gaps = F.slice(F.split(F.col(body), pattern, -1), 1, F.size(m))
+    df = df.withColumn(z, F.when(F.size(m) > 0, F.zip_with(m, gaps, lambda v, g: F.struct(F.length(g).cast("long").alias("gap"), v.alias("value")))))
+    each = "struct(a.at + x.gap + length(x.value) as at, concat(a.found, array(struct(a.at + x.gap as start, x.value as value))) as found)"
+    place = _let(z, "zz", f"transform(sequence(0, (size(zz) - 1) div {BLOCK}), k -> aggregate(slice(zz, cast(k * {BLOCK} + 1 as int), {BLOCK}), struct(0L as at, {empty} as found), (a, x) -> {each}))")
     df = df.withColumn(b, F.expr(f"case when size({z}) > 0 then {place} end"))
     # running sums of the blocks' lengths, one for each block
-    o = f"__o_{name}"
-    sums = f"aggregate({b}, struct(0L as at, array(0L) as sums), (s, y) -> struct(s.at + y.at as at, concat(s.sums, array(s.at + y.at)) as sums)).sums"
-    df = df.withColumn(o, F.expr(f"case when size({b}) > 1 then {sums} end"))
-    whole = f"flatten(transform({b}, (k, i) -> transform(k.found, x -> struct(x.start + {o}[i] as start, x.value as value))))"
-    first = f"{b}[0].found"
-    return df.withColumn(name, F.expr(f"case when size({b}) = 1 then {first} when size({b}) > 1 then {whole} else {empty} end")).drop(m, z, b, o)
+    sums = "aggregate(bb, struct(0L as at, array(0L) as sums), (s, y) -> struct(s.at + y.at as at, concat(s.sums, array(s.at + y.at)) as sums)).sums"
+    moved = "flatten(transform(bb, (k, i) -> transform(k.found, x -> struct(x.start + oo[i] as start, x.value as value))))"
+    whole = _let(b, "bb", _let(sums, "oo", moved))
+    return df.withColumn(name, F.expr(f"case when size({b}) > 0 then {whole} else {empty} end")).drop(m, z, b)
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -172,7 +176,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     names = "array({})".format(", ".join(f"'[{k.upper()}]'" for k in KINDS))
     gap = "substring(body, cast(case when i = 0 then 1 else s[i - 1].end + 1 end as int), cast(x.start - case when i = 0 then 0 else s[i - 1].end end as int))"
     put = f"case when x.rank = 4 and x.share >= {REMOVE_AT} then '' else {names}[x.rank] end"
-    text = F.expr(f"case when size(s) = 0 or body is null then body else concat(array_join(transform(s, (x, i) -> concat({gap}, {put})), ''), substring(body, cast(s[size(s) - 1].end + 1 as int))) end")
+    joined = f"concat(array_join(transform(s, (x, i) -> concat({gap}, {put})), ''), substring(body, cast(s[size(s) - 1].end + 1 as int)))"
+    text = F.expr(f"case when size(s) = 0 or body is null then body else {_let('s', 's', joined)} end")
     return found.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns])
 
 
