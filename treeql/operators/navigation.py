@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SIBLINGS = Window.partitionBy("doc_id", "parent_id").orderBy("child_index")
+
+
+def _siblings():
+    return Window.partitionBy("doc_id", "parent_id").orderBy("child_index")
 
 
 def roots(nodes: DataFrame) -> DataFrame:
@@ -36,7 +39,7 @@ def siblings(nodes: DataFrame) -> DataFrame:
     """`nodes` with next_id and prev_id, and the same among named siblings."""
     named = Window.partitionBy("doc_id", "parent_id", "is_named").orderBy("child_index")
     step = lambda f, w: F.when(F.col("parent_id").isNotNull(), f("node_id").over(w))
-    return nodes.withColumns({"next_id": step(F.lead, SIBLINGS), "prev_id": step(F.lag, SIBLINGS), "next_named_id": F.when(F.col("is_named"), step(F.lead, named)), "prev_named_id": F.when(F.col("is_named"), step(F.lag, named))})
+    return nodes.withColumns({"next_id": step(F.lead, _siblings()), "prev_id": step(F.lag, _siblings()), "next_named_id": F.when(F.col("is_named"), step(F.lead, named)), "prev_named_id": F.when(F.col("is_named"), step(F.lag, named))})
 
 
 def children(nodes: DataFrame) -> DataFrame:

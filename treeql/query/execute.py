@@ -64,7 +64,9 @@ def run_query(nodes: DataFrame, query: str | Query, **options) -> DataFrame:
         if rows:
             yield _batch(rows)
 
-    return nodes.select(*_USED).repartition("doc_id").sortWithinPartitions("doc_id", "node_id").mapInArrow(match, MATCHES)
+    # by a hash of its own: Spark may drop an exchange by the bare key above a union that seems to have that partitioning, and then read the union's
+    # inputs as they lie
+    return nodes.select(*_USED).repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "node_id").mapInArrow(match, MATCHES)
 
 
 def query_sources(docs: DataFrame, parse: Callable[[bytes], Tree], query: str | Query, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
