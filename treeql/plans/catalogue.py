@@ -278,3 +278,90 @@ def calc_eval(spark, sf_dir):
     numbers = nodes.where("type = 'number'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node_id", F.col("text").cast("long").alias("v")))).alias("v"))
     ops = nodes.where("type in ('+', '-', '*', '/') and field = 'operator'").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "type"))), lambda x: x["type"]), "").alias("ops"))
     return numbers.join(ops, "doc_id").where("ops = '-*'").select("doc_id", (F.col("v")[0]["v"] * F.col("v")[1]["v"] - F.col("v")[2]["v"]).alias("value"))
+
+
+# markup and code
+
+
+def _html(spark, sf_dir):
+    from ..grammar.html import parse_html
+
+    return parse(table(spark, sf_dir, "pages"), parse_html, "page_id", "html")
+
+
+@query("html_elements", "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS paragraphs, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS items FROM pages", forest=False)
+def html_elements(spark, sf_dir):
+    found = execute(_html(spark, sf_dir), "(element (start_tag name: (tag_name) @t))")
+    name = F.col("captures")[0]["text"]
+    return found.groupBy("doc_id").agg(F.count_if(name == "p").alias("paragraphs"), F.count_if(name == "li").alias("items"))
+
+
+@query("html_injections", "SELECT page_id AS doc_id, 'javascript' AS language, regexp_extract(html, '<script>(.*?)</script>', 1) AS text FROM pages UNION ALL SELECT page_id, 'css', regexp_extract(html, '<style>(.*?)</style>', 1) FROM pages", forest=False)
+def html_injections(spark, sf_dir):
+    from ..operators.code import injection_query
+
+    q = '((script_element (raw_text) @injection.content) (#set! injection.language "javascript"))\n((style_element (raw_text) @injection.content) (#set! injection.language "css"))'
+    return injection_query(_html(spark, sf_dir), q).select("doc_id", "language", "text")
+
+
+def _snippets(spark, sf_dir):
+    """A small program for each part, with names and numbers of the part."""
+    part = table(spark, sf_dir, "part")
+    text = F.format_string('import "m%d";\nfun f%d(a, b) { if (a > %d) { print g(b); } return a * %d; } // %s\nvar v = f%d(1, "%s");', F.col("p_partkey") % 9, "p_partkey", "p_size", "p_size", "p_brand", "p_partkey", "p_type")
+    return part.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+
+
+@query("code_tags", "SELECT p_partkey AS doc_id, 'definition.function' AS kind, 'f' || p_partkey AS name FROM part UNION ALL SELECT p_partkey, 'definition.variable', 'v' FROM part UNION ALL SELECT p_partkey, 'reference.call', unnest(['g', 'f' || p_partkey]) FROM part", forest=False)
+def code_tags(spark, sf_dir):
+    from ..grammar.samples import language
+    from ..operators.code import infer_tags_query, tags
+
+    return tags(execute(parse(_snippets(spark, sf_dir), "lox"), infer_tags_query(language("lox")))).select("doc_id", "kind", "name")
+
+
+@query("code_grep", "SELECT p_partkey AS doc_id, 'f' || p_partkey AS fn FROM part WHERE contains('f' || p_partkey, '1')", forest=False)
+def code_grep(spark, sf_dir):
+    from ..grep.search import grep
+
+    return grep(_snippets(spark, sf_dir), 'find lox::$F(1, $X) where { contains($F, "1") }').select("doc_id", F.col("captures")["F"].alias("fn"))
+
+
+@query("code_rewrite", "SELECT p_partkey AS doc_id, 'import \"m' || (p_partkey % 9) || '\";' || chr(10) || 'fun f' || p_partkey || '(a, b) { if (a > ' || p_size || ') { print log(b); } return a * ' || p_size || '; } // ' || p_brand || chr(10) || 'var v = f' || p_partkey || '(1, \"' || p_type || '\");' AS text FROM part", forest=False)
+def code_rewrite(spark, sf_dir):
+    from ..grep.search import grep_replace
+
+    return grep_replace(_snippets(spark, sf_dir), "find lox::g($X) replace { log($X) }").select("doc_id", "text")
+
+
+@query("code_highlights", "SELECT p_partkey AS doc_id, 'comment' AS capture, CAST(3 + strlen(p_brand) AS BIGINT) AS bytes FROM part UNION ALL SELECT p_partkey, 'string', CAST(2 + strlen('m' || (p_partkey % 9)) + 2 + strlen(p_type) AS BIGINT) FROM part", forest=False)
+def code_highlights(spark, sf_dir):
+    from ..grammar.samples import lox_grammar
+    from ..operators.code import highlight, infer_highlight_query
+
+    flat = highlight(parse(_snippets(spark, sf_dir), "lox"), infer_highlight_query(lox_grammar()))
+    return flat.where("capture in ('comment', 'string')").groupBy("doc_id", "capture").agg(F.sum(F.col("end_byte") - F.col("start_byte")).cast("long").alias("bytes"))
+
+
+@query("import_rows", "SELECT p_partkey AS doc_id, 'import' AS kind, 'pkg' || p_size || '.mod' AS path, 'm' AS alias FROM part UNION ALL SELECT p_partkey, 'from', 'base.n' || p_size, '' FROM part", forest=False)
+def import_rows(spark, sf_dir):
+    from ..operators.imports import extract_imports
+
+    part = table(spark, sf_dir, "part")
+    text = F.format_string('"""import no"""\nimport pkg%d.mod as m  # import not\nfrom base import (\n  n%d,\n)\n', "p_size", "p_size")
+    docs = part.select(F.col("p_partkey").alias("doc_id"), F.lit("python").alias("lang"), text.alias("text"))
+    return extract_imports(docs).select("doc_id", "kind", "path", "alias")
+
+
+@query("edit_stream_final", "SELECT user_id AS doc_id, CAST(count(*) AS BIGINT) AS n_edits, string_agg(event_type || ';', '' ORDER BY event_id DESC) AS text FROM events GROUP BY 1", forest=False)
+def edit_stream_final(spark, sf_dir):
+    from ..streaming.edits import final_texts
+
+    edits = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("version"), F.lit(0).alias("start_byte"), F.lit(0).alias("old_end_byte"), F.concat("event_type", F.lit(";")).alias("new_text"))
+    return final_texts(edits).select("doc_id", F.col("n_edits").cast("long").alias("n_edits"), "text")
+
+
+@query("language_support", forest=False)
+def language_support(spark, sf_dir):
+    from ..sources.languages import support
+
+    return support(spark)
