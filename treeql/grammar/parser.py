@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import regex
+
 from ..tree import Node, Tree
 from .compiler import END, Language
 
@@ -38,9 +40,9 @@ class Parser:
 
     def __init__(self, language: Language, max_stacks: int = MAX_STACKS):
         self.language, self.max_stacks = language, max_stacks
-        self._by_state: dict[int, list] = {}
         self._all = self._ordered(set(language.terminals))
         self._extras = [language.terminals[x] for x in language.extras]
+        self._by_byte: dict[tuple[int, int], tuple[list, list]] = {}
 
     def _ordered(self, names: set[str]) -> list:
         return sorted((self.language.terminals[n] for n in names if n in self.language.terminals), key=lambda t: (-t.level, not t.is_string, t.order))
@@ -55,16 +57,29 @@ class Parser:
                 best, end = t, m.end()
         return best, end
 
+    @staticmethod
+    def _may_start(terminal, byte: int) -> bool:
+        """Whether some text that begins with a byte may match."""
+        return regex.compile(terminal.regex.pattern).match(bytes([byte]), partial=True) is not None
+
+    def _candidates(self, state: int, byte: int) -> tuple[list, list]:
+        """A state's terminals and the extras that may start with a byte (-1: the end of the text)."""
+        found = self._by_byte.get((state, byte))
+        if found is None:
+            wanted = self._ordered(set(self.language.actions[state]))
+            may = (lambda t: self._may_start(t, byte)) if byte >= 0 else (lambda t: False)
+            found = self._by_byte[state, byte] = [t for t in wanted if may(t)], [t for t in self._extras if may(t)]
+        return found
+
     def lex(self, state: int, source: bytes, at: int) -> Iterator[Token]:
         """Extras in front of a state's next token, then the token itself (END at the end, an empty name if nothing fits)."""
-        wanted = self._by_state.get(state)
-        if wanted is None:
-            wanted = self._by_state[state] = self._ordered(set(self.language.actions[state]))
-        moved = False
+        moved, size = False, len(source)
         while True:
-            usable = [t for t in wanted if not (moved and t.immediate)]
+            usable, extras = self._candidates(state, source[at] if at < size else -1)
+            if moved:
+                usable = [t for t in usable if not t.immediate]
             best, end = self._longest(usable, source, at)
-            extra, extra_end = self._longest(self._extras, source, at)
+            extra, extra_end = self._longest(extras, source, at) if extras else (None, at)
             if extra and (not best or extra_end > end):
                 if not self.language.hidden(extra.name):
                     yield Token(extra.name, at, extra_end, True)
@@ -92,7 +107,7 @@ class Parser:
         p = self.language.productions[number]
         taken, below, state = [], stack.below, stack.state
         need = len(p.right)
-        while need or (taken and False):
+        while need:
             if below is None:
                 return None
             state, node, below = below
@@ -107,30 +122,38 @@ class Parser:
         return _Stack(stack.at, to, (state, node, below), stack.score + p.dynamic, stack.errors)
 
     def _node(self, p, taken: list[Node], at: int) -> Node:
+        """A production's node. Hidden nodes keep their parts as they are; a visible one takes what they hold, once, so that long repetitions stay linear."""
         parts, children, k = p.right, [], 0
         for n in taken:
-            if n.extra:
-                children.append(n)
-                continue
-            part = parts[k]
-            k += 1
-            hidden = self.language.hidden(n.type) and not part.alias
-            if part.alias:
-                n = self._copy(n, part.alias, part.alias_named)
-            if hidden:
-                for c in n.children:
-                    if part.field and not c.field and not c.extra:
-                        c = self._copy(c, c.type, c.named)
-                        c.field = part.field
-                    children.append(c)
-            else:
-                if part.field:
-                    n = self._copy(n, n.type, n.named)
-                    n.field = part.field
-                children.append(n)
+            if not n.extra:
+                part = parts[k]
+                k += 1
+                if part.alias or part.field:
+                    n = self._copy(n, part.alias or n.type, part.alias_named if part.alias else n.named)
+                    n.field = part.field or n.field
+            children.append(n)
         start, end = (taken[0].start, taken[-1].end) if taken else (at, at)
+        if not self.language.hidden(p.left):
+            children = self.visible(children)
         return Node(p.left, True, start, end, children)
 
+    def visible(self, nodes: list[Node]) -> list[Node]:
+        """`nodes` with hidden ones replaced by what they hold; the field of a hidden node goes to those of its nodes that have none."""
+        if not any(n.type.startswith("_") for n in nodes):
+            return nodes
+        out, stack = [], [(n, None) for n in reversed(nodes)]
+        while stack:
+            n, field_ = stack.pop()
+            if n.type.startswith("_"):
+                stack.extend((c, n.field or field_) for c in reversed(n.children))
+            elif field_ and not n.field and not n.extra:
+                n = self._copy(n, n.type, n.named)
+                n.field = field_
+                out.append(n)
+            else:
+                out.append(n)
+        return out
+
     @staticmethod
     def _copy(n: Node, kind: str, named: bool) -> Node:
         return Node(kind, named, n.start, n.end, n.children, n.field, extra=n.extra, missing=n.missing, error=n.error)
@@ -172,6 +195,22 @@ class Parser:
         for token in self.lex(s.state, source, s.at):
             if token.name in self.language.extras and token.name not in self.language.actions[s.state]:
                 s = self._push_extra(s, Node(token.name, True, token.start, token.end))
+        # most states have one action for a token: follow these without forking
+        now, table = s, self.language.actions
+        for _ in range(10_000):
+            acts = table[now.state].get(token.name)
+            if not acts or len(acts) > 1:
+                break
+            if acts[0][0] == "reduce":
+                reduced = self._reduce(now, acts[0][1])
+                if reduced is None:
+                    break
+                now = reduced
+            elif acts[0][0] == "shift":
+                leaf = Node(token.name, token.named, token.start, token.end)
+                return [_Stack(token.end, acts[0][1], (now.state, leaf, now.below), now.score, now.errors)], None, token, s
+            else:
+                return [], self._root(now, len(source)), token, s
         ready = self._after_reductions(s, token.name)
         for r in ready:
             if ("accept",) in self._actions(r, token.name):
@@ -207,7 +246,7 @@ class Parser:
                 cut.append(node)
                 back = _Stack(s.at, state, below, s.score, s.errors)
                 if self._after_reductions(back, token.name):
-                    inside = [c for n in reversed(cut) for c in (n.children if self.language.hidden(n.type) else [n])]
+                    inside = self.visible(cut[::-1])
                     return self._push_extra(back, Node("ERROR", True, cut[-1].start, cut[0].end, inside, error=True))
         leaf = [Node(token.name, token.named, token.start, token.end)] if token.name and not self.language.hidden(token.name) else []
         if s.below is not None and s.below[1].error and s.below[1].extra and s.below[1].end <= token.start:
@@ -227,7 +266,9 @@ class Parser:
             onward, root, token, s = self._step(s, source)
             if root is not None:
                 return Tree(root, source)
-            if onward:
+            if len(onward) == 1 and not stacks:
+                stacks = onward
+            elif onward:
                 stacks = self._merged(stacks + onward)
             elif not stacks:
                 if token.name == END:
@@ -243,7 +284,7 @@ class Parser:
         while below is not None:
             parts.append(below[1])
             below = below[2]
-        inside = [c for n in reversed(parts) for c in (n.children if self.language.hidden(n.type) else [n])]
+        inside = self.visible(parts[::-1])
         return Tree(Node("ERROR", True, 0, len(source), inside, error=True), source)
 
     def _missing_end(self, s: _Stack) -> _Stack | None:
@@ -263,7 +304,7 @@ class Parser:
             cut.append(node)
             back = _Stack(s.at, state, below, s.score, s.errors + 1)
             if self._after_reductions(back, END):
-                inside = [c for n in reversed(cut) for c in (n.children if self.language.hidden(n.type) else [n])]
+                inside = self.visible(cut[::-1])
                 return self._push_extra(back, Node("ERROR", True, cut[-1].start, cut[0].end, inside, error=True))
         return None
 

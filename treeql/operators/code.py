@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from ..grammar.compiler import Language
 from ..grammar.dsl import Grammar, Rule
 from ..query.compiler import compile_query
-from ..query.execute import capture_rows, execute
+from ..query.execute import capture_rows, query_sources
 from .parse import parse
 from .spans import resolve_highlights
 
 
-def highlight(nodes: DataFrame, query: str) -> DataFrame:
-    """(doc_id, start_byte, end_byte, capture, pattern_index): flattened captures of a highlight query."""
-    rows = capture_rows(execute(nodes, query)).select("doc_id", "start_byte", "end_byte", F.col("name").alias("capture"), "pattern_index", F.col("match_seq").alias("seq"))
+def highlight(matches: DataFrame) -> DataFrame:
+    """(doc_id, start_byte, end_byte, capture, pattern_index): flattened captures of a highlight query's matches."""
+    rows = capture_rows(matches).select("doc_id", "start_byte", "end_byte", F.col("name").alias("capture"), "pattern_index", F.col("match_seq").alias("seq"))
     return resolve_highlights(rows)
 
 
@@ -79,10 +79,11 @@ def injections(matches: DataFrame, set_languages: dict[int, str] | None = None)
     return rows.where("c is not null and language is not null and language <> ''").select("doc_id", "inj_id", "language", F.col("c.start_byte").alias("start_byte"), F.col("c.end_byte").alias("end_byte"), F.col("c.node_id").alias("node_id"), F.col("c.text").alias("text"))
 
 
-def injection_query(nodes: DataFrame, query: str) -> DataFrame:
+def injection_query(docs: DataFrame, lang, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The regions that a query finds in sources, parsed and matched in one pass."""
     compiled = compile_query(query)
     fixed = {i: v[0] for i in range(len(compiled.patterns)) if (v := compiled.set_values(i, "injection.language"))}
-    return injections(execute(nodes, compiled), fixed)
+    return injections(query_sources(docs, lang, compiled, id_col, text_col), fixed)
 
 
 def parse_injections(regions: DataFrame, languages: tuple[str, ...]) -> DataFrame:

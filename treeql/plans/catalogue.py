@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..grammar.html import parse_html
 from ..grep.statement import substitute_column, where_column
 from ..operators import navigation as nav
 from ..operators import spans as sp
@@ -18,7 +19,7 @@ from ..operators.edits import diff_trees, rewrite
 from ..operators.forest import customer_forest
 from ..operators.parse import parse
 from ..query.compiler import compile_query
-from ..query.execute import capture_rows, execute, limited, run_query
+from ..query.execute import capture_rows, execute, limited, query_sources, run_query
 from ..query.relational import query_matches
 from ..sources.languages import detect_language
 
@@ -259,8 +260,7 @@ def detect(spark, sf_dir):
 
 @query("json_pairs", "SELECT event_id AS doc_id, k AS key, json_extract_string(props, '$.\"' || k || '\"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)", forest=False)
 def json_pairs(spark, sf_dir):
-    nodes = parse(table(spark, sf_dir, "events"), "json", "event_id", "props")
-    found = execute(nodes, "(pair key: (string (string_content) @k) value: (number) @v)")
+    found = query_sources(table(spark, sf_dir, "events"), "json", "(pair key: (string (string_content) @k) value: (number) @v)", "event_id", "props")
     return found.select("doc_id", F.col("captures")[0]["text"].alias("key"), F.col("captures")[1]["text"].alias("value"))
 
 
@@ -283,15 +283,9 @@ def calc_eval(spark, sf_dir):
 # markup and code
 
 
-def _html(spark, sf_dir):
-    from ..grammar.html import parse_html
-
-    return parse(table(spark, sf_dir, "pages"), parse_html, "page_id", "html")
-
-
 @query("html_elements", "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS paragraphs, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS items FROM pages", forest=False)
 def html_elements(spark, sf_dir):
-    found = execute(_html(spark, sf_dir), "(element (start_tag name: (tag_name) @t))")
+    found = query_sources(table(spark, sf_dir, "pages"), parse_html, "(element (start_tag name: (tag_name) @t))", "page_id", "html")
     name = F.col("captures")[0]["text"]
     return found.groupBy("doc_id").agg(F.count_if(name == "p").alias("paragraphs"), F.count_if(name == "li").alias("items"))
 
@@ -301,7 +295,7 @@ def html_injections(spark, sf_dir):
     from ..operators.code import injection_query
 
     q = '((script_element (raw_text) @injection.content) (#set! injection.language "javascript"))\n((style_element (raw_text) @injection.content) (#set! injection.language "css"))'
-    return injection_query(_html(spark, sf_dir), q).select("doc_id", "language", "text")
+    return injection_query(table(spark, sf_dir, "pages"), parse_html, q, "page_id", "html").select("doc_id", "language", "text")
 
 
 def _snippets(spark, sf_dir):
@@ -316,7 +310,7 @@ def code_tags(spark, sf_dir):
     from ..grammar.samples import language
     from ..operators.code import infer_tags_query, tags
 
-    return tags(execute(parse(_snippets(spark, sf_dir), "lox"), infer_tags_query(language("lox")))).select("doc_id", "kind", "name")
+    return tags(query_sources(_snippets(spark, sf_dir), "lox", infer_tags_query(language("lox")))).select("doc_id", "kind", "name")
 
 
 @query("code_grep", "SELECT p_partkey AS doc_id, 'f' || p_partkey AS fn FROM part WHERE contains('f' || p_partkey, '1')", forest=False)
@@ -338,7 +332,7 @@ def code_highlights(spark, sf_dir):
     from ..grammar.samples import lox_grammar
     from ..operators.code import highlight, infer_highlight_query
 
-    flat = highlight(parse(_snippets(spark, sf_dir), "lox"), infer_highlight_query(lox_grammar()))
+    flat = highlight(query_sources(_snippets(spark, sf_dir), "lox", infer_highlight_query(lox_grammar())))
     return flat.where("capture in ('comment', 'string')").groupBy("doc_id", "capture").agg(F.sum(F.col("end_byte") - F.col("start_byte")).cast("long").alias("bytes"))
 
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..grammar.samples import parser
 from ..tree import Tree, from_rows
 from .compiler import Query, compile_query
 from .matcher import run
@@ -69,11 +70,12 @@ def run_query(nodes: DataFrame, query: str | Query, **options) -> DataFrame:
     return nodes.select(*_USED).repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "node_id").mapInArrow(match, MATCHES)
 
 
-def query_sources(docs: DataFrame, parse: Callable[[bytes], Tree], query: str | Query, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Parse and match in one pass over texts, without a shuffle and without materialising trees."""
+def query_sources(docs: DataFrame, lang: str | Callable[[bytes], Tree], query: str | Query, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Parse and match in one pass over texts, without a shuffle and without materialising trees: the way to run one query over many sources."""
     query = compile_query(query) if isinstance(query, str) else query
 
     def match(batches):
+        parse = parser(lang).parse if isinstance(lang, str) else lang
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -85,10 +87,14 @@ def query_sources(docs: DataFrame, parse: Callable[[bytes], Tree], query: str |
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(match, MATCHES)
 
 
+#: Queries of more patterns go document by document: each pattern as joins would read `nodes` anew.
+JOINED_PATTERNS = 4
+
+
 def execute(nodes: DataFrame, query: str | Query) -> DataFrame:
     """Definite queries as joins, others by document: rows (doc_id, match_seq, pattern_index, root_id, captures)."""
     query = compile_query(query) if isinstance(query, str) else query
-    if not all(definite(p) for p in query.patterns):
+    if len(query.patterns) > JOINED_PATTERNS or not all(definite(p) for p in query.patterns):
         return run_query(nodes, query)
     found = query_matches(nodes, query)
     order = Window.partitionBy("doc_id").orderBy("root_id", "pattern_index", "order")
