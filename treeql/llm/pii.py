@@ -145,7 +145,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     flagged = flagged.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", "share")).alias("terms"))
     flagged = materialise(flagged, "pii-flagged")
     key = [F.col("b.id").eqNullSafe(F.col("f.id")), F.col("b.text_hash") == F.col("f.text_hash")]
-    out = kept.drop("body").alias("b").join(small_side(flagged).alias("f"), key[0] & key[1], "left")
+    out = kept.drop("body").alias("b").join(flagged.alias("f"), key[0] & key[1], "left")
     base = "transform(spans, x -> struct(x.start as start, x.rank as rank, x.end as end, cast(null as double) as share))"
     out = out.select("b.id", "b.text_hash", F.expr(base).alias("base"), F.expr(f"array_sort(concat({base}, coalesce(terms, cast(array() as array<struct<start:bigint,rank:int,end:bigint,share:double>>))))").alias("spans"))
     if not carry:

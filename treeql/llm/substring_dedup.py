@@ -218,6 +218,18 @@ def _cut(window: int):
     return run
 
 
+def _with_documents(rows: DataFrame, lists: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, text_hash, text) that `lists` (id, text_hash, column) has something for, with it, and the other rows.
+
+    Lists have no bound in bytes, so they are never broadcast. Their documents' keys may be, which keeps all other texts out of the shuffle.
+    """
+    keys = small_side(lists.select(F.col("id").alias("i"), F.col("text_hash").alias("h")))
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))
+    side = lists.withColumnsRenamed({"id": "i", "text_hash": "h"})
+    found = rows.join(keys, same, "left_semi").hint("merge").join(side.hint("merge"), same).drop("i", "h")
+    return found, rows.join(keys, same, "left_anti")
+
+
 def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows (id, text_hash, spans) of the documents with repeated windows; spans: stretches (a, b) of their first words.
 
@@ -231,11 +243,11 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     marked = materialise(segs.join(small_side(shared), ["anchor", "whole"]), "substring-marked")
     # segments that occur twice are repeated whole
     whole = marked.where("n > 1").select("id", "text_hash", "a", "b")
-    # where an anchor has several kinds of segment, one of each is verified window by window
+    # where an anchor has several kinds of segment, one of each is verified window by window (of rows that repeat wholly, every window is repeated, so
+    # counting both is right)
     kinds = marked.where("kinds > 1").groupBy("anchor", "whole").agg(F.min(F.struct("id", "text_hash", "a", "b")).alias("one"))
     some = kinds.select("one.*").groupBy("id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("at"))
-    some = small_side(materialise(some, "substring-check").withColumnsRenamed({"id": "i", "text_hash": "h"}))
-    single = rows.join(some, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))).select("id", "text_hash", "text", "at").dropDuplicates(["id", "text_hash"])
+    single, _ = _with_documents(rows, materialise(some, "substring-check"), "at")
     hashed = materialise(single.mapInArrow(_windows(window), f"id {kind}, text_hash long, h1 long, h2 long, p int"), "substring-windows")
     again = materialise(hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "substring-again")
     found = materialise(hashed.join(small_side(again), ["h1", "h2"]).select("id", "text_hash", F.col("p")), "substring-found")
@@ -248,8 +260,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Rows (id, n_words, n_removed, kept_sha256) of all documents, and kept_text if asked for."""
     body = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("text"))
-    spans = materialise(repeated_spans(rows, window).withColumnsRenamed({"id": "i", "text_hash": "h"}), "substring-spans")
-    both = rows.join(small_side(spans), F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")), "left").select("id", "text", "spans", *([F.lit(True).alias("want_text")] if with_text else []))
+    hit, rest = _with_documents(rows, materialise(repeated_spans(rows, window), "substring-spans"), "spans")
+    rest = rest.withColumn("spans", F.expr("cast(null as array<struct<a:int,b:int>>)"))
+    both = hit.unionByName(rest).select("id", "text", "spans", *([F.lit(True).alias("want_text")] if with_text else []))
     kind = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return both.mapInArrow(_cut(window), kind).withColumnRenamed("id", id_col)
 
