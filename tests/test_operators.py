@@ -167,3 +167,37 @@ def test_search(spark):
     docs = spark.createDataFrame([(1, LOX), (2, None)], "doc_id long, text string")
     assert [r.captures for r in grep(docs, 'find lox::$F($A, $B) where { matches($F, "^my") }').collect()] == [{"F": "myFunc", "A": "1", "B": "2"}]
     assert grep(docs, "find sexp::(class_declaration) @c", "lox").count() == 1
+
+
+def test_included_ranges_and_runtime(spark):
+    from treeql.operators.parse import parse_ranges, parse_runtime, update_nodes
+
+    docs = spark.createDataFrame([(1, "x [1, 2] y [3]", [(2, 8), (11, 14), (5, 5)])], "doc_id long, text string, ranges array<struct<s:int,e:int>>")
+    found = parse_ranges(docs, "json")
+    assert rows(found.where("type = 'number'").select("start_byte", "text"), "start_byte") == [(3, "1"), (6, "2"), (12, "3")]
+    assert found.where("is_error or is_missing").count() == 0
+    texts = spark.createDataFrame([(1, "[1]"), (2, "[1"), (3, None)], "doc_id long, text string")
+    assert [(r.stop_reason, r.n_errors > 0) for r in parse_runtime(texts, "json").orderBy("doc_id").collect()] == [("accepted", False), ("accepted", True), ("accepted", False)]
+    assert parser("json").parse(b"[1," * 2000, seconds=0.0).stop_reason == "timeout"
+    new = spark.createDataFrame([(1, "[1]"), (2, "[1, 2]"), (4, "7")], "doc_id long, text string")
+    assert rows(update_nodes(parse(texts, "json"), texts, new, "json"), "doc_id", "node_id") == rows(parse(new, "json"), "doc_id", "node_id")
+
+
+def test_typed_and_disabled(spark, nodes):
+    from treeql.query.compiler import compile_query
+    from treeql.query.execute import typed
+
+    q = compile_query("(function_declaration name: (identifier) @name parameters: (parameters (identifier)* @ps))")
+    (r,) = typed(run_query(nodes, q), q).collect()
+    assert r.name.text == "myFunc" and [p.text for p in r.ps] == ["x"]  # a comma ends the run
+    assert q.quantified_captures(0) == {"name": False, "ps": True} and not q.pattern_info()[0]["is_definite"]
+    assert [c.name for c in run_query(nodes, q.without_capture("ps")).first().captures] == ["name"]
+    assert run_query(nodes, q.without_pattern(0)).count() == 0
+
+
+def test_shifted_spans(spark):
+    made = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 2, 4), (1, 2, 5, 9)], "doc_id long, node_id int, start_byte int, end_byte int")
+    edit = spark.createDataFrame([(1, 3, 4, 6)], "doc_id long, start_byte int, old_end_byte int, new_end_byte int")
+    got = edits.shift_nodes(made, edit).orderBy("node_id").collect()
+    assert [(r.start_byte, r.end_byte, r.dirty) for r in got] == [(0, 12, True), (2, 6, True), (7, 11, False)]
+    assert rows(edits.changed_ranges(edit), "s") == [(1, 3, 6)]

@@ -7,6 +7,7 @@ take the token, the cut nodes forming an ERROR, or the token goes into an ERROR.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,6 +36,27 @@ class _Stack:
     errors: int = field(compare=False, default=0)
 
 
+def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted ranges without empty ones, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(r for r in ranges if r[0] < r[1]):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def blank_outside(source: bytes, ranges: list[tuple[int, int]]) -> bytes:
+    """The text with blanks for all bytes outside of the ranges, line ends kept."""
+    out, at = [], 0
+    blank = lambda x: bytes(10 if c == 10 else 32 for c in x)
+    for a, b in merge_ranges(ranges):
+        out += [blank(source[at:a]), source[a:b]]
+        at = b
+    return b"".join(out) + blank(source[at:])
+
+
 class Parser:
     """Parses texts of one language; keeps the order in which each state's terminals are tried."""
 
@@ -255,11 +277,25 @@ class Parser:
             return self._push_extra(_Stack(s.at, s.below[0], s.below[2], s.score, s.errors - 1), grown)
         return self._push_extra(s, Node("ERROR", True, token.start, token.end, leaf, error=True))
 
-    def parse(self, source: bytes, max_steps: int | None = None) -> Tree:
-        """The tree of a text; one without any tree has an ERROR over all of it."""
+    def parse(self, source: bytes, max_steps: int | None = None, ranges: list[tuple[int, int]] | None = None, seconds: float | None = None) -> Tree:
+        """The tree of a text; one without any tree has an ERROR over all of it.
+
+        `ranges`: only these stretches of bytes are read, the rest counts as blank. `stop_reason` of the tree says how the parse ended: accepted,
+        no_stacks_alive, iteration_limit or timeout.
+        """
+        tree = self._parse(blank_outside(source, ranges) if ranges is not None else source, max_steps, seconds)
+        tree.source = source
+        return tree
+
+    def _parse(self, source: bytes, max_steps: int | None, seconds: float | None) -> Tree:
         stacks = [_Stack(0, 0)]
         steps, limit = 0, max_steps or max(10_000, 30 * len(source))
-        while stacks and steps < limit:
+        until, reason = time.monotonic() + seconds if seconds is not None else None, "no_stacks_alive"
+        while stacks:
+            if steps >= limit or (until is not None and steps % 64 == 0 and time.monotonic() > until):
+                reason = "iteration_limit" if steps >= limit else "timeout"
+                s = stacks[0]
+                break
             steps += 1
             k = min(range(len(stacks)), key=lambda i: stacks[i].at)
             s = stacks.pop(k)
@@ -285,7 +321,9 @@ class Parser:
             parts.append(below[1])
             below = below[2]
         inside = self.visible(parts[::-1])
-        return Tree(Node("ERROR", True, 0, len(source), inside, error=True), source)
+        tree = Tree(Node("ERROR", True, 0, len(source), inside, error=True), source)
+        tree.stop_reason = reason
+        return tree
 
     def _missing_end(self, s: _Stack) -> _Stack | None:
         """At the end of a text: a stack with one more token taken for granted, if that leads on."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,40 @@ def parse_utf16(docs: DataFrame, lang: str, order: str = "LE", id_col: str = "do
     """As `parse` for binary UTF-16 texts; a text of odd length is an error."""
     content = F.when(F.octet_length(content_col) % 2 == 0, F.decode(F.col(content_col), f"UTF-16{order}")).otherwise(F.raise_error(F.lit("UTF-16 text of odd length")))
     return parse(docs.select(id_col, content.alias("text")), lang, id_col, "text")
+
+
+def parse_ranges(docs: DataFrame, lang: str, id_col: str = "doc_id", text_col: str = "text", ranges_col: str = "ranges") -> DataFrame:
+    """As `parse`, reading only the byte ranges (array of (s, e)) of each text."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, text, ranges in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if text:
+                    rows.extend(parser(lang).parse(text.encode(), ranges=[(r["s"], r["e"]) for r in ranges or []]).rows(doc))
+            if rows:
+                yield record_batch(rows, ARROW)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(ranges_col).alias("ranges")).mapInArrow(run, DDL)
+
+
+def parse_runtime(docs: DataFrame, lang: str, id_col: str = "doc_id", text_col: str = "text", seconds: float | None = None) -> DataFrame:
+    """(doc_id, stop_reason, n_nodes, n_errors, n_bytes): how each parse ended."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                source = (text or "").encode()
+                tree = parser(lang).parse(source, seconds=seconds)
+                out.append((doc, tree.stop_reason, len(tree.nodes), sum(n.error or n.missing for n in tree.nodes), len(source)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "stop_reason", "n_nodes", "n_errors", "n_bytes"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, stop_reason string, n_nodes bigint, n_errors bigint, n_bytes bigint")
+
+
+def update_nodes(old_nodes: DataFrame, old: DataFrame, new: DataFrame, lang: str) -> DataFrame:
+    """`nodes` of the texts `new` (doc_id, text), given those of `old`: only texts that differ are parsed, the others keep their nodes."""
+    digest = lambda df, name: df.select("doc_id", F.sha2("text", 256).alias(name))
+    same = digest(old, "a").join(digest(new, "b"), "doc_id").where("a = b").select("doc_id")
+    return old_nodes.join(same, "doc_id", "left_semi").unionByName(parse(new.join(same, "doc_id", "left_anti"), lang))

@@ -110,3 +110,23 @@ def limited(matches: DataFrame, n: int) -> DataFrame:
 def capture_rows(matches: DataFrame) -> DataFrame:
     """One row for each capture, in order: (doc_id, match_seq, pattern_index, capture_seq, name, node_id, start_byte, end_byte, text)."""
     return matches.select("doc_id", "match_seq", "pattern_index", F.posexplode("captures").alias("capture_seq", "c")).select("doc_id", "match_seq", "pattern_index", "capture_seq", "c.*")
+
+
+def typed(matches: DataFrame, query: str | Query, pattern: int = 0) -> DataFrame:
+    """Matches of one pattern with a column for each of its captures: (node_id, start_byte, end_byte, text), or an array of them where the
+    capture may hold several nodes."""
+    query = compile_query(query) if isinstance(query, str) else query
+    rows = matches.where(F.col("pattern_index") == pattern)
+
+    def column(name: str, many: bool):
+        own = F.transform(F.filter("captures", lambda c: c["name"] == name), lambda c: c.dropFields("name"))
+        return (own if many else F.try_element_at(own, F.lit(1))).alias(name)
+
+    return rows.select("doc_id", "match_seq", *[column(n, many) for n, many in query.quantified_captures(pattern).items()])
+
+
+def byte_range_for_points(tree: Tree, start: tuple[int, int], end: tuple[int, int]) -> tuple[int, int]:
+    """The byte range between two points (row, column), for `run_query`."""
+    lines = tree.line_starts()
+    at = lambda p: min(lines[p[0]] + p[1], len(tree.source)) if p[0] < len(lines) else len(tree.source)
+    return at(start), at(end)

@@ -77,7 +77,7 @@ class Node:
 
 class Tree:
     def __init__(self, root: Node, source: bytes = b""):
-        self.root, self.source = root, source
+        self.root, self.source, self.stop_reason = root, source, "accepted"
         self.nodes: list[Node] = []
         root.parent = None
         for node in root.walk():
