@@ -127,6 +127,8 @@ class Grammar:
     inline: list[str] = field(default_factory=list)
     word: str = ""
     supertypes: list[str] = field(default_factory=list)
+    externals: list[str] = field(default_factory=list)  # tokens that only the scanner finds
+    scanner: Any = None  # scan(source, at, names that may come, state) -> (name, end, new state) or None; states are bytes
     tests: list[tuple[str, str, str | None]] = field(default_factory=list)  # name, input, expected S-expression or None for an error
 
     def define(self, name: str, x) -> "Grammar":
@@ -162,7 +164,7 @@ def validate(g: Grammar) -> list[str]:
 
     uses = {k: used(r) for k, r in g.rules.items()}
     for k, names in uses.items():
-        out += [f"{k}: no rule {n}" for n in sorted(names) if n not in g.rules]
+        out += [f"{k}: no rule {n}" for n in sorted(names) if n not in g.rules and n not in g.externals]
     for n in [*g.inline, *g.supertypes, *([g.word] if g.word else []), *(x for c in g.conflicts for x in c)]:
         if n not in g.rules:
             out.append(f"no rule {n}")
@@ -181,7 +183,7 @@ def validate(g: Grammar) -> list[str]:
         if r.kind in ("str", "pat", "blank", "repeat"):
             return True
         if r.kind == "sym":
-            return r.value in ends or r.value not in g.rules
+            return r.value in ends or r.value not in g.rules or r.value in g.externals
         return (any if r.kind == "choice" else all)(can(x) for x in r.items)
 
     while True:
@@ -226,7 +228,7 @@ def to_json(g: Grammar) -> dict:
 
     return {
         "name": g.name, "word": g.word or None, "rules": {k: one(r) for k, r in g.rules.items()}, "extras": [one(x) for x in g.extras],
-        "conflicts": [list(c) for c in g.conflicts], "inline": g.inline, "supertypes": g.supertypes,
+        "conflicts": [list(c) for c in g.conflicts], "externals": [{"type": "SYMBOL", "name": x} for x in g.externals], "inline": g.inline, "supertypes": g.supertypes,
     }
 
 
@@ -251,5 +253,5 @@ def from_json(data: dict) -> Grammar:
 
     return Grammar(
         data["name"], {k: one(v) for k, v in data["rules"].items()}, [one(x) for x in data.get("extras", [])], [tuple(c) for c in data.get("conflicts", [])],
-        list(data.get("inline", [])), data.get("word") or "", list(data.get("supertypes", [])),
+        list(data.get("inline", [])), data.get("word") or "", list(data.get("supertypes", [])), [x["name"] for x in data.get("externals", []) if x.get("type") == "SYMBOL"],
     )

@@ -25,6 +25,7 @@ class Token:
     start: int
     end: int
     named: bool = False
+    memo: bytes = b""
 
 
 @dataclass(order=True)
@@ -34,6 +35,7 @@ class _Stack:
     below: tuple | None = field(compare=False, default=None)  # (state before, node, below)
     score: int = field(compare=False, default=0)
     errors: int = field(compare=False, default=0)
+    memo: bytes = field(compare=False, default=b"")  # the scanner's state
 
 
 def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -74,14 +76,16 @@ class Parser:
     def _longest(self, terminals: list, source: bytes, at: int):
         best, end = None, at
         for t in terminals:
-            m = t.regex.match(source, at)
+            m = t.regex.match(source, at) if t.regex else None
             if m and (m.end() > end or (best is not None and m.end() == end and t.level > best.level)):
                 best, end = t, m.end()
         return best, end
 
     @staticmethod
     def _may_start(terminal, byte: int) -> bool:
-        """Whether some text that begins with a byte may match."""
+        """Whether some text that begins with a byte may match; external tokens are the scanner's."""
+        if terminal.regex is None:
+            return False
         return regex.compile(terminal.regex.pattern).match(bytes([byte]), partial=True) is not None
 
     def _candidates(self, state: int, byte: int) -> tuple[list, list]:
@@ -93,10 +97,18 @@ class Parser:
             found = self._by_byte[state, byte] = [t for t in wanted if may(t)], [t for t in self._extras if may(t)]
         return found
 
-    def lex(self, state: int, source: bytes, at: int) -> Iterator[Token]:
-        """Extras in front of a state's next token, then the token itself (END at the end, an empty name if nothing fits)."""
+    def lex(self, state: int, source: bytes, at: int, memo: bytes = b"") -> Iterator[Token]:
+        """Extras in front of a state's next token, then the token itself (END at the end, an empty name if nothing fits).
+
+        A language's scanner is asked first for the external tokens that the state can take.
+        """
         moved, size = False, len(source)
+        externals = [n for n in self.language.externals if n in self.language.actions[state]]
         while True:
+            if externals and (found := self.language.scanner.scan(source, at, externals, memo)):
+                name, end, memo = found
+                yield Token(name, at, end, not self.language.hidden(name), memo)
+                return
             usable, extras = self._candidates(state, source[at] if at < size else -1)
             if moved:
                 usable = [t for t in usable if not t.immediate]
@@ -104,23 +116,23 @@ class Parser:
             extra, extra_end = self._longest(extras, source, at) if extras else (None, at)
             if extra and (not best or extra_end > end):
                 if not self.language.hidden(extra.name):
-                    yield Token(extra.name, at, extra_end, True)
+                    yield Token(extra.name, at, extra_end, True, memo)
                 at, moved = extra_end, True
                 continue
             if best:
-                yield Token(best.name, at, end, best.named)
+                yield Token(best.name, at, end, best.named, memo)
                 return
             if at >= len(source):
-                yield Token(END, at, at)
+                yield Token(END, at, at, False, memo)
                 return
             other, end = self._longest(self._all, source, at)
             if other:
-                yield Token(other.name, at, end, other.named)
+                yield Token(other.name, at, end, other.named, memo)
             else:
                 end = at + 1
                 while end < len(source) and source[end] & 0xC0 == 0x80:
                     end += 1
-                yield Token("", at, end)
+                yield Token("", at, end, False, memo)
             return
 
     # stacks
@@ -141,7 +153,7 @@ class Parser:
         to = self.language.gotos[state].get(p.left)
         if to is None:
             return None
-        return _Stack(stack.at, to, (state, node, below), stack.score + p.dynamic, stack.errors)
+        return _Stack(stack.at, to, (state, node, below), stack.score + p.dynamic, stack.errors, stack.memo)
 
     def _node(self, p, taken: list[Node], at: int) -> Node:
         """A production's node. Hidden nodes keep their parts as they are; a visible one takes what they hold, once, so that long repetitions stay linear."""
@@ -204,17 +216,17 @@ class Parser:
     def _shift(self, s: _Stack, token: Token) -> _Stack:
         to = next(a[1] for a in self._actions(s, token.name) if a[0] == "shift")
         leaf = Node(token.name, token.named, token.start, token.end)
-        return _Stack(token.end, to, (s.state, leaf, s.below), s.score, s.errors)
+        return _Stack(token.end, to, (s.state, leaf, s.below), s.score, s.errors, token.memo)
 
     @staticmethod
     def _push_extra(s: _Stack, node: Node) -> _Stack:
         node.extra = True
-        return _Stack(max(s.at, node.end), s.state, (s.state, node, s.below), s.score, s.errors + node.error)
+        return _Stack(max(s.at, node.end), s.state, (s.state, node, s.below), s.score, s.errors + node.error, s.memo)
 
     def _step(self, s: _Stack, source: bytes) -> tuple[list[_Stack], Node | None, Token, _Stack]:
         """Advance by one token: (stacks, root if accepted, token, the stack with the extras before it)."""
         token = None
-        for token in self.lex(s.state, source, s.at):
+        for token in self.lex(s.state, source, s.at, s.memo):
             if token.name in self.language.extras and token.name not in self.language.actions[s.state]:
                 s = self._push_extra(s, Node(token.name, True, token.start, token.end))
         # most states have one action for a token: follow these without forking
@@ -230,7 +242,7 @@ class Parser:
                 now = reduced
             elif acts[0][0] == "shift":
                 leaf = Node(token.name, token.named, token.start, token.end)
-                return [_Stack(token.end, acts[0][1], (now.state, leaf, now.below), now.score, now.errors)], None, token, s
+                return [_Stack(token.end, acts[0][1], (now.state, leaf, now.below), now.score, now.errors, token.memo)], None, token, s
             else:
                 return [], self._root(now, len(source)), token, s
         ready = self._after_reductions(s, token.name)
@@ -259,14 +271,14 @@ class Parser:
                         continue
                     to = next(a[1] for a in self._actions(r, t.name) if a[0] == "shift")
                     leaf = Node(t.name, t.named, s.at, s.at, missing=True)
-                    tried = _Stack(s.at, to, (r.state, leaf, r.below), r.score, s.errors + 1)
+                    tried = _Stack(s.at, to, (r.state, leaf, r.below), r.score, s.errors + 1, s.memo)
                     if self._after_reductions(tried, token.name):
                         return tried
             cut, state, below = [], s.state, s.below
             while below is not None and len(cut) < 200:
                 state, node, below = below
                 cut.append(node)
-                back = _Stack(s.at, state, below, s.score, s.errors)
+                back = _Stack(s.at, state, below, s.score, s.errors, s.memo)
                 if self._after_reductions(back, token.name):
                     inside = self.visible(cut[::-1])
                     return self._push_extra(back, Node("ERROR", True, cut[-1].start, cut[0].end, inside, error=True))
@@ -274,7 +286,7 @@ class Parser:
         if s.below is not None and s.below[1].error and s.below[1].extra and s.below[1].end <= token.start:
             old = s.below[1]
             grown = Node("ERROR", True, old.start, token.end, [*old.children, *leaf], error=True)
-            return self._push_extra(_Stack(s.at, s.below[0], s.below[2], s.score, s.errors - 1), grown)
+            return self._push_extra(_Stack(s.at, s.below[0], s.below[2], s.score, s.errors - 1, s.memo), grown)
         return self._push_extra(s, Node("ERROR", True, token.start, token.end, leaf, error=True))
 
     def parse(self, source: bytes, max_steps: int | None = None, ranges: list[tuple[int, int]] | None = None, seconds: float | None = None) -> Tree:
@@ -333,23 +345,23 @@ class Parser:
             for r in self._after_reductions(s, t.name):
                 if any(a[0] == "shift" for a in self._actions(r, t.name)):
                     to = next(a[1] for a in self._actions(r, t.name) if a[0] == "shift")
-                    tried = _Stack(s.at, to, (r.state, Node(t.name, t.named, s.at, s.at, missing=True), r.below), r.score, s.errors + 1)
+                    tried = _Stack(s.at, to, (r.state, Node(t.name, t.named, s.at, s.at, missing=True), r.below), r.score, s.errors + 1, s.memo)
                     if self._after_reductions(tried, END):
                         return tried
         cut, below = [], s.below
         while below is not None:
             state, node, below = below
             cut.append(node)
-            back = _Stack(s.at, state, below, s.score, s.errors + 1)
+            back = _Stack(s.at, state, below, s.score, s.errors + 1, s.memo)
             if self._after_reductions(back, END):
                 inside = self.visible(cut[::-1])
                 return self._push_extra(back, Node("ERROR", True, cut[-1].start, cut[0].end, inside, error=True))
         return None
 
     def _merged(self, stacks: list[_Stack]) -> list[_Stack]:
-        best: dict[tuple[int, int], _Stack] = {}
+        best: dict[tuple[int, int, bytes], _Stack] = {}
         for s in stacks:
-            key = (s.state, s.at)
+            key = (s.state, s.at, s.memo)
             old = best.get(key)
             if old is None or (s.errors, -s.score) < (old.errors, -old.score):
                 best[key] = s

@@ -92,7 +92,50 @@ def lox_grammar() -> Grammar:
     return g
 
 
-GRAMMARS = {"json": json_grammar, "calc": calc_grammar, "ini": ini_grammar, "lox": lox_grammar}
+class Indentation:
+    """A scanner of `_newline`, `_indent` and `_dedent`; its state is the open levels, one byte each."""
+
+    def scan(self, source: bytes, at: int, names: list[str], state: bytes):
+        end = at
+        while end < len(source) and source[end] in b" \t\r":
+            end += 1
+        if "_newline" in names and end < len(source) and source[end] == 10:
+            return "_newline", end + 1, state
+        if "_newline" in names and end == len(source) and "_dedent" not in names:
+            return "_newline", end, state
+        # the level of the next line with anything in it
+        line, level = at, 0
+        while line < len(source):
+            stop = source.find(b"\n", line)
+            stop = len(source) if stop < 0 else stop
+            body = source[line:stop]
+            if body.strip():
+                level = min(len(body) - len(body.lstrip()), 255)
+                break
+            line = stop + 1
+        if at and source[at - 1] != 10 and at < len(source):
+            return None
+        now = state[-1] if state else 0
+        if "_indent" in names and level > now and line < len(source):
+            return "_indent", line, state + bytes([level])
+        if "_dedent" in names and state and (level < now or line >= len(source)):
+            return "_dedent", at, state[:-1]
+        return None
+
+
+def outline_grammar() -> Grammar:
+    """Lines, with indented lines below them: a grammar with a scanner."""
+    g = Grammar("outline")
+    g.extras = [pat(r"[ \t\r]")]
+    g.externals, g.scanner = ["_newline", "_indent", "_dedent"], Indentation()
+    g.define("document", repeat(choice(sym("item"), sym("_newline"))))
+    g.define("item", right(0, seq(named("head", sym("text")), sym("_newline"), optional(seq(sym("_indent"), repeat1(choice(sym("item"), sym("_newline"))), sym("_dedent"))))))
+    g.define("text", pat(r"[^\s][^\n]*"))
+    g.tests = [("nested", "a\n  b\n    c\n  d\ne\n", "(document (item (text) (item (text) (item (text))) (item (text))) (item (text)))")]
+    return g
+
+
+GRAMMARS = {"outline": outline_grammar, "json": json_grammar, "calc": calc_grammar, "ini": ini_grammar, "lox": lox_grammar}
 _ADDED: dict = {}
 
 
