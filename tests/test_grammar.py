@@ -112,3 +112,21 @@ def test_html():
     kinds = [n.type for n in tree.nodes]
     assert kinds.count("element") == 3 and "script_element" in kinds and "comment" in kinds and kinds.count("ERROR") == 2
     assert [tree.text(n) for n in tree.nodes if n.type == "raw_text"] == ['if (a < b) "</p>"']
+
+
+def test_vm_scanner():
+    from treeql.grammar.vm import VmError, VmScanner
+
+    # a name: letters, after them any number of word characters
+    program = [("require_valid", "name"), ("if_class", "letter", 3), ("fail",), ("advance",), ("mark",), ("if_class", "word", 3), ("emit", "name")]
+    scanner = VmScanner(program)
+    assert scanner.scan("été_1 x".encode(), 0, ["name"], b"") == ("name", 7, b"")
+    assert scanner.scan(b"1x", 0, ["name"], b"") is None and scanner.scan(b"x", 0, ["other"], b"") is None
+    assert VmScanner([("jump", 0)]).scan(b"", 0, [], b"") is None
+    assert VmScanner([("require_state", 0), ("set_state", 5), ("emit", "t")]).scan(b"", 0, ["t"], b"")[2] == (5).to_bytes(8, "big")
+    for bad in ([("nope",)], [("jump", 7)]):
+        with pytest.raises(VmError):
+            VmScanner(bad)
+    g = dsl.Grammar("vm", externals=["name"], scanner=scanner)
+    g.define("s", dsl.repeat(dsl.sym("name")))
+    assert Parser(compile_grammar(g)).parse(b"ab c1").root.sexpr() == "(s (name) (name))"

@@ -201,3 +201,29 @@ def test_shifted_spans(spark):
     got = edits.shift_nodes(made, edit).orderBy("node_id").collect()
     assert [(r.start_byte, r.end_byte, r.dirty) for r in got] == [(0, 12, True), (2, 6, True), (7, 11, False)]
     assert rows(edits.changed_ranges(edit), "s") == [(1, 3, 6)]
+
+
+def test_smaller_operators(spark, nodes):
+    from treeql.sources.languages import conflicts, next_symbols
+
+    found = nav.child_by_type(nodes.where("doc_id = 1"), "parameters").collect()
+    assert sorted((r.line, r.column) for r in found) == [(2, 11), (4, 14)]
+    texts = spark.createDataFrame([(1, "a😀b")], "doc_id long, text string")
+    units = spark.createDataFrame([(1, 1, 3), (1, 2, 3)], "doc_id long, start_unit int, end_unit int")
+    assert [(r.start_byte, r.end_byte) for r in spans.from_utf16_ranges(units, texts).collect()] == [(1, 5)]
+    edit = spark.createDataFrame([(1, 1, 3, 2)], "doc_id long, start_unit int, old_end_unit int, new_end_unit int")
+    new = spark.createDataFrame([(1, "aéb")], "doc_id long, text string")
+    assert [tuple(r)[-3:] for r in spans.edits_from_utf16(edit, texts, new).collect()] == [(1, 5, 3)]
+    region = "doc_id long, language string, start_byte int, end_byte int"
+    old = spark.createDataFrame([(1, "js", 0, 5), (1, "js", 9, 12)], region)
+    kept = code.reusable_injections(old, old, spark.createDataFrame([(1, 4, 6)], "doc_id long, s int, e int"))
+    assert [r.start_byte for r in kept.collect()] == [9]
+    assert conflicts(spark, "json").count() == 0 and next_symbols(spark, "calc").where("symbol = 'number'").count() > 0
+
+
+def test_extension_highlights():
+    from treeql.grammar import dsl
+    from treeql.grammar.samples import calc_grammar
+
+    more = calc_grammar().extended("more").append_choice("expression", dsl.seq("let", dsl.sym("number")))
+    assert code.extension_highlights(calc_grammar(), more) == '"let" @keyword'

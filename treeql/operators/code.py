@@ -111,3 +111,16 @@ def render_diagnostic(source: Column, code: Column, severity: Column, line: Colu
     caret = F.concat(F.repeat(F.lit(" "), F.greatest(col - 1, F.lit(0))), F.lit("^"))
     body = F.when(quoted.isNotNull(), F.concat(F.lit("\n  "), quoted, F.lit("\n  "), caret)).otherwise(F.lit(""))
     return F.concat(head, body, F.when(hint != "", F.concat(F.lit("\n  hint: "), hint)).otherwise(F.lit("")))
+
+
+def reusable_injections(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
+    """The regions of `new` whose trees can be kept: of the same language and range as one of `old`, without overlap with a changed range (doc_id, s, e)."""
+    same = new.join(old.select("doc_id", "language", "start_byte", "end_byte").distinct(), ["doc_id", "language", "start_byte", "end_byte"], "left_semi")
+    c = changed.select(F.col("doc_id").alias("d_"), "s", "e")
+    return same.join(c, (F.col("doc_id") == F.col("d_")) & (F.col("s") < F.col("end_byte")) & (F.col("e") > F.col("start_byte")), "left_anti")
+
+
+def extension_highlights(base: Grammar, extended: Grammar) -> str:
+    """The lines of a highlight query that an extended grammar needs beyond its base's."""
+    have = set(infer_highlight_query(base).split("\n"))
+    return "\n".join(x for x in infer_highlight_query(extended).split("\n") if x not in have)

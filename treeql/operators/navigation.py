@@ -142,3 +142,10 @@ def syntax_errors(nodes: DataFrame) -> DataFrame:
     best = nodes.where("is_missing or is_error").withColumn("k", F.row_number().over(order)).where("k = 1")
     what = F.when(F.col("is_missing"), F.concat(F.lit("expected "), "type")).otherwise(F.concat(F.lit('near "'), F.substring(F.coalesce("text", F.lit("")), 1, 30), F.lit('"')))
     return best.select("doc_id", F.format_string("%d:%d: syntax error: %s", F.col("start_row") + 1, F.col("start_col") + 1, what).alias("message"))
+
+
+def child_by_type(nodes: DataFrame, type_: str) -> DataFrame:
+    """(doc_id, parent_id, node_id, line, column): the first child of a type of each parent, with its place from 1."""
+    best = F.min_by(F.struct("node_id", "start_row", "start_col"), "child_index")
+    found = nodes.where((F.col("type") == type_) & F.col("parent_id").isNotNull()).groupBy("doc_id", "parent_id").agg(best.alias("n"))
+    return found.select("doc_id", "parent_id", "n.node_id", (F.col("n.start_row") + 1).alias("line"), (F.col("n.start_col") + 1).alias("column"))

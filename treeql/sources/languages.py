@@ -103,3 +103,18 @@ def support(spark: SparkSession) -> DataFrame:
         else:
             rows.append((name, "imports" if name in ("go", "java", "python", "starlark") else "unsupported", 0, 0))
     return spark.createDataFrame(rows, "name string, backend string, n_states int, n_conflicts int")
+
+
+def conflicts(spark: SparkSession, name: str) -> DataFrame:
+    """(language, place): where a grammar leaves more than one action, to be forked at parse time."""
+    from ..grammar.samples import language
+
+    return spark.createDataFrame([(name, x) for x in language(name).conflicts], "language string, place string")
+
+
+def next_symbols(spark: SparkSession, name: str) -> DataFrame:
+    """(state, symbol): the terminals that each state of a language's parser can take, as for completion."""
+    from ..grammar.samples import language
+
+    lang = language(name)
+    return spark.createDataFrame([(k, s) for k in range(len(lang.actions)) for s in lang.next_symbols(k)], "state int, symbol string")
