@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,21 +66,53 @@ def point_for_byte(text: Column, byte: Column) -> Column:
     return F.struct((F.size(F.split(before, "\n", -1)) - 1).alias("row"), F.octet_length(last).alias("column"))
 
 
+def flatten(ranges: list[tuple[int, int, str, int, int]]) -> list[tuple[int, int, str]]:
+    """Ranges (start, end, capture, pattern, seq) without overlap: each stretch goes to the range that starts last there, of these to the one that ends
+    first, then to the later pattern; adjacent stretches of one capture are joined."""
+    ranges = sorted(r for r in ranges if r[0] < r[1])
+    edges = sorted({x for r in ranges for x in r[:2]})
+    out: list[tuple[int, int, str]] = []
+    open_: list[tuple] = []
+    k = 0
+    for s, e in zip(edges, edges[1:]):
+        while k < len(ranges) and ranges[k][0] <= s:
+            start, end, capture, pattern, seq = ranges[k]
+            heapq.heappush(open_, (-start, end, -pattern, -seq, capture))
+            k += 1
+        while open_ and open_[0][1] <= s:
+            heapq.heappop(open_)
+        if open_:
+            capture = open_[0][4]
+            if out and out[-1][1] == s and out[-1][2] == capture:
+                out[-1] = out[-1][0], e, capture
+            else:
+                out.append((s, e, capture))
+    return out
+
+
 def resolve_highlights(ranges: DataFrame) -> DataFrame:
-    """(doc_id, start_byte, end_byte, capture, pattern_index) with overlaps flattened: the innermost range wins, of equal ones the later pattern's,
-    and adjacent pieces of one capture are merged.
+    """(doc_id, start_byte, end_byte, capture, pattern_index) with overlaps flattened, document by document.
 
-    A sweep over the borders of each document: the pieces between borders meet the ranges that cover them in an equi-join by document.
+    A sweep with a heap takes n log n steps, where a join of stretches with the ranges that cover them would take n * n for a long document.
     """
-    r = ranges.where("start_byte < end_byte").withColumn("seq", F.coalesce(F.col("seq"), F.lit(0)) if "seq" in ranges.columns else F.lit(0))
-    edges = r.select("doc_id", F.explode(F.array("start_byte", "end_byte")).alias("s")).distinct()
-    pieces = edges.withColumn("e", F.lead("s").over(Window.partitionBy("doc_id").orderBy("s"))).where("e is not null")
-    over = pieces.join(r, "doc_id").where("start_byte <= s and end_byte >= e")
-    top = over.groupBy("doc_id", "s", "e").agg(F.max_by("capture", F.struct("start_byte", -F.col("end_byte"), "pattern_index", "seq")).alias("capture"))
-    order = Window.partitionBy("doc_id").orderBy("s")
-    new = (F.lag("e").over(order).isNull() | (F.lag("e").over(order) != F.col("s")) | (F.lag("capture").over(order) != F.col("capture"))).cast("int")
-    runs = top.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("doc_id", "run", "capture").agg(F.min("s").alias("start_byte"), F.max("e").alias("end_byte")).drop("run").withColumn("pattern_index", F.lit(0))
+    seq = F.coalesce(F.col("seq"), F.lit(0)) if "seq" in ranges.columns else F.lit(0)
+    rows = ranges.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("start_byte").cast("int").alias("s"), F.col("end_byte").cast("int").alias("e"), "capture", F.col("pattern_index").cast("int").alias("p"), seq.cast("int").alias("q"))
+    schema = pa.schema([("doc_id", pa.int64()), ("start_byte", pa.int32()), ("end_byte", pa.int32()), ("capture", pa.string()), ("pattern_index", pa.int32())])
+
+    def sweep(batches):
+        from ..query.execute import by_document
+
+        out = []
+        for doc, held in by_document(batches):
+            out.extend((doc, s, e, c, 0) for s, e, c in flatten([(r["s"], r["e"], r["capture"], r["p"], r["q"]) for r in held]))
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    # by a hash of its own: see run_query
+    return rows.repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id").mapInArrow(sweep, "doc_id bigint, start_byte int, end_byte int, capture string, pattern_index int")
 
 
 def to_utf16_ranges(ranges: DataFrame, texts: DataFrame) -> DataFrame:
