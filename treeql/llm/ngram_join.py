@@ -30,7 +30,7 @@ from .common import materialise, read_table, small_side, text_slices
 from .tokens import mix, runs, word_hashes
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 360
-BLOCK_SETS, BLOCK_GRAMS = 400, 400_000
+BLOCK_SETS, BLOCK_GRAMS = 128, 400_000
 _COLUMNS = 4096
 
 
