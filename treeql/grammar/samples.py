@@ -136,7 +136,6 @@ def outline_grammar() -> Grammar:
 
 
 GRAMMARS = {"outline": outline_grammar, "json": json_grammar, "calc": calc_grammar, "ini": ini_grammar, "lox": lox_grammar}
-_ADDED: dict = {}
 
 
 def register_grammar(name: str, grammar) -> None:
@@ -169,5 +168,3 @@ def run_tests(g: Grammar) -> list[str]:
             out.append(f"{name}: {tree.root.sexpr()}")
     return out
 
-
-_USED = (repeat1,)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -217,5 +216,3 @@ def grep_replace(docs: DataFrame, statement: str, lang: str = "", id_col: str =
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rewrite, "doc_id bigint, text string, n_edits int, notes array<string>")
 
-
-_NAMES = re.compile(r"\$+([A-Z_][A-Z0-9_]*)")

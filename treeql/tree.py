@@ -137,9 +137,6 @@ def from_rows(rows: Iterable[dict]) -> Tree:
             root = node
         else:
             made[r["parent_id"]].children.append(node)
-    for node in made.values():
-        if node.text_ is None and node.children:
-            node.text_ = None
     return Tree(root)
 
 
