@@ -251,6 +251,59 @@ class Parser:
                 return [], self._root(r, len(source)), token, s
         return [self._shift(r, token) for r in ready if any(a[0] == "shift" for a in self._actions(r, token.name))], None, token, s
 
+    def _straight(self, s: _Stack, source: bytes) -> _Stack:
+        """Follow a lone stack as far as every token has one action: the greater part of most texts. Extras that make nodes, external tokens, conflicts, errors and
+        the end of the text are left to `_step`."""
+        if self.language.externals:
+            return s
+        actions, gotos, hidden = self.language.actions, self.language.gotos, self.language.hidden
+        state, below, score, size = s.state, s.below, s.score, len(source)
+        at = place = s.at  # `at`: where the last token ended, `place`: behind blanks
+        while place < size:
+            usable, extras = self._candidates(state, source[place])
+            best, end = None, place
+            for t in usable:
+                if t.immediate and place != at:
+                    continue
+                m = t.regex.match(source, place)
+                if m and (m.end() > end or (best is not None and m.end() == end and t.level > best.level)):
+                    best, end = t, m.end()
+            if extras:
+                extra, extra_end = self._longest(extras, source, place)
+                if extra and (not best or extra_end > end):
+                    if not hidden(extra.name):
+                        break
+                    place = extra_end
+                    continue
+            if best is None:
+                break
+            name, now, under, sum_ = best.name, state, below, score
+            to = -1
+            while True:
+                acts = actions[now].get(name)
+                if not acts or len(acts) != 1 or acts[0][0] == "accept":
+                    break
+                kind, number = acts[0]
+                if kind == "shift":
+                    to = number
+                    break
+                p = self.language.productions[number]
+                taken, need, popped = [], len(p.right), under
+                while need and popped is not None:
+                    now, node, popped = popped
+                    taken.append(node)
+                    need -= not node.extra
+                goto = gotos[now].get(p.left) if not need else None
+                if goto is None:
+                    break
+                taken.reverse()
+                under, now, sum_ = (now, self._node(p, taken, at), popped), goto, sum_ + p.dynamic
+            if to < 0:
+                break
+            below, state, score, at = (now, Node(name, best.named, place, end), under), to, sum_, end
+            place = end
+        return _Stack(at, state, below, score, s.errors, s.memo)
+
     def _root(self, s: _Stack, size: int) -> Node:
         parts, below = [], s.below
         while below is not None:
@@ -311,6 +364,8 @@ class Parser:
             steps += 1
             k = min(range(len(stacks)), key=lambda i: stacks[i].at)
             s = stacks.pop(k)
+            if not stacks and until is None:
+                s = self._straight(s, source)
             onward, root, token, s = self._step(s, source)
             if root is not None:
                 return Tree(root, source)
