@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, text_slices
+from .common import bound_batches, read_table, text_slices
 
 ERROR_RATE = 0.08
 BLOCK_CHARS = 4_000_000
@@ -179,6 +179,7 @@ def _keep_clean(shared, error_rate: float, text_col: str):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows (id, item_id, distance, start_char, end_char): the passage of each item nearest to it, per document."""
+    bound_batches(docs)
     spark = docs.sparkSession
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {id_type}, item bigint, distance bigint, start bigint, end bigint"
@@ -194,6 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of `docs`, all columns, that hold no item."""
+    bound_batches(docs)
     spark, columns = docs.sparkSession, docs.columns
     rows = docs.select(F.struct(*columns).alias("__row"))
     for block in blocks(benchmark, item_col, item_text_col, block_chars):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, small_side, text_slices
+from .common import bound_batches, materialise, read_table, small_side, text_slices
 
 TRIE_BYTES = 64 << 20
 _HEADER, _HEADER_SIZE = ">qQ", 16
@@ -197,6 +197,7 @@ def _own(largest: bool, budget: int):
 
 def repeated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """One row for each text of two or more rows: len, chash, sha, best (the identifier that stays), ties, n."""
+    bound_batches(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     one = F.lit(1).cast("long")
     rows = docs.select(F.octet_length(text).cast("long").alias("len"), F.xxhash64(text).alias("chash"), text.cast("binary").alias("body"), F.col(id_col).cast("long").alias("best"), one.alias("ties"), one.alias("n"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import read_table
+from .common import bound_batches, read_table
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -406,6 +406,7 @@ def _run(trees: gbt.Trees, most: int = 4 << 20):
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Rows (the columns `keep`, text, n_chars) of all pages."""
+    bound_batches(pages)
     rows = pages.select(*keep, F.col(html_col).alias("html"))
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(_run(model()), f"{kinds}, text string, n_chars long")

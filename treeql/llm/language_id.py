@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, text_slices
+from .common import bound_batches, read_table, text_slices
 from .quality import in_fold
 
 MAX_TRAIN_ROWS = 20_000
@@ -191,6 +191,7 @@ def _predict(model: Model | None, of):
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = (), max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """Rows (id, held_out, lang_pred, score, ambiguous) of all documents, and the struct `row` of the columns `carry`."""
+    bound_batches(docs)
     out_of = in_fold(id_col, HELD_OUT_OF, HELD_OUT)
     labelled = docs.where(~out_of & F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     known = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"), F.col(id_col).alias("id"))

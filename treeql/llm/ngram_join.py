@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, small_side, text_slices
+from .common import bound_batches, materialise, read_table, small_side, text_slices
 from .tokens import mix, runs, word_hashes
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 360
@@ -226,6 +226,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     class_id: the smallest document of the group that links connect; copy_of: the smallest of those with the same n-grams, of which there
     are n_copies; n_links: the other documents at or above the threshold.
     """
+    bound_batches(docs)
     bands, rows = choose_bands(threshold, recall, most_hashes)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     signed = materialise(texts.mapInArrow(_signatures(n, bands, rows), "id long, n long, k1 long, k2 long, bands array<long>"), "ngram-signatures")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import materialise, read_table, small_side, text_slices
+from .common import bound_batches, materialise, read_table, small_side, text_slices
 
 MAX_TRAIN_ROWS = 30_000
 HELD_OUT_OF = 5
@@ -111,6 +111,7 @@ def train(stats: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_R
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out_of: int = HELD_OUT_OF, cut: float = CUT, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """Rows (id, held_out, score, predicted) of all documents; rows in fold 0 of `held_out_of` aren't learnt from."""
+    bound_batches(docs)
     id_type = docs.schema[id_col].dataType.simpleString()
     stats = materialise(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_measure, f"id {id_type}, stats array<float>"), "quality-stats")
     known = labels.where(~in_fold(id_col, held_out_of, 0)).select(F.col(id_col).cast(id_type).alias("id"), F.col(label_col).cast("double").alias("y"))

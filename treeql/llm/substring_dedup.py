@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, small_side, text_slices
+from .common import bound_batches, materialise, read_table, small_side, text_slices
 from .tokens import mix, word_hashes
 
 WINDOW, ROUNDS, LEAST = 35, 5, 6
@@ -258,6 +258,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """Rows (id, n_words, n_removed, kept_sha256) of all documents, and kept_text if asked for."""
+    bound_batches(docs)
     body = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("text"))
     hit, rest = _with_documents(rows, materialise(repeated_spans(rows, window), "substring-spans"), "spans")

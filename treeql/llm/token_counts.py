@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, text_slices
+from .common import bound_batches, materialise, read_table, text_slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed values of that vocabulary: its splitting pattern, and the free identifier that ends documents.
@@ -87,6 +87,7 @@ def _lay_out(name: str, shared, end: int, dtype: str, block_tokens: int):
 
 def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end: int = END, dtype: str = DTYPE, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """Flat token blocks (shard, block, payload) of all texts, and the documents (shard, ordinal, id) in their order."""
+    bound_batches(docs)
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
