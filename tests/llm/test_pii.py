@@ -53,6 +53,19 @@ def test_disclosing_terms(spark):
     assert clean[1] == "word1 filler text nothing , contact [EMAIL]  item1 other" and clean[100] == rows[6][1]
 
 
+def terms_of(text, spans):
+    return {text[int(a) : int(b)] for kind, a, b in (s.split(":") for s in (spans or "").split(",") if s) if kind == "term"}
+
+
+def test_values_of_one_or_two_texts(spark):
+    cards = ["4111 1111 1111 1111", "4111-1111-1111-1111"]
+    texts = ["common words quixote wrote to lone@corp.com about things", *(f"common words pancho paid {c} about things {w}" for c, w in zip(cards, ("north", "south")))]
+    rows = [*enumerate(texts), *((100 + i, "common words wrote to about paid things north south") for i in range(200))]
+    spans = {r.doc_id: r.spans for r in pii.digest(pii.find_private(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    # both formats are one value, so that a term must stand with both
+    assert [terms_of(texts[i], spans[i]) for i in range(3)] == [{"quixote"}, {"pancho"}, {"pancho"}]
+
+
 def test_empty_and_columns(spark):
     assert pii.digest(pii.find_private(spark.createDataFrame([], SCHEMA))).count() == 0
     docs = clashing(awkward(spark))

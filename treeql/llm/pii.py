@@ -4,8 +4,9 @@ Four patterns (email, ip, card, phone) give the base spans of each text. Around
 `CONTEXT` code points are its context. Over the whole corpus, how often a term stands in the context of a protected
 value, against how often either occurs in documents at all, gives the information that the term reveals about it,
 PMI(term; value). A term that reveals at least the share `DISCLOSURE` of the value's own information
-IC(value) = log2(documents / documents with it), in contexts of at least `SUPPORT` different texts, exceeds the disclosure threshold: its
-occurrences in the contexts of that value are spans of kind term. `sanitise` replaces base spans by their kind, generalises
+IC(value) = log2(documents / documents with it), exceeds the disclosure threshold: its occurrences in the contexts of that
+value are spans of kind term. It must stand in contexts of at least `SUPPORT` different texts, or in all texts that hold the value where these are
+fewer: a value of one text is revealed by the terms that are rare in the corpus. All formats of a card, phone or ip are one value. `sanitise` replaces base spans by their kind, generalises
 such terms, and removes those that determine the value.
 
 All of it is DataFrame expressions. Positions come from the pieces between matches: a match starts after all earlier
@@ -86,8 +87,10 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _entity(span: str):
-    """A protected value's name: its kind and the value without case."""
-    return F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col(f"{span}.rank") + 1), F.lower(f"{span}.value"))
+    """A protected value's name: its kind, and the value without case, separators and leading zeros of an ip's parts."""
+    value, rank = F.lower(f"{span}.value"), F.col(f"{span}.rank")
+    plain = F.when(rank >= 2, F.regexp_replace(value, "[^0-9]", "")).when(rank == 1, F.regexp_replace(value, r"(?<![0-9])0+(?=[0-9])", "")).otherwise(value)
+    return F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), rank + 1), plain)
 
 
 def contexts(found: DataFrame) -> DataFrame:
@@ -114,10 +117,9 @@ def disclosing(docs: DataFrame, kept: DataFrame, ctx: DataFrame, text_col: str,
     """
     in_doc = ctx.groupBy("entity", "term", "id", "text_hash").agg(F.lit(1).alias("one"))
     pairs = in_doc.groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
-    pairs = materialise(pairs.where(F.col("texts") >= support).drop("texts"), "pii-pairs")
-    entities = small_side(pairs.select("entity").distinct())
     holders = kept.where(F.size("spans") > 0).select("id", "text_hash", F.explode("spans").alias("s")).select("id", "text_hash", _entity("s").alias("entity"))
-    n_entity = holders.join(entities, "entity", "left_semi").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n_entity = holders.distinct().groupBy("entity", "text_hash").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("held"))
+    pairs = materialise(pairs.join(n_entity, "entity").where(F.col("texts") >= F.least(F.lit(support), F.col("held"))).drop("texts", "held"), "pii-pairs")
     wanted = pairs.select("term").distinct()
     few = wanted.limit(BROADCAST_ROWS + 1).count()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
@@ -128,7 +130,7 @@ def disclosing(docs: DataFrame, kept: DataFrame, ctx: DataFrame, text_col: str,
     if few == 0:
         n_term = n_term.limit(0)
     total = docs.agg(F.count("*").cast("double").alias("total"))
-    rated = pairs.join(n_entity, "entity").join(n_term, "term").join(F.broadcast(total))
+    rated = pairs.join(n_term, "term").join(F.broadcast(total))
     pmi = F.log2(F.col("n_both") * F.col("total") / (F.col("n_term") * F.col("n_entity")))
     rated = rated.withColumn("share", pmi / F.nullif(F.log2(F.col("total") / F.col("n_entity")), F.lit(0.0)))
     return materialise(rated.where(F.col("share") >= disclosure).select("entity", "term", "share"), "pii-terms")
