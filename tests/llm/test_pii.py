@@ -66,6 +66,18 @@ def test_values_of_one_or_two_texts(spark):
     assert [terms_of(texts[i], spans[i]) for i in range(3)] == [{"quixote"}, {"pancho"}, {"pancho"}]
 
 
+def test_terms_count_and_stand_in_whole_texts(spark):
+    far = " ".join(["filler"] * 60)
+    texts = [f"quixote {far} one@corp.com {far} quixote", f"one@corp.com and quixote {far}", f"{far} one@corp.com {far} {far} quixote", f"of quixote {far} alone"]
+    rows = [*enumerate(texts), *((100 + i, f"and of {far} alone") for i in range(2000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.digest(pii.find_private(docs)).collect()}
+    for i, text in enumerate(texts):
+        assert {text[int(a) : int(b)] for kind, a, b in (s.split(":") for s in spans[i].split(",")) if kind == "term"} == {"quixote"}
+        assert spans[i].count("term") == text.count("quixote")
+    assert not any(s for i, s in spans.items() if i >= 100)
+
+
 def test_empty_and_columns(spark):
     assert pii.digest(pii.find_private(spark.createDataFrame([], SCHEMA))).count() == 0
     docs = clashing(awkward(spark))

@@ -1,13 +1,15 @@
 """Personal data: patterns, and terms that reveal them by corpus co-occurrence.
 
-Four patterns (email, ip, card, phone) give the base spans of each text. Around every base span, the words within
-`CONTEXT` code points are its context. Over the whole corpus, how often a term stands in the context of a protected
-value, against how often either occurs in documents at all, gives the information that the term reveals about it,
-PMI(term; value). A term that reveals at least the share `DISCLOSURE` of the value's own information
-IC(value) = log2(documents / documents with it), exceeds the disclosure threshold: its occurrences in the contexts of that
-value are spans of kind term. It must stand in contexts of at least `SUPPORT` different texts, or in all texts that hold the value where these are
-fewer: a value of one text is revealed by the terms that are rare in the corpus. All formats of a card, phone or ip are one value. `sanitise` replaces base spans by their kind, generalises
-such terms, and removes those that determine the value.
+Four patterns (email, ip, card, phone) give the base spans of each text. The terms of a text are its words outside of them. Over the whole corpus,
+how often a term stands in a document with a protected value, against how often either occurs in documents at all, gives the information that the
+term reveals about it, PMI(term; value). A term that reveals at least the share `DISCLOSURE` of the value's own information
+IC(value) = log2(documents / documents with it) exceeds the disclosure threshold: all its occurrences, in every text, are spans of kind term.
+It must stand with the value in at least `SUPPORT` different texts, or in all texts that hold the value where these are
+fewer: a value of one text is revealed by the terms that are rare in the corpus. All formats of a card, phone or ip are one value.
+`sanitise` replaces base spans by their kind, generalises such terms, and removes those that determine the value.
+
+Only terms that are rare enough for some value (`_most`, an exact bound) meet the values of their texts, and values that stand in the same texts are
+counted as one, so that a text with many values and words is not paired in full.
 
 All of it is DataFrame expressions. Positions come from the pieces between matches: a match starts after all earlier
 pieces and matches. Patterns use possessive loops and start only where a run starts, so that no text takes quadratic time.
@@ -22,10 +24,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, read_table, small_side
+from .common import materialise, read_table, small_side
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT = 80
 SUPPORT = 3
 DISCLOSURE = 0.9
 REMOVE_AT = 0.999
@@ -93,57 +94,66 @@ def _entity(span: str):
     return F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), rank + 1), plain)
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """Rows (id, text_hash, entity, term, start, end): the terms in the context of each base span."""
-    rows = found.where(F.size("spans") > 0).select("id", "text_hash", "body", F.explode("spans").alias("s"))
-    low = f"greatest(s.start - {CONTEXT}, 0)"
-    left = f"substring(body, cast({low} + 1 as int), cast(s.start - {low} as int))"
-    right = f"substring(body, cast(s.end + 1 as int), {CONTEXT})"
-    # a word cut by the outer edge is no term
-    cut_left = f"case when s.start > {CONTEXT} then length(regexp_extract({left}, '^\\\\S*', 0)) else 0 end"
-    sides = rows.select(
-        "id", "text_hash", _entity("s").alias("entity"),
-        F.expr(f"explode(array(struct({low} + {cut_left} as at, substring({left}, cast({cut_left} + 1 as int)) as side), struct(s.end as at, case when length({right}) = {CONTEXT} then regexp_replace({right}, '\\\\S*\\\\z', '') else {right} end as side)))").alias("c"),
-    ).select("id", "text_hash", "entity", F.col("c.at").alias("at"), F.col("c.side").alias("side"))
-    terms = with_matches(sides, "terms", "side", TERM).select("id", "text_hash", "entity", "at", F.explode("terms").alias("t"))
-    start = F.col("at") + F.col("t.start")
-    return terms.select("id", "text_hash", "entity", F.lower("t.value").alias("term"), start.alias("start"), (start + F.length("t.value")).alias("end"))
+def _blanked(spans: str) -> str:
+    """SQL for `body` with spaces in place of the spans, so that positions stay."""
+    kind = "array<struct<start:bigint,end:bigint>>"
+    last = "a[size(a) - 1]"
+    apart = f"aggregate({spans}, cast(array() as {kind}), (a, x) -> case when size(a) > 0 and x.start < {last}.end then concat(slice(a, 1, size(a) - 1), array(struct({last}.start as start, greatest(x.end, {last}.end) as end))) else concat(a, array(struct(x.start as start, x.end as end))) end)"
+    before = "case when i = 0 then 0 else s[i - 1].end end"
+    put = f"concat(substring(body, cast({before} + 1 as int), cast(x.start - {before} as int)), repeat(' ', cast(x.end - x.start as int)))"
+    joined = f"concat(array_join(transform(s, (x, i) -> {put}), ''), substring(body, cast(s[size(s) - 1].end + 1 as int)))"
+    return f"case when size({spans}) = 0 then body else {_let(apart, 's', joined)} end"
+
+
+def _terms(body: str = "body"):
+    """A row for each different term of a text."""
+    return F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col(body), F.lit(TERM), F.lit(0)), F.lower)))
+
+
+def _most(n_entity, total: int, disclosure: float):
+    """In so many documents a term can stand at most if it is to reveal a value of `n_entity` documents: it stands with it in n_entity at most."""
+    return n_entity * F.pow(F.lit(float(total)) / n_entity, F.lit(1 - disclosure)) * (1 + 1e-9)
 
 
-def disclosing(docs: DataFrame, kept: DataFrame, ctx: DataFrame, text_col: str, support: int, disclosure: float) -> DataFrame:
-    """Rows (entity, term, share): terms that reveal at least the share `disclosure` of an entity's information.
+def disclosing(kept: DataFrame, support: int, disclosure: float) -> DataFrame:
+    """Rows (term, share): terms that reveal at least the share `disclosure` of some value's information, and the largest such share.
 
-    Each step counts by key with partial sums before its shuffle; a document counts a term and an entity once.
+    Each step counts by key with partial sums before its shuffle; all counts are of rows, and a row counts a term and a value once.
     """
-    in_doc = ctx.groupBy("entity", "term", "id", "text_hash").agg(F.lit(1).alias("one"))
-    pairs = in_doc.groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
-    holders = kept.where(F.size("spans") > 0).select("id", "text_hash", F.explode("spans").alias("s")).select("id", "text_hash", _entity("s").alias("entity"))
-    n_entity = holders.distinct().groupBy("entity", "text_hash").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("held"))
-    pairs = materialise(pairs.join(n_entity, "entity").where(F.col("texts") >= F.least(F.lit(support), F.col("held"))).drop("texts", "held"), "pii-pairs")
-    wanted = pairs.select("term").distinct()
-    few = wanted.limit(BROADCAST_ROWS + 1).count()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
-    if few <= BROADCAST_ROWS:
-        n_term = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    else:
-        n_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
-    if few == 0:
-        n_term = n_term.limit(0)
-    total = docs.agg(F.count("*").cast("double").alias("total"))
-    rated = pairs.join(n_term, "term").join(F.broadcast(total))
-    pmi = F.log2(F.col("n_both") * F.col("total") / (F.col("n_term") * F.col("n_entity")))
-    rated = rated.withColumn("share", pmi / F.nullif(F.log2(F.col("total") / F.col("n_entity")), F.lit(0.0)))
-    return materialise(rated.where(F.col("share") >= disclosure).select("entity", "term", "share"), "pii-terms")
+    holders = kept.where(F.size("spans") > 0)
+    copies = holders.groupBy("text_hash").agg(F.count("*").alias("copies"))
+    texts = materialise(holders.select("text_hash", "spans", "body").dropDuplicates(["text_hash"]).join(copies, "text_hash"), "pii-texts")
+    values = texts.select("text_hash", "copies", F.explode("spans").alias("s")).select("text_hash", "copies", _entity("s").alias("entity")).distinct()
+    # values with the same texts have the same figures for each term: two hashes of the set of texts stand for them
+    sets = [F.expr(f"bit_xor(xxhash64(text_hash, {seed}))").alias(f"set{seed}") for seed in (1, 2)]
+    figures = values.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("held"), *sets)
+    group = ["n_entity", "held", "set1", "set2"]
+    groups = materialise(values.join(figures, "entity").select("text_hash", *group).distinct(), "pii-values")
+    total, largest = kept.count(), groups.agg(F.max("n_entity")).first()[0]
+    words = kept.select((F.size("spans") > 0).alias("holds"), _terms().alias("term")).groupBy("term").agg(F.count("*").alias("n_term"), F.max("holds").alias("holds"))
+    rare = words.where(F.col("holds") & (F.col("n_term") <= _most(F.lit(largest), total, disclosure))).drop("holds")
+    rare = materialise(rare, "pii-rare")
+    pairs = texts.select("text_hash", "copies", _terms().alias("term")).join(small_side(rare), "term").join(groups, "text_hash")
+    pairs = pairs.where(F.col("n_term") <= _most(F.col("n_entity"), total, disclosure))
+    pairs = pairs.groupBy("term", "n_term", *group).agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= F.least(F.lit(support), F.col("held")))
+    n = F.lit(float(total))
+    pmi = F.log2(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity")))
+    share = pmi / F.nullif(F.log2(n / F.col("n_entity")), F.lit(0.0))
+    return materialise(pairs.groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= disclosure), "pii-terms")
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """Rows (id, spans, row): all spans of every document as sorted array of (start, rank, end, share)."""
     found = base_spans(docs, id_col, text_col)
-    kept = found.select("id", "text_hash", "spans", F.when(F.size("spans") > 0, F.col("body")).alias("body"))
-    kept = materialise(kept, "pii-base")
-    ctx = materialise(contexts(kept), "pii-contexts")
-    terms = disclosing(docs, kept, ctx, text_col, support, disclosure)
-    flagged = ctx.join(small_side(terms), ["entity", "term"]).groupBy("id", "text_hash", "start", "end").agg(F.max("share").alias("share"))
+    kept = materialise(found.select("id", "text_hash", "spans", F.expr(_blanked("spans")).alias("body")), "pii-base")
+    terms = small_side(disclosing(kept, support, disclosure))
+    # only texts that hold such a term are placed word by word
+    marked = materialise(kept.select("id", "text_hash", _terms().alias("term")).join(terms, "term", "left_semi").select("id", "text_hash").distinct(), "pii-marked")
+    same = [F.col("k.id").eqNullSafe(F.col("m.id")), F.col("k.text_hash") == F.col("m.text_hash")]
+    places = kept.alias("k").join(small_side(marked).alias("m"), same[0] & same[1], "left_semi")
+    places = with_matches(places, "terms", "body", TERM).select("id", "text_hash", F.explode("terms").alias("t"))
+    places = places.select("id", "text_hash", F.lower("t.value").alias("term"), F.col("t.start").alias("start"), (F.col("t.start") + F.length("t.value")).alias("end"))
+    flagged = places.join(terms, "term").groupBy("id", "text_hash", "start", "end").agg(F.max("share").alias("share"))
     flagged = flagged.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", "share")).alias("terms"))
     flagged = materialise(flagged, "pii-flagged")
     key = [F.col("b.id").eqNullSafe(F.col("f.id")), F.col("b.text_hash") == F.col("f.text_hash")]
