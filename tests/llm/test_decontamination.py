@@ -58,6 +58,17 @@ def test_planted_passages(spark):
         assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(r.doc_id or -1 for r in docs.collect() if r.doc_id not in (100, 101))
 
 
+def test_runs_of_blanks_count_as_one(spark):
+    item = "which of these four cities lies farthest north of the river and its three bridges"
+    texts = [(i, "Before   it.  " + item.replace(" ", gap) + gap + "after") for i, gap in enumerate(["  ", "\r\n", "\n\n    ", " "])] + [(9, "of the river  and its")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for asked in (item, item.replace(" ", "\t ")):
+        bench = spark.createDataFrame([(1, asked)], "item_id int, text string")
+        got = {r.doc_id: (r.distance, texts[r.doc_id][1][r.start_char : r.end_char].split()) for r in D.contaminated(docs, bench).collect()}
+        assert got == {i: (0, item.split()) for i in range(4)}
+        assert [r.doc_id for r in D.drop_contaminated(docs, bench).collect()] == [9]
+
+
 def test_empty_tables(spark):
     none, bench = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert D.contaminated(none, bench).count() == 0

@@ -3,7 +3,8 @@
 An item of m characters is found in a text if some passage lies within k = floor(m * error_rate) edits of it. The item
 is split into k + 1 pieces, one of which such a passage must hold unchanged. An Aho-Corasick automaton finds the pieces
 of all items in one run over a whole text; around each hit a window of the item's length and k more on each side is
-verified with Myers' bit-parallel distance. Letters are compared without case and white space as one character.
+verified with Myers' bit-parallel distance. Letters are compared without case and a run of white space as one character;
+positions are those of the text as it stands.
 
 The items are sent to the executors in blocks of at most `block_chars` characters, and each block meets all rows, so
 that neither the driver nor an executor holds more than one block.
@@ -14,7 +15,10 @@ reported; repeated rows are reported each; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -36,6 +40,19 @@ def fold(text: str) -> str:
     return low.translate(_BLANKS)
 
 
+_RUN = re.compile(r"[\x20\x09-\x0D]{2,}")
+
+
+def collapse(text: str) -> tuple[str, Callable[[int], int]]:
+    """`text` with each run of white space as one blank, and a function from places in it to places in `text`."""
+    runs = [m.span() for m in _RUN.finditer(text)]
+    if not runs:
+        return text, lambda i: i
+    gone = [0, *accumulate(b - a - 1 for a, b in runs)]
+    blanks = [a - g for (a, _), g in zip(runs, gone)]
+    return _RUN.sub(" ", text), lambda i: i + gone[bisect_left(blanks, i)]
+
+
 def budget(m: int, error_rate: float) -> int:
     return int(m * error_rate + 1e-9)
 
@@ -117,6 +134,12 @@ class Matcher:
             if found := self._verify(i, sorted(starts), folded):
                 yield self.items[i][0], *found
 
+    def search(self, text: str) -> Iterator[tuple[int | None, int, int, int]]:
+        """As `find`, with runs of white space in `text` as one blank; start and end are places in `text`."""
+        flat, place = collapse(text)
+        for item, distance, start, end in self.find(flat):
+            yield item, distance, place(start), place(end - 1) + 1
+
     def _verify(self, i: int, starts: list[int], text: str) -> tuple[int, int, int] | None:
         _, item, k = self.items[i]
         m = len(item)
@@ -155,10 +178,10 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int)
 
 def _detect(shared, error_rate: float):
     def run(batches):
-        matcher = Matcher(shared.value, error_rate)
+        matcher = Matcher([(i, collapse(text)[0]) for i, text in shared.value], error_rate)
         for batch in batches:
             for piece, texts in text_slices(batch, lambda x: x.column(1)):
-                out = [(doc, *hit) for doc, text in zip(piece.column(0).to_pylist(), texts) for hit in matcher.find(text.decode())]
+                out = [(doc, *hit) for doc, text in zip(piece.column(0).to_pylist(), texts) for hit in matcher.search(text.decode())]
                 if out:
                     kinds = [batch.schema.types[0], *[pa.int64()] * 4]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["id", "item", "distance", "start", "end"])
@@ -168,10 +191,10 @@ def _detect(shared, error_rate: float):
 
 def _keep_clean(shared, error_rate: float, text_col: str):
     def run(batches):
-        matcher = Matcher(shared.value, error_rate)
+        matcher = Matcher([(i, collapse(text)[0]) for i, text in shared.value], error_rate)
         for batch in batches:
             for piece, texts in text_slices(batch, lambda x: x.column(0).field(text_col)):
-                clean = [next(matcher.find(text.decode()), None) is None for text in texts]
+                clean = [next(matcher.search(text.decode()), None) is None for text in texts]
                 yield piece.filter(pa.array(clean, pa.bool_()))
 
     return run
