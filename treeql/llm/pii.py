@@ -57,8 +57,11 @@ def _let(value: str, name: str, then: str) -> str:
     return f"transform(array({value}), {name} -> {then})[0]"
 
 
-def with_matches(df: DataFrame, name: str, body: str, pattern: str, test: str = "true") -> DataFrame:
-    """`df` with `name`: the matches of `pattern` in column `body` as array of (start, value), in code points."""
+def with_matches(df: DataFrame, name: str, body: str, pattern: str, test: str = "true", cut=lambda df: df) -> DataFrame:
+    """`df` with `name`: the matches of `pattern` in column `body` as array of (start, value), in code points.
+
+    `cut` may write the steps between to tables: for long arrays, since an expression is run again wherever the optimiser puts it.
+    """
     p = F.lit(pattern)
     m, z, b = f"__m_{name}", f"__z_{name}", f"__b_{name}"
     empty = f"cast(array() as {_FOUND})"
@@ -66,14 +69,16 @@ def with_matches(df: DataFrame, name: str, body: str, pattern: str, test: str =
     # the optimiser may move a column's expression into a lambda, to be run for each element: _let binds its value once
     gaps = F.slice(F.split(F.col(body), pattern, -1), 1, F.size(m))
     df = df.withColumn(z, F.when(F.size(m) > 0, F.zip_with(m, gaps, lambda v, g: F.struct(F.length(g).cast("long").alias("gap"), v.alias("value")))))
+    df = cut(df.drop(m))
     each = "struct(a.at + x.gap + length(x.value) as at, concat(a.found, array(struct(a.at + x.gap as start, x.value as value))) as found)"
     place = _let(z, "zz", f"transform(sequence(0, (size(zz) - 1) div {BLOCK}), k -> aggregate(slice(zz, cast(k * {BLOCK} + 1 as int), {BLOCK}), struct(0L as at, {empty} as found), (a, x) -> {each}))")
     df = df.withColumn(b, F.expr(f"case when size({z}) > 0 then {place} end"))
+    df = cut(df.drop(z))
     # running sums of the blocks' lengths, one for each block
     sums = "aggregate(bb, struct(0L as at, array(0L) as sums), (s, y) -> struct(s.at + y.at as at, concat(s.sums, array(s.at + y.at)) as sums)).sums"
     moved = "flatten(transform(bb, (k, i) -> transform(k.found, x -> struct(x.start + oo[i] as start, x.value as value))))"
     whole = _let(b, "bb", _let(sums, "oo", moved))
-    return df.withColumn(name, F.expr(f"case when size({b}) > 0 then {whole} else {empty} end")).drop(m, z, b)
+    return df.withColumn(name, F.expr(f"case when size({b}) > 0 then {whole} else {empty} end")).drop(b)
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -151,7 +156,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = materialise(kept.select("id", "text_hash", _terms().alias("term")).join(terms, "term", "left_semi").select("id", "text_hash").distinct(), "pii-marked")
     same = [F.col("k.id").eqNullSafe(F.col("m.id")), F.col("k.text_hash") == F.col("m.text_hash")]
     places = kept.alias("k").join(small_side(marked).alias("m"), same[0] & same[1], "left_semi")
-    places = with_matches(places, "terms", "body", TERM).select("id", "text_hash", F.explode("terms").alias("t"))
+    places = with_matches(places.select("id", "text_hash", "body"), "terms", "body", TERM, cut=lambda df: materialise(df.drop("body"), "pii-places")).select("id", "text_hash", F.explode("terms").alias("t"))
     places = places.select("id", "text_hash", F.lower("t.value").alias("term"), F.col("t.start").alias("start"), (F.col("t.start") + F.length("t.value")).alias("end"))
     flagged = places.join(terms, "term").groupBy("id", "text_hash", "start", "end").agg(F.max("share").alias("share"))
     flagged = flagged.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", "share")).alias("terms"))
