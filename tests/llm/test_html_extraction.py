@@ -55,3 +55,10 @@ def test_awkward_pages(spark):
     by_id = {r.page_id: r.text for r in got}
     assert by_id[1] == by_id[2] == by_id[7] == "" and by_id[3] == "just text <b>"
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_punctuation_is_counted_at_every_length():
+    from treeql.llm import html_extraction as module
+
+    stops = lambda text: module.features(module.Page(f"<div><p>{text}</p></div>"))[2, -14]
+    assert stops("word " * 1000) == 0 and stops("word. " * 1000) == stops("word. " * 100 + "word. " * 900) > 10

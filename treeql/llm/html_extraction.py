@@ -177,7 +177,7 @@ def features(page: Page) -> np.ndarray:
     for node, text, linked in page.blocks:
         own[node] += len(text)
         link[node] += linked
-        marks_n[node] += len(_PUNCTUATION.findall(text)) if len(text) < 2000 else len(text) / 40
+        marks_n[node] += len(_PUNCTUATION.findall(text))
         blocks[node] += 1
         if first[node] < 0:
             first[node] = seen
