@@ -1,3 +1,7 @@
+import os
+import time
+from html.parser import HTMLParser
+
 import numpy as np
 import pytest
 
@@ -62,3 +66,63 @@ def test_punctuation_is_counted_at_every_length():
 
     stops = lambda text: module.features(module.Page(f"<div><p>{text}</p></div>"))[2, -14]
     assert stops("word " * 1000) == 0 and stops("word. " * 1000) == stops("word. " * 100 + "word. " * 900) > 10
+
+
+@pytest.mark.parametrize("piece", ["<a b ", "<a '", "<button>", "<svg>", "<x></y>", "<!-- ", "</div>", "<a<", "<p><table><span></div>", "<p class='a\" "])
+def test_a_megabyte_of_broken_markup(piece):
+    from treeql.grammar.html import parse_html
+
+    page = piece * (1_000_000 // len(piece))
+    H.model()
+    for f in (lambda: H.extract_many([page], H.model()), lambda: parse_html(page[:100_000].encode())):
+        began = time.process_time()
+        f()
+        assert time.process_time() - began < 5
+
+
+def test_what_is_text():
+    texts = lambda source: [t for _, t, _ in H.Page(source).blocks]
+    assert texts("<p>Let <math><mi>x</mi></math> be <object>fallback</object> 5 <noscript>still</noscript></p>") == ["Let x be fallback 5 still"]
+    assert texts('x<p title="y>rest<b>bold</b>') == ["x", "restbold"]
+    assert texts("<p>if a < b and c <d") == ["if a < b and c <d"]
+    assert H.Page("<div/><p>in it</p>").parent == [-1, 0, 1]
+
+
+class _Article(HTMLParser):
+    """The article's blocks as the standard library's parser reads them, without the boxes in it that have a class."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.boxed, self.blocks = False, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.inside = True
+        elif self.boxed or (self.inside and tag in ("div", "section", "aside", "form") and dict(attrs).get("class")):
+            self.boxed += tag in ("div", "section", "aside", "form")
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag in ("p", "li", "ul", "h1", "h2", "h3", "div", "section", "article", "blockquote"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.inside = False
+        self.boxed -= bool(self.boxed and tag in ("div", "section", "aside", "form"))
+        if tag in ("p", "li", "ul", "h1", "h2", "h3", "div", "section", "article", "blockquote"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.boxed:
+            self.blocks[-1] += data
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_articles_of_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in H.extract(pages).collect()}
+    for page in pages.collect():
+        plain = _Article()
+        plain.feed(page.html)
+        plain.close()
+        assert got[page.page_id] == "\n".join(t for t in (" ".join(b.split()) for b in plain.blocks) if t), page.page_id

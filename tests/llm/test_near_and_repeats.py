@@ -68,6 +68,44 @@ def test_join_equals_all_pairs(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, root) in want.items() if i == root)
 
 
+def thue_morse(n, a, b):
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+#: Words of one letter pattern and its complement, which polynomial hashes of bytes can't tell apart.
+PATTERNS = [(thue_morse(n, "a", "b"), thue_morse(n, "b", "a")) for n in (1024, 2048, 4096, 8192)]
+
+
+def test_patterned_words_have_hashes_of_their_own():
+    for a, b in PATTERNS:
+        assert len(set(tokens.word_hashes([a.encode(), b.encode()])[0].tolist())) == 2
+
+
+def test_join_of_patterned_words(spark):
+    rng = random.Random(5)
+    rows = []
+    for k, (a, b) in enumerate(PATTERNS):
+        rest = words(rng, 3)
+        rows += [(10 * k + i, f"{w} {rest}", "en", "a", 0) for i, w in enumerate((a, b))]
+        long = words(rng, 30)
+        rows += [(10 * k + 2 + i, f"{w} {long}", "en", "a", 0) for i, w in enumerate((a, b))]
+    want = links([(r[0], r[1]) for r in rows])
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id: (r.n_links, r.class_id) for r in J.ngram_join(docs).collect()} == want
+    assert any(n for n, _ in want.values()) and not all(n for n, _ in want.values())
+
+
+def test_one_identifier_with_several_texts(spark):
+    rng = random.Random(6)
+    base, other = words(rng, 60), words(rng, 60)
+    near = base + " tail"
+    rows = [(1, base, "en", "a", 0), (7, near, "en", "a", 0), (7, other, "en", "a", 0), (7, near, "en", "a", 0), (1, base, "en", "b", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((r.doc_id, r.text) for r in J.keep_one_per_group(docs).collect()) == sorted([(1, base), (1, base), (7, other)])
+    got = sorted((r.doc_id, r.class_id, r.copy_of, r.n_copies, r.n_links) for r in J.ngram_join(docs).collect())
+    assert got == [(1, 1, 1, 2, 3)] * 2 + [(7, 1, 7, 2, 3)] * 2 + [(7, 7, 7, 1, 0)]
+
+
 def test_join_awkward(spark):
     got = J.ngram_join(awkward(spark)).collect()
     assert len(got) == 12
@@ -118,6 +156,35 @@ def test_removal_equals_sql(spark):
     assert spark_rows(S.remove_repeats(clashing(docs))) == sql_rows(S.ORACLE, documents=docs)
 
 
+def test_digests_decide_whatever_the_names(monkeypatch):
+    """With names of two bits, different passages share anchors all the time; their digests stay apart."""
+    whole = tokens.word_hashes
+    monkeypatch.setattr(S, "word_hashes", lambda texts: (whole(texts)[0] & np.uint64(3), whole(texts)[1]))
+    rng = random.Random(2)
+    texts = ["", " \n", words(rng, 3), *["  ".join(words(rng, rng.randint(30, 90), 3).split()) + rng.choice(["", " ", "\t\n"]) for _ in range(40)]]
+    texts += [texts[5], texts[6] + " x"]
+    text, _, d1, d2, a, b = S.segments([t.encode() for t in texts], 12)
+    seen, back = {}, {}
+    for t, x, y, i, j in zip(text, d1, d2, a, b):
+        stretch = tuple(WORD.findall(texts[t])[i : j + 12])
+        assert len(stretch) == j - i + 12
+        assert seen.setdefault((x, y), stretch) == stretch and back.setdefault(stretch, (x, y)) == (x, y)
+    assert len(seen) < len(text)
+
+
+def test_removal_of_patterned_words_equals_sql(spark):
+    rng = random.Random(4)
+    rows = []
+    for k, pair in enumerate(PATTERNS):
+        rest = words(rng, 40)
+        rows += [(10 * k + i, f"{w} {rest}", "en", "a", 0) for i, w in enumerate(pair)]
+        rows += [(10 * k + 2 + i, " ".join([w] * 36), "en", "a", 0) for i, w in enumerate(pair)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = spark_rows(S.remove_repeats(docs))
+    assert got == sql_rows(S.ORACLE, documents=docs)
+    assert {r["doc_id"]: r["n_removed"] for r in map(dict, got)}[0] == 40
+
+
 def test_removal_awkward(spark):
     rng = random.Random(1)
     same = words(rng, 60)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,20 +19,52 @@ BROADCAST_ROWS = 200_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is named, as in tests."""
+    """The shared folder named in spark.checkpoint.dir. Where none is named, a session that runs in one process gets a temporary one; on a cluster that is an error,
+    as its machines share no local folder."""
     sc = spark.sparkContext
     where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="treeql-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder and read it back, which cuts its lineage."""
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as a Parquet table in the shared folder and read it back, which cuts its lineage. The table stays, since lazy results read it."""
+    return _write(df, name)[0]
+
+
+class Scratch:
+    """Tables that are needed only until a later one has been written: as `materialise`, but removed at the end of the `with` block, or by `drop`."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _write(df, name)
+        self._paths.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table, path in [x for x in self._paths if any(x[0] is t for t in tables)]:
+            self._paths.remove((table, path))
+            where = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def __exit__(self, *error) -> None:
+        self.drop(*[t for t, _ in self._paths])
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -47,7 +81,7 @@ def word_count(text: Column) -> Column:
 
 def bound_batches(df: DataFrame, rows: int = 1000, size: int = 8 << 20) -> None:
     """Let Arrow batches of the session hold at most so many rows and bytes, if it allows more: whole texts pass through them, and their buffers stand outside of
-    the executor's heap on either side."""
+    the executor's heap on either side. The session keeps the setting, as results are lazy and read it when they run."""
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = str(conf.get(key)).lower().removesuffix("b")

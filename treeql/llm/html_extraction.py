@@ -7,10 +7,11 @@ labelling of a page is the likeliest one in which a node inside the main text th
 node stands either in another kept one or outside any that was left out: so no ancestor contradicts a descendant. Blocks of kept
 nodes are joined in page order.
 
-Scripts, styles, comments in markup and other elements without running text hold no blocks. A line break counts as white space.
+Pages are read in one forward scan (`..grammar.markup`), so that no markup takes quadratic time. Scripts, styles, comments in markup, controls of forms and
+embedded media hold no blocks; formulas, the fallback of `object` and the text of `noscript` are text like any other. A line break counts as white space.
 
 Defined cases: a null or empty page has the empty text; text without any tag is one block in an otherwise empty page and is kept; unclosed and stray tags are
-repaired as browsers mostly do; repeated rows give the same text; an empty table gives an empty result.
+repaired as browsers mostly do; a slash doesn't close an HTML block; where a quote in a tag is never closed, quotes mean nothing from there on; repeated rows give the same text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..grammar.markup import OpenElements, Scan
 from . import gbt
 from .common import bound_batches, read_table
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SKIPPED = frozenset("script style template noscript svg math iframe object head title select textarea button canvas audio video datalist".split())
+SKIPPED = frozenset("script style template svg iframe head title select textarea button canvas audio video datalist".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption label".split()
 )
@@ -56,7 +58,6 @@ TOKENS = {
 _GROUP = {w: 1 << i for i, words in enumerate(TOKENS.values()) for w in words.split()}
 _TAGS = {t: i for i, g in enumerate(["article", "main", "section", "div center", "p", "h1", "h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "table tbody thead tfoot tr", "td th caption", "nav", "header hgroup", "footer", "aside", "form fieldset label legend search", "figure figcaption", "blockquote pre address", "html body"]) for t in g.split()}
 _N_TAGS = 20
-_MARKUP = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -70,7 +71,7 @@ class Page:
         self._held: list[str] = []
         self._linked = 0
         self._stack: list[tuple[str, int]] = [("", 0)]
-        self._open: dict[str, int] = {}
+        self._open = OpenElements()
         self._read(source)
         self._flush()
 
@@ -84,36 +85,27 @@ class Page:
     def _text(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
         self._held.append(text)
-        if self._open.get("a"):
+        if self._open.nearest(("a",)) > 0:
             self._linked += len(text.strip())
 
     def _pop(self, wanted: set, bounds: frozenset | set = frozenset()) -> None:
         """Close up to the nearest open element of `wanted`, unless one of `bounds` stands above it."""
-        if not any(self._open.get(t) for t in wanted):
+        k = self._open.nearest(wanted)
+        if k < 0 or self._open.nearest(bounds) > k:
             return
-        for k in range(len(self._stack) - 1, 0, -1):
-            tag = self._stack[k][0]
-            if tag in wanted:
-                if any(t in BLOCK for t, _ in self._stack[k:]):
-                    self._flush()
-                for t, _ in self._stack[k:]:
-                    self._open[t] -= 1
-                del self._stack[k:]
-                return
-            if tag in bounds:
-                return
+        if any(t in BLOCK for t, _ in self._stack[k:]):
+            self._flush()
+        for t, _ in self._stack[k:]:
+            self._open.pop(t)
+        del self._stack[k:]
 
     def _read(self, source: str) -> None:
-        at, size = 0, len(source)
-        while at < size:
-            m = _MARKUP.search(source, at)
-            if not m:
-                self._text(source[at:])
-                return
-            if m.start() > at:
-                self._text(source[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+        at, scan = 0, Scan(source)
+        for _, m, start, end in scan:
+            if start > at:
+                self._text(source[at:start])
+            at = end
+            if m is None:
                 continue
             tag = m[2].lower()
             if m[1]:
@@ -121,12 +113,13 @@ class Page:
                     self._pop({tag}, {"table"} if tag not in ("table", "body", "html") and tag in BLOCK and tag not in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption") else frozenset())
                 continue
             if tag in SKIPPED:
-                if not m[3].endswith("/"):
-                    end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
-                    if end:
-                        at = end.end()
+                # a slash closes foreign elements only
+                if not (tag == "svg" and m[3].endswith("/")):
+                    closing = scan.closing(tag)
+                    if closing:
+                        at = scan.at = closing.end()
                     elif tag in ("script", "style", "title", "textarea"):
-                        at = size
+                        at = scan.at = len(source)
                 continue
             if tag in VOID:
                 self._held.append(" ")
@@ -147,9 +140,11 @@ class Page:
                 self.marks.append(marks)
                 self.label.append(label)
                 node = len(self.tag) - 1
-            if not m[3].endswith("/"):
+            if tag in BLOCK or not m[3].endswith("/"):
                 self._stack.append((tag, node))
-                self._open[tag] = self._open.get(tag, 0) + 1
+                self._open.push(tag, len(self._stack) - 1)
+        if at < len(source):
+            self._text(source[at:])
 
     def _attributes(self, raw: str) -> tuple[int, int]:
         marks = label = 0

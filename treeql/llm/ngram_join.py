@@ -1,11 +1,11 @@
 """Near-duplicate documents by n-gram Jaccard similarity: MinHash banding, then verification on full n-gram sets.
 
-1.  Every text becomes its set of hashed five-word n-grams, a key of that set, and one hash per band of its MinHash signature. Texts
-    with equal sets form a class with one representative.
-2.  Representatives meet in a shuffle on band hashes. Each bucket gives links to its smallest member only, so that a bucket of m members
+1.  Every text becomes its set of hashed five-word n-grams, a 128-bit digest of that set, and one hash per band of its MinHash signature. Texts
+    with equal sets form a class, which is a node of what follows.
+2.  Classes meet in a shuffle on band hashes. Each bucket gives links to its smallest node only, so that a bucket of m members
     gives m rows; the connected components of these links are clusters that hold every candidate pair.
-3.  The full sets of each cluster's representatives are dealt to block pairs of bounded volume and compared there, all against all, by matrix
-    products over the n-grams that occur twice. A block pair returns, for each representative, its number of links and a
+3.  The full sets of each cluster's classes are dealt to block pairs of bounded volume and compared there, all against all, by matrix
+    products over the n-grams that occur twice. A block pair returns, for each class, its number of links and a
     root of its linked part: never the pairs themselves.
 4.  Link counts are summed and the roots' components give the groups.
 
@@ -13,20 +13,21 @@ Bands: of all (bands, rows) that find a pair at the threshold with probability `
 it that stays within `most_hashes` hash functions. More than the shared-bucket pairs are verified (whole clusters are), so recall is higher still.
 
 Defined cases: a text with fewer than five words has one n-gram, all its words; a null text, or one without words, has none, is in no group
-and has no link; repeated rows are members of one class; rows that share an identifier but not a text count as one document; an empty table gives an empty
-result.
+and has no link; a null identifier is in no group either; repeated rows are members of one class; rows that share an identifier but not the n-grams are documents of their own;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise, read_table, small_side, text_slices
+from .common import Scratch, bound_batches, materialise, read_table, small_side, text_slices
 from .tokens import mix, runs, word_hashes
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 360
@@ -58,13 +59,8 @@ def gram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
 
 
 def set_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """Two 64-bit sums over each set's n-grams, under different mixing."""
-    salts = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
-    out = np.zeros((len(sets), 2), np.uint64)
-    for i, s in enumerate(sets):
-        for j in (0, 1):
-            out[i, j] = mix(s ^ salts[j]).sum(dtype=np.uint64)
-    return out.view(np.int64)
+    """(sets, 2): the 128-bit BLAKE2b digest of each sorted set."""
+    return np.frombuffer(b"".join(blake2b(s.data, digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
 
 
 def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
@@ -81,10 +77,13 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return mix(out + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
+_ROW = ("id", "text_hash", "bytes")
+
+
 def _signatures(n: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
-            for piece, texts in text_slices(batch, lambda x: x.column(1)):
+            for piece, texts in text_slices(batch, lambda x: x.column("text")):
                 sets = gram_sets(texts, n)
                 sizes = np.array([len(s) for s in sets])
                 keys = set_keys(sets)
@@ -92,20 +91,33 @@ def _signatures(n: int, bands: int, rows: int):
                 hashes = band_hashes([sets[i] for i in full], bands, rows) if len(full) else np.zeros((0, bands), np.int64)
                 offsets = np.concatenate(([0], np.cumsum((sizes > 0) * bands)))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], names=["id", "n", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([*map(piece.column, _ROW), pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], names=[*_ROW, "n", "k1", "k2", "bands"])
 
     return run
 
 
 def _sets(n: int):
+    """(id, text) -> (id, k1, k2, grams); a task gives each text of an identifier once, however often its row is repeated."""
+
     def run(batches):
+        given = set()
         for batch in batches:
-            for piece, texts in text_slices(batch, lambda x: x.column(1)):
+            for piece, texts in text_slices(batch, lambda x: x.column("text")):
                 sets = gram_sets(texts, n)
                 keys = set_keys(sets)
-                offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["id", "k1", "k2", "grams"])
+                ids = piece.column("id").to_pylist()
+                new = []
+                for i, key in enumerate(zip(ids, *keys.T.tolist())):
+                    if key not in given:
+                        given.add(key)
+                        new.append(i)
+                offsets = np.concatenate(([0], np.cumsum([len(sets[i]) for i in new])))
+                flat = np.concatenate([sets[i] for i in new]).view(np.int64) if new else np.zeros(0, np.int64)
+                take = pa.array(new, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("id").take(take), pa.array(keys[new, 0], pa.int64()), pa.array(keys[new, 1], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
+                    names=["id", "k1", "k2", "grams"],
+                )
 
     return run
 
@@ -146,7 +158,7 @@ def _roots(links: np.ndarray) -> np.ndarray:
 
 
 def _verify(threshold: float):
-    """Rows (cluster, i, j, block, rep, size, grams) of whole block pairs in order -> (rep, links, root)."""
+    """Rows (cluster, i, j, block, node, size, grams) of whole block pairs in order -> (node, links, root)."""
 
     def compare(rows: list[tuple]):
         i, j = rows[0][1], rows[0][2]
@@ -167,14 +179,14 @@ def _verify(threshold: float):
             weight_b = np.array([r[5] for r in right])
             square = np.block([[np.zeros((len(a), len(a)), bool), near], [near.T, np.zeros((len(b), len(b)), bool)]])
             members, links = left + right, np.concatenate((near @ weight_b, near.T @ weight_a))
-        reps = [r[4] for r in members]
+        nodes = [r[4] for r in members]
         for m, root in enumerate(_roots(square)):
             if links[m]:
-                yield reps[m], int(links[m]), reps[root]
+                yield nodes[m], int(links[m]), nodes[root]
 
     def run(batches):
         def results():
-            held, key = [], None
+            held, seen, key = [], set(), None
             for batch in batches:
                 columns = [batch.column(c).to_pylist() for c in range(6)]
                 lists = batch.column(6)
@@ -183,8 +195,11 @@ def _verify(threshold: float):
                     if row[:3] != key:
                         if held:
                             yield from compare(held)
-                        held, key = [], row[:3]
-                    held.append((*row, values[offsets[r] : offsets[r + 1]].copy()))
+                        held, seen, key = [], set(), row[:3]
+                    # several tasks may give the set of a class whose row is repeated
+                    if row[4] not in seen:
+                        seen.add(row[4])
+                        held.append((*row, values[offsets[r] : offsets[r + 1]].copy()))
             if held:
                 yield from compare(held)
 
@@ -192,10 +207,10 @@ def _verify(threshold: float):
         for x in results():
             out.append(x)
             if len(out) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["rep", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["node", "links", "root"])
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["rep", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["node", "links", "root"])
 
     return run
 
@@ -204,74 +219,91 @@ def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) of every node of `edges` (a, b): the smallest node that it is connected with.
 
     Each round takes the least label around every node and then the label of that label, until nothing changes; rounds are
-    written to the shared folder. Labels shrink before each shuffle, so that a node with most of the edges is no hot key in the sums.
+    written to the shared folder, and removed when the next one stands. Labels shrink before each shuffle, so that a node with most of the edges is no hot key in the sums.
     """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = materialise(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label")), "cc-labels")
-    while True:
-        around = both.join(labels.select(F.col("a").alias("b"), "label"), "b").select("a", "label")
-        least = around.unionByName(labels).groupBy("a").agg(F.min("label").alias("label"))
-        onward = labels.select(F.col("a").alias("label"), F.col("label").alias("onward"))
-        jumped = least.join(onward, "label").select("a", F.least("label", "onward").alias("label"))
-        now = materialise(jumped, "cc-labels")
-        same = now.join(labels.withColumnRenamed("label", "was"), "a").where("label <> was").limit(1).count() == 0
-        labels = now
-        if same:
-            return labels.select(F.col("a").alias("node"), F.col("label").alias("root"))
-
-
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
+    with Scratch(edges.sparkSession) as tables:
+        both = tables.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+        labels = tables.write(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label")), "cc-labels")
+        while True:
+            around = both.join(labels.select(F.col("a").alias("b"), "label"), "b").select("a", "label")
+            least = around.unionByName(labels).groupBy("a").agg(F.min("label").alias("label"))
+            onward = labels.select(F.col("a").alias("label"), F.col("label").alias("onward"))
+            jumped = least.join(onward, "label").select("a", F.least("label", "onward").alias("label"))
+            now = tables.write(jumped, "cc-labels")
+            same = now.join(labels.withColumnRenamed("label", "was"), "a").where("label <> was").limit(1).count() == 0
+            tables.drop(labels)
+            labels = now
+            if same:
+                return materialise(labels.select(F.col("a").alias("node"), F.col("label").alias("root")), "cc-roots")
+
+
+def group_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
+    """A row for each document: its identifier, text_hash and bytes, and of what it belongs to: copy_of, n_copies, links to other classes, class_id (null where it
+    stands alone), and whether it is the document that stays for its group."""
+    bound_batches(docs)
+    bands, rows = choose_bands(threshold, recall, most_hashes)
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(body).alias("text_hash"), F.octet_length(body).alias("bytes"), body.cast("binary").alias("text"))
+    signed = materialise(texts.mapInArrow(_signatures(n, bands, rows), "id long, text_hash long, bytes int, n long, k1 long, k2 long, bands array<long>"), "ngram-signatures")
+    with Scratch(docs.sparkSession) as tables:
+        classes = signed.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        # numbers of the rows as they are written name the classes from here on
+        classes = tables.write(classes.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
+        # a band's hash holds its number already
+        banded = classes.select("node", F.explode("bands").alias("band"))
+        buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least")
+        met = banded.join(small_side(tables.write(buckets, "ngram-buckets")), "band").where("node > least")
+        # a class is linked to the least of its smallest members, and these to that one: as connected, with far fewer links
+        met = met.groupBy("node").agg(F.min("least").alias("low"), F.collect_set("least").alias("others"))
+        links = F.expr("concat(array(struct(node as a, low as b)), transform(filter(others, x -> x <> low), x -> struct(x as a, low as b)))")
+        clusters = components(met.select(F.explode(links).alias("l")).select("l.*").distinct())
+        members = tables.write(clusters.join(classes.drop("bands"), "node").select(F.col("root").alias("cluster"), "node", "rep", "size", "n", "k1", "k2"), "ngram-members")
+        volume = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS), F.lit(1)).cast("int").alias("blocks"))
+        placed = members.join(small_side(tables.write(volume, "ngram-volume")), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        placed = tables.write(placed, "ngram-placed")
+        wanted = small_side(placed.select(F.col("rep").alias("id")).distinct())
+        sets = texts.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(_sets(n), "id long, k1 long, k2 long, grams array<long>")
+        sets = sets.join(small_side(placed.withColumnRenamed("rep", "id").drop("n")), ["id", "k1", "k2"])
+        other = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = other.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "grams")
+        pairs = pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+        verified = tables.write(pairs.mapInArrow(_verify(threshold), "node long, links long, root long"), "ngram-verified")
+        groups = components(verified.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        grouped = groups.join(classes.select("node", "rep", "k1", "k2"), "node")
+        # the smallest identifier names the group; of several classes with it, one stays
+        least = tables.write(grouped.groupBy("root").agg(F.min("rep").alias("class_id"), F.min(F.struct("rep", "k1", "k2", "node")).alias("stays")), "ngram-groups")
+        least = groups.join(least, "root").select("node", "class_id", F.col("stays.node").alias("stays"))
+        known = tables.write(verified.groupBy("node").agg(F.sum("links").alias("links")).join(least, "node", "left"), "ngram-known")
+        linked = classes.select("k1", "k2", "node", "rep", "size").join(small_side(known), "node", "left").where("size > 1 or links is not null")
+        linked = linked.select("k1", "k2", "rep", "size", "links", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("stays", "node") == F.col("node")).alias("stays"))
+        linked = materialise(linked, "ngram-linked")
+    has = signed.select(*_ROW, *[F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col(k)).alias(k) for k in ("k1", "k2")])
+    return has.join(small_side(linked), ["k1", "k2"], "left").select(
+        *_ROW, F.coalesce("rep", "id").alias("copy_of"), F.coalesce("size", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("links", F.lit(0)).alias("links"), "class_id",
+        F.coalesce(F.col("stays") & (F.col("id") == F.col("class_id")), F.lit(True)).alias("stays"),
+    )
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows (id, class_id, copy_of, n_copies, n_links) of all documents.
 
     class_id: the smallest document of the group that links connect; copy_of: the smallest of those with the same n-grams, of which there
     are n_copies; n_links: the other documents at or above the threshold.
     """
-    bound_batches(docs)
-    bands, rows = choose_bands(threshold, recall, most_hashes)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    signed = materialise(texts.mapInArrow(_signatures(n, bands, rows), "id long, n long, k1 long, k2 long, bands array<long>"), "ngram-signatures")
-    classes = signed.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = materialise(classes, "ngram-classes")
-    # a band's hash holds its number already
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("band", "least")
-    met = banded.join(small_side(materialise(buckets, "ngram-buckets")), "band").where("rep > least")
-    # a document is linked to the least of its smallest members, and these to that one: as connected, with far fewer links
-    met = met.groupBy("rep").agg(F.min("least").alias("low"), F.collect_set("least").alias("others"))
-    links = F.expr("concat(array(struct(rep as a, low as b)), transform(filter(others, x -> x <> low), x -> struct(x as a, low as b)))")
-    meet = met.select(F.explode(links).alias("l")).select("l.*").distinct()
-    clusters = components(meet)
-    members = materialise(clusters.join(classes.drop("bands"), F.col("node") == F.col("rep")).select(F.col("root").alias("cluster"), "rep", "size", "n", "k1", "k2"), "ngram-members")
-    volume = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS), F.lit(1)).cast("int").alias("blocks"))
-    placed = members.join(small_side(materialise(volume, "ngram-volume")), "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = materialise(placed, "ngram-placed")
-    wanted = small_side(placed.select(F.col("rep").alias("id")).distinct())
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(_sets(n), "id long, k1 long, k2 long, grams array<long>")
-    placed = placed.withColumnsRenamed({"k1": "c1", "k2": "c2"})
-    sets = sets.join(small_side(placed), (F.col("id") == F.col("rep")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
-    other = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = other.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "size", "grams")
-    pairs = pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    verified = materialise(pairs.mapInArrow(_verify(threshold), "rep long, links long, root long"), "ngram-verified")
-    groups = components(verified.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = links.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "links", "root")
-    linked = materialise(classes.select("k1", "k2", "rep", "size").join(small_side(materialise(known, "ngram-known")), "rep", "left").where("size > 1 or links is not null"), "ngram-linked")
-    members = signed.select("id", "n", F.col("k1").alias("c1"), F.col("k2").alias("c2")).join(small_side(linked), (F.col("n") > 0) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
-    return members.select(
-        F.col("id").alias(id_col), F.coalesce("root", "rep", "id").alias("class_id"), F.coalesce("rep", "id").alias("copy_of"), F.coalesce("size", F.lit(1)).cast("long").alias("n_copies"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("size") - 1, F.lit(0))).cast("long").alias("n_links"),
-    )
+    rows = group_rows(docs, id_col, text_col, **options)
+    return rows.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), "copy_of", "n_copies", (F.col("links") + F.col("n_copies") - 1).cast("long").alias("n_links"))
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs`, all columns, without those that another row of their group stands for: the smallest identifier stays.
 
-    Only the identifiers that go meet the documents. Rows without n-grams stay, as do rows without identifier.
+    A row goes by its identifier and its text, so that another text under the same identifier is left alone; rows equal in both go or stay together. Rows without n-grams stay, as do
+    rows without identifier. Only the identifiers and hashes of the texts that go meet the documents.
     """
-    grouped = ngram_join(docs, id_col, text_col, **options)
-    gone = materialise(grouped.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__gone")).distinct(), "ngram-gone")
-    return docs.join(small_side(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone = materialise(group_rows(docs, id_col, text_col, **options).where("not stays").select(*[F.col(c).alias(f"__gone_{c}") for c in _ROW]).distinct(), "ngram-gone")
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    same = (F.col(id_col).cast("long") == F.col("__gone_id")) & (F.xxhash64(body) == F.col("__gone_text_hash")) & (F.octet_length(body) == F.col("__gone_bytes"))
+    return docs.join(small_side(gone), same, "left_anti")
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -12,12 +12,15 @@ stretch, every equal window holds the symbol at the same place; stretches keep t
 So each window has an anchor that equal windows share: at the highest level where there is one, the first symbol of at least `LEAST` words
 whose stretch lies in the window; failing that, one of at least two words; else a hash of the window itself. Consecutive windows with one anchor make a segment, about one for ten words.
 
-1.  A pass over the texts gives the segments: anchor, hash of all words under the segment, document, place.
-2.  Segments are counted by (anchor, hash) and anchors by their different hashes. A segment that occurs twice is repeated whole. A segment with an anchor that has several hashes
-    may share single windows with the others: such segments, one of each hash, are verified window by window in a second pass over
-    their documents, with a 128-bit hash of each window's words.
+1.  A pass over the texts gives the segments: anchor, the 128-bit BLAKE2b digest of the words themselves under the segment, document, place.
+2.  Segments are counted by (anchor, digest) and anchors by their different digests. A segment that occurs twice is repeated whole. A segment with an anchor that has several digests
+    may share single windows with the others: such segments, one of each digest, are verified window by window in a second pass over
+    their documents, with a digest of each window's words.
 3.  Repeated places go back to their documents, and the words outside them are kept.
 
+The names of recompression only say what to compare; that passages are equal is decided by the cryptographic digests of their words, joined by single blanks. A name that
+two different symbols happen to share costs a comparison and changes no result.
+
 Sums shrink before every shuffle and joins on anchors are plain sort-merge joins, whose hot keys Spark splits. Only documents with an anchor that occurs
 twice take part in the passes after the first.
 
@@ -35,29 +38,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise, read_table, small_side, text_slices
-from .tokens import mix, word_hashes
+from .common import Scratch, bound_batches, materialise, read_table, small_side, text_slices
+from .tokens import SPACES, mix, word_hashes
 
 WINDOW, ROUNDS, LEAST = 35, 5, 6
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
-def _prefix(hashes: np.ndarray, factor: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of hashes * factor**i, and the inverse powers that bring any stretch back to its start."""
-    inverse = np.uint64(pow(int(factor), -1, 1 << 64))
-    up = np.full(len(hashes) + 1, factor, np.uint64)
-    down = np.full(len(hashes) + 1, inverse, np.uint64)
-    up[0] = down[0] = 1
-    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(mix(hashes + factor) * up[:-1], out=sums[1:])
-    return sums, down
+class Words:
+    """The words of several texts joined by single blanks, for digests of stretches."""
 
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b" ".join(texts), np.uint8)
+        blank = SPACES[data]
+        after = np.ones(len(data), bool)
+        after[1:] = blank[:-1]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        #: Of each text, the number of its first word; one more than texts.
+        self.first = np.concatenate(([0], np.searchsorted(np.flatnonzero(~blank & after), ends)))
+        keep = ~(blank & after)
+        flat = np.where(blank, 32, data)[keep].astype(np.uint8)
+        after = after[keep]
+        self._starts = np.append(np.flatnonzero((flat != 32) & after), len(flat) + (not len(flat) or flat[-1] != 32))
+        self._flat = memoryview(flat.tobytes())
 
-def _stretch_hash(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    sums, down = prefix
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """(stretches, 2): a digest of the words start .. end - 1, for each stretch."""
+        flat, blake2b = self._flat, hashlib.blake2b
+        places = zip(self._starts[start].tolist(), (self._starts[end] - 1).tolist())
+        return np.frombuffer(b"".join([blake2b(flat[a:b], digest_size=16).digest() for a, b in places]), "<i8").reshape(-1, 2)
 
 
 def _first_round(words: np.ndarray, wall: np.ndarray):
@@ -134,56 +144,63 @@ def _laid_out(texts: list[bytes], window: int):
 
 
 def segments(texts: list[bytes], window: int = WINDOW):
-    """Columns (text, anchor, hash, first window, last window), and what verifying windows needs."""
-    words, wall, first, counts, starts = _laid_out(texts, window)
-    name, place = anchors(words, wall, window)
-    prefix = _prefix(words, _C1)
+    """Columns (text, anchor, first half and second half of the digest, first window, last window)."""
+    hashes, wall, first, counts, starts = _laid_out(texts, window)
+    name, place = anchors(hashes, wall, window)
     p = np.flatnonzero(starts)
     if not len(p):
-        none = np.zeros(0, np.int64)
-        return (none, none, none, none, none), words, first
+        return (np.zeros(0, np.int64),) * 6
     own = place[p] < 0
-    name[p[own]] = _stretch_hash(prefix, p[own], p[own] + window)
+    alone = np.zeros(own.sum(), np.uint64)
+    for i in range(window):
+        alone = mix(alone * _C1 + hashes[p[own] + i])
+    name[p[own]] = alone
     new = np.ones(len(p), bool)
     new[1:] = own[1:] | (place[p][1:] != place[p][:-1]) | (name[p][1:] != name[p][:-1]) | (np.diff(p) > 1)
     at = np.flatnonzero(new)
     a, b = p[at], p[np.append(at[1:], len(p)) - 1]
     text = np.searchsorted(first, a, side="right") - 1
-    # the hash also holds where in the segment its anchor stands
-    offset = np.where(place[a] < 0, 0, place[a] - a).astype(np.uint64)
-    whole = mix(_stretch_hash(prefix, a, b + window) + offset * _C2)
-    return (text, name[a].view(np.int64), whole.view(np.int64), a - first[text], b - first[text]), words, first
+    words = Words(texts)
+    # a place among the laid-out words counts the walls before it too
+    digest = words.digests(a - text - 1, b - text - 1 + window)
+    return text, name[a].view(np.int64), digest[:, 0], digest[:, 1], a - first[text], b - first[text]
+
+
+_KEY = ("anchor", "d1", "d2")
 
 
 def _find(window: int):
     def run(batches):
         for batch in batches:
             for piece, texts in text_slices(batch, lambda x: x.column("text")):
-                (text, anchor, whole, a, b), _, _ = segments(texts, window)
+                text, anchor, d1, d2, a, b = segments(texts, window)
                 take = pa.array(text)
-                yield pa.RecordBatch.from_arrays([piece.column("id").take(take), piece.column("text_hash").take(take), pa.array(anchor), pa.array(whole), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["id", "text_hash", "anchor", "whole", "a", "b"])
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("id").take(take), piece.column("text_hash").take(take), pa.array(anchor), pa.array(d1), pa.array(d2), pa.array(a, pa.int32()), pa.array(b, pa.int32())],
+                    names=["id", "text_hash", *_KEY, "a", "b"],
+                )
 
     return run
 
 
 def _windows(window: int):
-    """(id, text_hash, text, at): two hashes of every window that starts in the stretches `at` of its text."""
+    """(id, text_hash, text, at): the digest of every window that starts in the stretches `at` of its text."""
 
     def run(batches):
         for batch in batches:
             for piece, texts in text_slices(batch, lambda x: x.column("text")):
-                words, _, first, _, _ = _laid_out(texts, window)
-                one, two = _prefix(words, _C1), _prefix(words, _C2)
+                words = Words(texts)
                 lists = piece.column("at").to_pylist()
-                rows = [(i, first[i] + x["a"], first[i] + x["b"] + 1) for i, xs in enumerate(lists) for x in xs]
+                rows = [(i, words.first[i] + x["a"], words.first[i] + x["b"] + 1) for i, xs in enumerate(lists) for x in xs]
                 if not rows:
                     continue
                 p = np.concatenate([np.arange(a, b) for _, a, b in rows])
                 text = np.repeat([i for i, _, _ in rows], [b - a for _, a, b in rows])
                 take = pa.array(text)
+                digest = words.digests(p, p + window)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("id").take(take), piece.column("text_hash").take(take), pa.array(_stretch_hash(one, p, p + window).view(np.int64)), pa.array(_stretch_hash(two, p, p + window).view(np.int64)), pa.array(p - first[text], pa.int32())],
-                    names=["id", "text_hash", "h1", "h2", "p"],
+                    [piece.column("id").take(take), piece.column("text_hash").take(take), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(p - words.first[text], pa.int32())],
+                    names=["id", "text_hash", "d1", "d2", "p"],
                 )
 
     return run
@@ -236,24 +253,26 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     `rows` has (id, text_hash, text).
     """
     kind = rows.schema["id"].dataType.simpleString()
-    segs = materialise(rows.mapInArrow(_find(window), f"id {kind}, text_hash long, anchor long, whole long, a int, b int"), "substring-segments")
-    counted = segs.groupBy("anchor", "whole").agg(F.count("*").alias("n"))
-    several = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1")
-    shared = materialise(counted.join(several, "anchor").select("anchor", "whole", "n", "kinds"), "substring-shared")
-    marked = materialise(segs.join(small_side(shared), ["anchor", "whole"]), "substring-marked")
-    # segments that occur twice are repeated whole
-    whole = marked.where("n > 1").select("id", "text_hash", "a", "b")
-    # where an anchor has several kinds of segment, one of each is verified window by window (of rows that repeat wholly, every window is repeated, so
-    # counting both is right)
-    kinds = marked.where("kinds > 1").groupBy("anchor", "whole").agg(F.min(F.struct("id", "text_hash", "a", "b")).alias("one"))
-    some = kinds.select("one.*").groupBy("id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("at"))
-    single, _ = _with_documents(rows, materialise(some, "substring-check"), "at")
-    hashed = materialise(single.mapInArrow(_windows(window), f"id {kind}, text_hash long, h1 long, h2 long, p int"), "substring-windows")
-    again = materialise(hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "substring-again")
-    found = materialise(hashed.join(small_side(again), ["h1", "h2"]).select("id", "text_hash", F.col("p")), "substring-found")
-    lone = found.select("id", "text_hash", F.col("p").alias("a"), F.col("p").alias("b"))
-    spans = whole.unionByName(lone).distinct()
-    return spans.groupBy("id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    with Scratch(rows.sparkSession) as tables:
+        segs = tables.write(rows.mapInArrow(_find(window), f"id {kind}, text_hash long, anchor long, d1 long, d2 long, a int, b int"), "substring-segments")
+        counted = segs.groupBy(*_KEY).agg(F.count("*").alias("n"))
+        several = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1")
+        shared = tables.write(counted.join(several, "anchor").select(*_KEY, "n", "kinds"), "substring-shared")
+        marked = tables.write(segs.join(small_side(shared), list(_KEY)), "substring-marked")
+        tables.drop(segs, shared)
+        # segments that occur twice are repeated whole
+        whole = marked.where("n > 1").select("id", "text_hash", "a", "b")
+        # where an anchor has several kinds of segment, one of each is verified window by window (of rows that repeat wholly, every window is repeated, so
+        # counting both is right)
+        kinds = marked.where("kinds > 1").groupBy(*_KEY).agg(F.min(F.struct("id", "text_hash", "a", "b")).alias("one"))
+        some = kinds.select("one.*").groupBy("id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("at"))
+        single, _ = _with_documents(rows, tables.write(some, "substring-check"), "at")
+        hashed = tables.write(single.mapInArrow(_windows(window), f"id {kind}, text_hash long, d1 long, d2 long, p int"), "substring-windows")
+        again = tables.write(hashed.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2"), "substring-again")
+        found = hashed.join(small_side(again), ["d1", "d2"]).select("id", "text_hash", F.col("p"))
+        lone = found.select("id", "text_hash", F.col("p").alias("a"), F.col("p").alias("b"))
+        spans = whole.unionByName(lone).distinct()
+        return materialise(spans.groupBy("id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "substring-spans")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -261,7 +280,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bound_batches(docs)
     body = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("text"))
-    hit, rest = _with_documents(rows, materialise(repeated_spans(rows, window), "substring-spans"), "spans")
+    hit, rest = _with_documents(rows, repeated_spans(rows, window), "spans")
     rest = rest.withColumn("spans", F.expr("cast(null as array<struct<a:int,b:int>>)"))
     both = hit.unionByName(rest).select("id", "text", "spans", *([F.lit(True).alias("want_text")] if with_text else []))
     kind = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
