@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns the rows that it keeps. All but the last return the columns of `documents`; the last adds what
 the mix takes of each row.
+
+Defined cases, for every stage: an empty table gives an empty one; nulls in any column but the text change nothing; a null or empty text has no language and goes with the first stage; rows
+equal in text are one to the second stage, which keeps the largest identifier; other texts under one identifier are judged each by itself; further columns of `documents` pass through. A
+figure of the mix whose name a column has already is called mix_<name>.
 """
 
 from __future__ import annotations
@@ -40,7 +44,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the mix takes words, with their size, their source's size and target, and the words taken."""
     out = mix(docs, carry=tuple(docs.columns)).where("taken > 0")
-    return out.select("row.*", "size", "source_size", "target", "taken")
+    names = {c.lower() for c in docs.columns}
+    return out.select("row.*", *[F.col(c).alias(f"mix_{c}" if c in names else c) for c in ("size", "source_size", "target", "taken")])
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("ngram_join", near), ("decontamination", benchmark), ("mixing", mixed)]
