@@ -1,7 +1,10 @@
+import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from treeql.llm import gbt, quality
 from treeql.llm import language_id as L
@@ -61,6 +64,70 @@ def test_trees_learn_and_flatten():
     assert gbt.fit(x, np.ones(3000)).probability(x)[0] > 0.99
 
 
+def test_flattened_trees_equal_a_walk_of_each_row():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 4)).round(1)
+    model = gbt.fit(x, (x[:, 0] + x[:, 1] > 0).astype(float), trees=20, depth=3)
+
+    def walk(row):
+        margin = model.base
+        for feature, threshold, value in zip(model.feature, model.threshold, model.value):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            margin += value[node - len(feature)]
+        return margin
+
+    assert np.allclose(model.margin(x), [walk(row) for row in x])
+
+
+def test_shares_and_decoding_equal_brute_force():
+    texts = ["", "a", "Äb ab\tAB ab", "xyz " * 300]
+    for text, row in zip(texts, L.shares([t.encode() for t in texts])):
+        data = (b" " + text.encode() + b" ").translate(bytes(32 if c in b"\t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256)))
+        count = Counter()
+        for n in (2, 3, 4):
+            for i in range(len(data) - n + 1):
+                value = 0
+                for byte in data[i : i + n]:
+                    value = (value * 257 + byte) % 2**32
+                count[(value * 2654435769 % 2**32) >> 19] += 1
+        want = np.zeros(L.BUCKETS)
+        want[list(count)] = list(count.values())
+        assert np.allclose(row, want / max(want.sum(), 1))
+    rng = np.random.default_rng(3)
+    code = L.codewords(5)
+    model = L.Model(list("abcde"), code, rng.normal(size=(6, code.shape[1])), rng.normal(size=code.shape[1]), np.ones(code.shape[1]), rng.uniform(0.5, 2, code.shape[1]))
+    x = rng.normal(size=(50, 6))
+    who, score, ambiguous = model.decode(x)
+    for i, row in enumerate(x):
+        margins = np.clip(row @ model.weights - model.centre, -8, 8)
+        loss = [sum(t * np.log(1 + np.exp(-m * (1 if bit else -1))) for t, m, bit in zip(model.trust, margins, word)) for word in code]
+        p = np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+        assert who[i] == p.argmax() and np.isclose(score[i], p.max()) and ambiguous[i] == (sorted(p)[-1] - sorted(p)[-2] < L.MARGIN)
+
+
+def test_a_rare_language_is_learnt_from_all_its_rows(spark):
+    rng = random.Random(6)
+    rows = [(i, text(rng, "en", 20), "en", "a", 0) for i in range(400)] + [(1000 + i, text(rng, "de", 20), "de", "a", 0) for i in range(12)]
+    got = L.identify(spark.createDataFrame(rows, SCHEMA), max_train_rows=20).collect()
+    assert np.mean([r.lang_pred == ("de" if r.doc_id >= 1000 else "en") for r in got]) > 0.95
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_held_out_rows_of_the_given_tables(spark):
+    docs, marks = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: r.lang for r in docs.where("lang is not null").collect()}
+    got = [r for r in L.identify(docs).collect() if r.held_out and r.doc_id in known and r.lang_pred != L.UNKNOWN]
+    assert np.mean([r.lang_pred == known[r.doc_id] for r in got]) > 0.97
+    quality_of = {r.doc_id: r.quality for r in marks.collect()}
+    got = [r for r in quality.quality_scores(docs, marks).collect() if r.held_out and r.doc_id in quality_of]
+    assert np.mean([r.predicted == quality_of[r.doc_id] for r in got]) > 0.9
+
+
 def quality_rows(n):
     rng = random.Random(4)
     rows, labels = [], []

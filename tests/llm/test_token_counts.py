@@ -32,7 +32,8 @@ def test_round_trip_of_blocks(spark):
 def test_flat_files(spark, tmp_path):
     data = np.array([5, 6, 9, 9, 7, 7, 7, 9, 8], "<u2")
     (tmp_path / "a.bin").write_bytes(data.tobytes())
-    (tmp_path / "b.bin").write_bytes(np.array([9], "<u2").tobytes())
+    (tmp_path / "b.bin").write_bytes(np.array([9], "<u2").tobytes() + b"x")
+    (tmp_path / "c %41.bin").write_bytes(b"")
     for block in (1, 2, 4, 100):
         rows = T.separator_scan(T.flat_blocks(spark, str(tmp_path), block_tokens=block), end=9)
         got = sorted((r.shard[-5:], r.ordinal, r.n_tokens, r.finished) for r in rows.collect())

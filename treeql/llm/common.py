@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: White space between words; a word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sides of at most so many rows may be broadcast after they have been counted.
-BROADCAST_ROWS = 200_000
+#: Sides of at most so many rows and bytes may be broadcast after they have been counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -67,9 +67,19 @@ class Scratch:
         self.drop(*[t for t, _ in self._paths])
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `limit` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _width(field) -> Column:
+    """The bytes of a column's value, of nested ones those of its JSON."""
+    kind, c = field.dataType.typeName(), F.col(f"`{field.name}`")
+    if kind in ("struct", "array", "map"):
+        return F.octet_length(F.to_json(c))
+    return F.octet_length(c) if kind in ("string", "binary") else F.lit(8)
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `limit` rows and `size` bytes; else as it is, for a shuffled join."""
+    width = sum((F.coalesce(_width(f), F.lit(0)) for f in df.schema.fields), F.lit(16)).cast("long")
+    rows, total = df.select(width.alias("w")).limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and total <= size else df
 
 
 def word_count(text: Column) -> Column:

@@ -6,8 +6,8 @@ text's bits, as signed margins, are compared with every codeword under a logisti
 it was reliable on the training rows; the nearest codeword wins. A text whose two nearest codewords are about as
 near is flagged as ambiguous.
 
-Training reads a bounded sample of labelled rows (`max_train_rows`, expected); what reaches the driver is a
-table of n-gram shares by language and one of bit statistics. Scoring reads every whole text.
+Training reads a bounded sample of labelled rows (`max_train_rows` expected ones of each language, chosen by a hash of the identifier), so that a rare language is learnt from all its
+rows at every size; what reaches the driver is a table of counts by language, one of n-gram shares and one of bit statistics. Scoring reads every whole text.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without labelled rows every text is `und`
 with score 0; with one language every text with a letter gets it, with score 1; null languages aren't learnt; rows that
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, read_table, text_slices
 from .quality import in_fold
 
-MAX_TRAIN_ROWS = 20_000
+MAX_TRAIN_ROWS = 5_000
 BUCKETS = 1 << 13
 HELD_OUT_OF, HELD_OUT = 4, 2
 UNKNOWN = "und"
@@ -195,9 +195,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     out_of = in_fold(id_col, HELD_OUT_OF, HELD_OUT)
     labelled = docs.where(~out_of & F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     known = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"), F.col(id_col).alias("id"))
-    n = docs.where(~out_of & F.col(lang_col).isNotNull()).count()
-    if n > max_train_rows:
-        known = known.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1_000_000)) < int(1_000_000 * max_train_rows / n))
+    counts = docs.where(~out_of & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().collect()
+    many = [F.lit(x) for lang, n in counts if n > max_train_rows for x in (lang, int(1_000_000 * max_train_rows / n))]
+    if many:
+        share = F.coalesce(F.create_map(*many)[F.col("lang")], F.lit(1_000_000))
+        known = known.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1_000_000)) < share)
     model = train(known.select("lang", "text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
@@ -212,7 +214,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     """Every document's language, learnt outside the held-out fold."""
-    return identify(read_table(spark, sf_dir, "documents")).drop("ambiguous")
+    return identify(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op3_language_id": op3_language_id}

@@ -6,6 +6,8 @@ a running sum over the buckets finds the one bucket in which the budget ends, an
 twelve further bits, until all bits are spent. A source that may take more than its words repeats every document a
 whole number of times first and finds a threshold for the rest.
 
+Sources are ranked in one task, with one small row each: their number, not that of the documents, has to fit there (thousands or millions, not one per document).
+
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source is a source of its own, last in order;
 a null identifier hashes as the empty string; rows with one identifier share a hash and are taken or left together;
 a source without words has target 0; an empty table gives an empty result.
@@ -76,10 +78,12 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         run = F.col("used") + F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
         # the first bucket whose end lies beyond the budget, and the words before it
         edge = sums.withColumn("upto", run).where("upto > rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("used"))).alias("edge"))
-        edge = materialise(edge.select(F.col("source").alias("s"), "edge.bucket", F.col("edge.used").alias("edge_used")), "mix-edge")
-        found = found.join(small_side(edge), found["source"].eqNullSafe(edge["s"]), "left").select(
+        edge = edge.select(F.col("source").alias("s"), "edge.bucket", F.col("edge.used").alias("edge_used"))
+        found = found.join(edge, found["source"].eqNullSafe(edge["s"]), "left").select(
             "source", "source_size", "target", "repeats", "rest", F.coalesce("bucket", F.lit(0)).alias("prefix"), F.coalesce("edge_used", F.lit(0)).alias("used")
         )
+        # one row per source, written so that the next level doesn't plan this one again
+        found = materialise(found, "mix-level")
     return found.select("source", "source_size", "target", "repeats", F.when(F.col("rest") > 0, F.col("prefix")).otherwise(0).alias("below"))
 
 

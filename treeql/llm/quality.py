@@ -5,7 +5,7 @@ trees are fitted on the driver to a bounded sample of labelled rows (`max_train_
 to the executors, which traverse them for whole batches. Only statistics of the text enter a score.
 
 Defined cases: a null text has the statistics of an empty one and gets a score; a null label is no label; rows that
-repeat a labelled identifier count as one row with the mean label; without labels of both kinds every score is the share of label 1
+repeat a labelled identifier count as one row with the mean label, and of different texts under it the one with the least hash of its statistics is learnt from; without labels of both kinds every score is the share of label 1
 (0.5 without labels); an empty table gives an empty result.
 """
 
@@ -104,7 +104,7 @@ def train(stats: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_R
     if n > max_train_rows:
         labelled = labelled.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * max_train_rows / n))
     # one row for each label, so that repeated identifiers can't exceed the bound
-    rows = stats.join(small_side(labelled), "id").groupBy("id").agg(F.first("stats").alias("stats"), F.first("y").alias("y")).toArrow().sort_by("id")
+    rows = stats.join(small_side(labelled), "id").groupBy("id").agg(F.min_by("stats", F.xxhash64("stats")).alias("stats"), F.first("y").alias("y")).toArrow().sort_by("id")
     x = np.asarray(rows.column("stats").combine_chunks().flatten()).reshape(len(rows), WIDTH).astype(np.float64)
     return gbt.fit(x, (np.asarray(rows.column("y")) >= 0.5).astype(np.float64))
 

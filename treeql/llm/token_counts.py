@@ -10,15 +10,17 @@ number of documents before it and the tokens that an earlier block has of its fi
 `token_blocks` writes such blocks from texts, with the order of documents in each shard on the side; `flat_blocks` cuts existing files.
 
 Defined cases: a null or empty text has 0 tokens (its separator isn't counted); the separator's own string in a text is ordinary text; tokens after the last separator of a shard are an unfinished
-document; repeated rows are counted each; an empty table gives an empty result.
+document; bytes at the end of a file that make no whole identifier are no token; repeated rows are counted each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -97,17 +99,31 @@ def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def flat_blocks(spark: SparkSession, path: str, dtype: str = DTYPE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (shard, block, payload) of existing flat files under `path`, each of at most 2 GB; shard is a file's path."""
+    """Blocks (shard, block, payload) of existing flat files at `path` (a file, or a folder of files) of any size; shard is a file's path.
+
+    The driver lists names and lengths only. Each block is a byte range that a task reads by itself, so that one large file is read by many tasks.
+    """
     step = block_tokens * np.dtype(dtype).itemsize
+    bound_batches(spark.range(0), max(1, (8 << 20) // step))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [(f.getPath().toString(), f.getLen()) for f in fs.listStatus(where) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    kind = pa.schema([("shard", pa.string()), ("block", pa.int64()), ("payload", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = memoryview(content.as_buffer())
-                for k in range(0, len(data), step):
-                    yield pa.RecordBatch.from_pydict({"shard": [shard], "block": [k // step], "payload": [bytes(data[k : k + step])]}, schema=pa.schema([("shard", pa.string()), ("block", pa.int64()), ("payload", pa.binary())]))
+            for shard, block, size in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                # Hadoop writes local paths with one slash only
+                uri = "file://" + shard.removeprefix("file:") if shard.startswith("file:/") and not shard.startswith("file://") else shard
+                system, name = FileSystem.from_uri(quote(uri, safe="/:@"))
+                with system.open_input_file(name) as f:
+                    payload = f.read_at(min(step, size - block * step), block * step)
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([block]), pa.array([payload], pa.binary())], schema=kind)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "shard string, block long, payload binary")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / step)))
+    ranges = spark.createDataFrame(files, "shard string, size long").where("size > 0").select("shard", blocks.alias("block"), "size")
+    tasks = max(1, sum(-(-size // step) for _, size in files) // 256)
+    return ranges.repartition(tasks, "shard", "block").mapInArrow(run, "shard string, block long, payload binary")
 
 
 def _scan(end: int, dtype: str):
@@ -115,7 +131,7 @@ def _scan(end: int, dtype: str):
         for batch in batches:
             tokens, found, head, after, inner = [], [], [], [], []
             for payload in batch.column(2).to_pylist():
-                ids = np.frombuffer(payload, dtype)
+                ids = np.frombuffer(payload, dtype, len(payload) // np.dtype(dtype).itemsize)
                 at = np.flatnonzero(ids == end)
                 tokens.append(len(ids))
                 found.append(len(at))
