@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -78,6 +79,59 @@ def test_terms_count_and_stand_in_whole_texts(spark):
     assert not any(s for i, s in spans.items() if i >= 100)
 
 
+def test_terms_are_words_in_any_dress(spark):
+    texts = ["common (Quixote) paid lone@corp.com for O'Neil, \"Anne-Marie\" and user77x!"]
+    rows = [*enumerate(texts), *((100 + i, "common paid for and other") for i in range(200))]
+    spans = {r.doc_id: r.spans for r in pii.digest(pii.find_private(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert terms_of(texts[0], spans[0]) == {"Quixote", "O'Neil", "Anne-Marie", "user77x"}
+
+
+WORD = re.compile(r"[^\W_](?:[^\W_]|['’-](?=[^\W_]))+")
+
+
+def brute_terms(rows, support=3, disclosure=0.9):
+    """The spans of terms by document, from counts over all pairs of a value and a word."""
+    held, blank = {}, {}
+    for i, (_, text) in enumerate(rows):
+        found, body = set(), list(text)
+        for rank, pattern in enumerate(PATTERNS):
+            for m in pattern.finditer(text):
+                digits = re.sub("[^0-9]", "", m[0])
+                if [True, rank == 1 and all(int(x) <= 255 for x in m[0].split(".")), 12 <= len(digits) <= 19 and luhn(digits), 9 <= len(digits) <= 15][rank]:
+                    found.add((rank, digits if rank >= 2 else ".".join(str(int(x)) for x in m[0].split(".")) if rank == 1 else m[0].lower()))
+                    body[m.start() : m.end()] = " " * (m.end() - m.start())
+        held[i], blank[i] = found, "".join(body)
+    words = {i: {m[0].lower() for m in WORD.finditer(b)} for i, b in blank.items()}
+    share = {}
+    for value in {v for s in held.values() for v in s}:
+        own = [i for i in held if value in held[i]]
+        texts = {rows[i][1] for i in own}
+        for word in set().union(*(words[i] for i in own)):
+            both, n_term = [i for i in own if word in words[i]], sum(word in w for w in words.values())
+            ic = math.log2(len(rows) / len(own))
+            if ic and len({rows[i][1] for i in both}) >= min(support, len(texts)):
+                share[word] = max(share.get(word, -1), math.log2(len(both) * len(rows) / (n_term * len(own))) / ic)
+    return {rows[i][0]: [(m.start(), m.end()) for m in WORD.finditer(b) if share.get(m[0].lower(), -1) >= disclosure - 1e-12] for i, b in blank.items()}
+
+
+def test_terms_equal_brute_force(spark):
+    rng = random.Random(12)
+    values = ["one@corp.com", "Two@corp.com", "10.0.0.7", "010.0.0.7", "4111 1111 1111 1111", "4111-1111-1111-1111", "+49 30 1234567", "+49 (30) 123-4567"]
+    rows = []
+    for i in range(160):
+        body = [f"w{rng.randrange(60)}" for _ in range(rng.randint(3, 12))]
+        if rng.random() < 0.25:
+            k = rng.randrange(len(values))
+            body.insert(rng.randrange(len(body)), values[k])
+            body += [f"near{k // 2}"] * (rng.random() < 0.8)
+        rows.append((i, " ".join(body)))
+    rows += [(500 + i, rows[i][1]) for i in range(30)]
+    got = {}
+    for r in pii.digest(pii.find_private(spark.createDataFrame(rows, "doc_id long, text string"))).collect():
+        got[r.doc_id] = [(int(a), int(b)) for kind, a, b in (s.split(":") for s in r.spans.split(",") if s) if kind == "term"]
+    assert got == brute_terms(rows) and any(got.values())
+
+
 def test_empty_and_columns(spark):
     assert pii.digest(pii.find_private(spark.createDataFrame([], SCHEMA))).count() == 0
     docs = clashing(awkward(spark))

@@ -40,8 +40,8 @@ PATTERNS = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", "body rlike '[0-9]{2}|[0-9][ -][0-9]'"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "contains(body, '+')"),
 }
-#: Whole words of letters, perhaps with a stop behind.
-TERM = r"(?<!\S)\p{L}{2,}+(?=[.,;:!?]*(?:\s|\z))"
+#: Words of letters and digits, of two characters at least, whatever stands around them; hyphens and apostrophes inside belong to them.
+TERM = r"[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}]|['’-](?=[\p{L}\p{N}]))++"
 
 _VALID = {
     "email": "true",
