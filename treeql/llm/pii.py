@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, small_side
+from .common import Scratch, materialise, read_table, small_side
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 3
@@ -57,11 +57,8 @@ def _let(value: str, name: str, then: str) -> str:
     return f"transform(array({value}), {name} -> {then})[0]"
 
 
-def with_matches(df: DataFrame, name: str, body: str, pattern: str, test: str = "true", cut=lambda df: df) -> DataFrame:
-    """`df` with `name`: the matches of `pattern` in column `body` as array of (start, value), in code points.
-
-    `cut` may write the steps between to tables: for long arrays, since an expression is run again wherever the optimiser puts it.
-    """
+def with_matches(df: DataFrame, name: str, body: str, pattern: str, test: str = "true") -> DataFrame:
+    """`df` with `name`: the matches of `pattern` in column `body` as array of (start, value), in code points."""
     p = F.lit(pattern)
     m, z, b = f"__m_{name}", f"__z_{name}", f"__b_{name}"
     empty = f"cast(array() as {_FOUND})"
@@ -69,11 +66,11 @@ def with_matches(df: DataFrame, name: str, body: str, pattern: str, test: str =
     # the optimiser may move a column's expression into a lambda, to be run for each element: _let binds its value once
     gaps = F.slice(F.split(F.col(body), pattern, -1), 1, F.size(m))
     df = df.withColumn(z, F.when(F.size(m) > 0, F.zip_with(m, gaps, lambda v, g: F.struct(F.length(g).cast("long").alias("gap"), v.alias("value")))))
-    df = cut(df.drop(m))
+    df = df.drop(m)
     each = "struct(a.at + x.gap + length(x.value) as at, concat(a.found, array(struct(a.at + x.gap as start, x.value as value))) as found)"
     place = _let(z, "zz", f"transform(sequence(0, (size(zz) - 1) div {BLOCK}), k -> aggregate(slice(zz, cast(k * {BLOCK} + 1 as int), {BLOCK}), struct(0L as at, {empty} as found), (a, x) -> {each}))")
     df = df.withColumn(b, F.expr(f"case when size({z}) > 0 then {place} end"))
-    df = cut(df.drop(z))
+    df = df.drop(z)
     # running sums of the blocks' lengths, one for each block
     sums = "aggregate(bb, struct(0L as at, array(0L) as sums), (s, y) -> struct(s.at + y.at as at, concat(s.sums, array(s.at + y.at)) as sums)).sums"
     moved = "flatten(transform(bb, (k, i) -> transform(k.found, x -> struct(x.start + oo[i] as start, x.value as value))))"
@@ -81,6 +78,41 @@ def with_matches(df: DataFrame, name: str, body: str, pattern: str, test: str =
     return df.withColumn(name, F.expr(f"case when size({b}) > 0 then {whole} else {empty} end")).drop(b)
 
 
+def placed_terms(body: str, own: str):
+    """Spans (start, rank, end, share) of the words of `body` that the map `own` (word in lower case -> share) has, in order.
+
+    A single expression, so that each text is taken apart once. Places are summed in blocks, as in `with_matches`.
+    """
+    kind = "array<struct<start:bigint,rank:int,end:bigint,share:double>>"
+    parts = F.struct(F.regexp_extract_all(F.col(body), F.lit(TERM), F.lit(0)).alias("words"), F.split(F.col(body), TERM, -1).alias("gaps"), F.col(own).alias("own"))
+
+    def place(t):
+        words = F.zip_with(t["words"], F.slice(t["gaps"], 1, F.size(t["words"])), lambda v, g: F.struct(F.length(g).cast("long").alias("gap"), F.length(v).cast("long").alias("len"), F.try_element_at(t["own"], F.lower(v)).alias("share")))
+        return F.transform(F.array(words), blocks)[0]
+
+    def blocks(z):
+        none = F.expr(f"cast(array() as {kind})")
+
+        def step(a, x):
+            start = a["at"] + x["gap"]
+            span = F.struct(start.alias("start"), F.lit(4).alias("rank"), (start + x["len"]).alias("end"), x["share"].alias("share"))
+            return F.struct((start + x["len"]).alias("at"), F.when(x["share"].isNull(), a["found"]).otherwise(F.concat(a["found"], F.array(span))).alias("found"))
+
+        each = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda k: F.aggregate(F.slice(z, k * BLOCK + 1, F.lit(BLOCK)), F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), step))
+        return F.transform(F.array(each), joined)[0]
+
+    def joined(b):
+        def onward(s, y):
+            return F.struct((s["at"] + y["at"]).alias("at"), F.concat(s["sums"], F.array(s["at"] + y["at"])).alias("sums"))
+
+        zero = F.lit(0).cast("long")
+        sums = F.aggregate(b, F.struct(zero.alias("at"), F.array(zero).alias("sums")), onward)["sums"]
+        moved = lambda offsets: F.flatten(F.transform(b, lambda y, i: F.transform(y["found"], lambda x: F.struct((x["start"] + offsets[i]).alias("start"), x["rank"].alias("rank"), (x["end"] + offsets[i]).alias("end"), x["share"].alias("share")))))
+        return F.transform(F.array(sums), moved)[0]
+
+    return F.transform(F.array(parts), place)[0]
+
+
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, text_hash, body, spans, row) with spans as sorted array of (start, rank, end, value); rank is the kind's place in KINDS."""
     body = F.coalesce(F.col(text_col), F.lit(""))
@@ -125,26 +157,27 @@ def disclosing(kept: DataFrame, support: int, disclosure: float) -> DataFrame:
 
     Each step counts by key with partial sums before its shuffle; all counts are of rows, and a row counts a term and a value once.
     """
-    holders = kept.where(F.size("spans") > 0)
-    copies = holders.groupBy("text_hash").agg(F.count("*").alias("copies"))
-    texts = materialise(holders.select("text_hash", "spans", "body").dropDuplicates(["text_hash"]).join(copies, "text_hash"), "pii-texts")
-    values = texts.select("text_hash", "copies", F.explode("spans").alias("s")).select("text_hash", "copies", _entity("s").alias("entity")).distinct()
-    # values with the same texts have the same figures for each term: two hashes of the set of texts stand for them
-    sets = [F.expr(f"bit_xor(xxhash64(text_hash, {seed}))").alias(f"set{seed}") for seed in (1, 2)]
-    figures = values.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("held"), *sets)
-    group = ["n_entity", "held", "set1", "set2"]
-    groups = materialise(values.join(figures, "entity").select("text_hash", *group).distinct(), "pii-values")
-    total, largest = kept.count(), groups.agg(F.max("n_entity")).first()[0]
-    words = kept.select((F.size("spans") > 0).alias("holds"), _terms().alias("term")).groupBy("term").agg(F.count("*").alias("n_term"), F.max("holds").alias("holds"))
-    rare = words.where(F.col("holds") & (F.col("n_term") <= _most(F.lit(largest), total, disclosure))).drop("holds")
-    rare = materialise(rare, "pii-rare")
-    pairs = texts.select("text_hash", "copies", _terms().alias("term")).join(small_side(rare), "term").join(groups, "text_hash")
-    pairs = pairs.where(F.col("n_term") <= _most(F.col("n_entity"), total, disclosure))
-    pairs = pairs.groupBy("term", "n_term", *group).agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= F.least(F.lit(support), F.col("held")))
-    n = F.lit(float(total))
-    pmi = F.log2(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity")))
-    share = pmi / F.nullif(F.log2(n / F.col("n_entity")), F.lit(0.0))
-    return materialise(pairs.groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= disclosure), "pii-terms")
+    with Scratch(kept.sparkSession) as tables:
+        holders = kept.where(F.size("spans") > 0)
+        copies = holders.groupBy("text_hash").agg(F.count("*").alias("copies"))
+        texts = tables.write(holders.select("text_hash", "spans", "body").dropDuplicates(["text_hash"]).join(copies, "text_hash"), "pii-texts")
+        values = texts.select("text_hash", "copies", F.explode("spans").alias("s")).select("text_hash", "copies", _entity("s").alias("entity")).distinct()
+        # values with the same texts have the same figures for each term: two hashes of the set of texts stand for them
+        sets = [F.expr(f"bit_xor(xxhash64(text_hash, {seed}))").alias(f"set{seed}") for seed in (1, 2)]
+        figures = values.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("held"), *sets)
+        group = ["n_entity", "held", "set1", "set2"]
+        groups = tables.write(values.join(figures, "entity").select("text_hash", *group).distinct(), "pii-values")
+        total, largest = kept.count(), groups.agg(F.max("n_entity")).first()[0]
+        words = kept.select((F.size("spans") > 0).alias("holds"), _terms().alias("term")).groupBy("term").agg(F.count("*").alias("n_term"), F.max("holds").alias("holds"))
+        rare = words.where(F.col("holds") & (F.col("n_term") <= _most(F.lit(largest), total, disclosure))).drop("holds")
+        rare = tables.write(rare, "pii-rare")
+        pairs = texts.select("text_hash", "copies", _terms().alias("term")).join(small_side(rare), "term").join(groups, "text_hash")
+        pairs = pairs.where(F.col("n_term") <= _most(F.col("n_entity"), total, disclosure))
+        pairs = pairs.groupBy("term", "n_term", *group).agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= F.least(F.lit(support), F.col("held")))
+        n = F.lit(float(total))
+        pmi = F.log2(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity")))
+        share = pmi / F.nullif(F.log2(n / F.col("n_entity")), F.lit(0.0))
+        return materialise(pairs.groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= disclosure), "pii-terms")
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -152,15 +185,12 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = base_spans(docs, id_col, text_col)
     kept = materialise(found.select("id", "text_hash", "spans", F.expr(_blanked("spans")).alias("body")), "pii-base")
     terms = small_side(disclosing(kept, support, disclosure))
-    # only texts that hold such a term are placed word by word
-    marked = materialise(kept.select("id", "text_hash", _terms().alias("term")).join(terms, "term", "left_semi").select("id", "text_hash").distinct(), "pii-marked")
+    # the words of a text are placed only where it holds such a term, and only its own terms keep their places
+    own = kept.select("id", "text_hash", _terms().alias("term")).join(terms, "term").groupBy("id", "text_hash").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("own"))
+    marked = materialise(own, "pii-marked")
     same = [F.col("k.id").eqNullSafe(F.col("m.id")), F.col("k.text_hash") == F.col("m.text_hash")]
-    places = kept.alias("k").join(small_side(marked).alias("m"), same[0] & same[1], "left_semi")
-    places = with_matches(places.select("id", "text_hash", "body"), "terms", "body", TERM, cut=lambda df: materialise(df.drop("body"), "pii-places")).select("id", "text_hash", F.explode("terms").alias("t"))
-    places = places.select("id", "text_hash", F.lower("t.value").alias("term"), F.col("t.start").alias("start"), (F.col("t.start") + F.length("t.value")).alias("end"))
-    flagged = places.join(terms, "term").groupBy("id", "text_hash", "start", "end").agg(F.max("share").alias("share"))
-    flagged = flagged.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", "share")).alias("terms"))
-    flagged = materialise(flagged, "pii-flagged")
+    places = kept.alias("k").join(small_side(marked).alias("m"), same[0] & same[1]).select("k.id", "k.text_hash", placed_terms("k.body", "own").alias("terms"))
+    flagged = materialise(places.dropDuplicates(["id", "text_hash"]), "pii-flagged")
     key = [F.col("b.id").eqNullSafe(F.col("f.id")), F.col("b.text_hash") == F.col("f.text_hash")]
     out = kept.drop("body").alias("b").join(flagged.alias("f"), key[0] & key[1], "left")
     base = "transform(spans, x -> struct(x.start as start, x.rank as rank, x.end as end, cast(null as double) as share))"
