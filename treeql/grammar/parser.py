@@ -67,6 +67,12 @@ class Parser:
         self._all = self._ordered(set(language.terminals))
         self._extras = [language.terminals[x] for x in language.extras]
         self._by_byte: dict[tuple[int, int], tuple[list, list]] = {}
+        # for states with one action on a token: a shift's state, or a reduction's number as -1, -2 ..
+        one = lambda a: a[1] if a[0] == "shift" else -1 - a[1]
+        self._single = [{name: one(acts[0]) for name, acts in table.items() if len(acts) == 1 and acts[0][0] != "accept"} for table in language.actions]
+        # of each production: left side, length, dynamic precedence, whether it is hidden, whether a part is hidden, whether a part has a name of its own or a field
+        self._shapes = [(p.left, len(p.right), p.dynamic, language.hidden(p.left), any(language.hidden(x.name) for x in p.right), any(x.alias or x.field for x in p.right)) for p in language.productions]
+        self._lexed: dict[int, tuple] = {}
 
     def _ordered(self, names: set[str]) -> list:
         return sorted((self.language.terminals[n] for n in names if n in self.language.terminals), key=lambda t: (-t.level, not t.is_string, t.order))
@@ -173,7 +179,10 @@ class Parser:
 
     def visible(self, nodes: list[Node]) -> list[Node]:
         """`nodes` with hidden ones replaced by what they hold; the field of a hidden node goes to those of its nodes that have none."""
-        if not any(n.type.startswith("_") for n in nodes):
+        for n in nodes:
+            if n.type[:1] == "_":
+                break
+        else:
             return nodes
         out, stack = [], [(n, None) for n in reversed(nodes)]
         while stack:
@@ -256,54 +265,62 @@ class Parser:
         the end of the text are left to `_step`."""
         if self.language.externals:
             return s
-        actions, gotos, hidden = self.language.actions, self.language.gotos, self.language.hidden
+        single, shapes, gotos, productions, lexed = self._single, self._shapes, self.language.gotos, self.language.productions, self._lexed
         state, below, score, size = s.state, s.below, s.score, len(source)
         at = place = s.at  # `at`: where the last token ended, `place`: behind blanks
         while place < size:
-            usable, extras = self._candidates(state, source[place])
+            key = state << 8 | source[place]
+            usable, extras, blank = lexed.get(key) or self._lex_entry(key)
             best, end = None, place
             for t in usable:
-                if t.immediate and place != at:
+                if t[4] and place != at:
                     continue
-                m = t.regex.match(source, place)
-                if m and (m.end() > end or (best is not None and m.end() == end and t.level > best.level)):
+                m = t[0](source, place)
+                if m and (m.end() > end or (best is not None and m.end() == end and t[3] > best[3])):
                     best, end = t, m.end()
             if extras:
                 extra, extra_end = self._longest(extras, source, place)
                 if extra and (not best or extra_end > end):
-                    if not hidden(extra.name):
+                    if not blank:
                         break
                     place = extra_end
                     continue
             if best is None:
                 break
-            name, now, under, sum_ = best.name, state, below, score
-            to = -1
-            while True:
-                acts = actions[now].get(name)
-                if not acts or len(acts) != 1 or acts[0][0] == "accept":
-                    break
-                kind, number = acts[0]
-                if kind == "shift":
-                    to = number
-                    break
-                p = self.language.productions[number]
-                taken, need, popped = [], len(p.right), under
+            name, now, under, sum_ = best[1], state, below, score
+            to = single[now].get(name)
+            while to is not None and to < 0:
+                number = -1 - to
+                left, need, dynamic, is_hidden, takes_hidden, named_parts = shapes[number]
+                taken, popped = [], under
                 while need and popped is not None:
                     now, node, popped = popped
                     taken.append(node)
-                    need -= not node.extra
-                goto = gotos[now].get(p.left) if not need else None
+                    if not node.extra:
+                        need -= 1
+                goto = gotos[now].get(left) if not need else None
                 if goto is None:
+                    to = None
                     break
                 taken.reverse()
-                under, now, sum_ = (now, self._node(p, taken, at), popped), goto, sum_ + p.dynamic
-            if to < 0:
+                if named_parts:
+                    node = self._node(productions[number], taken, at)
+                else:
+                    first, last = (taken[0].start, taken[-1].end) if taken else (at, at)
+                    node = Node(left, True, first, last, self.visible(taken) if takes_hidden and not is_hidden else taken)
+                under, now, sum_ = (now, node, popped), goto, sum_ + dynamic
+                to = single[now].get(name)
+            if to is None:
                 break
-            below, state, score, at = (now, Node(name, best.named, place, end), under), to, sum_, end
+            below, state, score, at = (now, Node(name, best[2], place, end), under), to, sum_, end
             place = end
         return _Stack(at, state, below, score, s.errors, s.memo)
 
+    def _lex_entry(self, key: int) -> tuple:
+        usable, extras = self._candidates(key >> 8, key & 255)
+        entry = self._lexed[key] = [(t.regex.match, t.name, t.named, t.level, t.immediate) for t in usable], extras, all(self.language.hidden(t.name) for t in extras)
+        return entry
+
     def _root(self, s: _Stack, size: int) -> Node:
         parts, below = [], s.below
         while below is not None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..grammar.samples import parser
+from ..partitions import Once, spread
 from ..query.compiler import Query, compile_query
 from ..query.matcher import run
 from ..tree import Node, Tree
@@ -184,16 +185,20 @@ def grep(docs: DataFrame, statement: str, lang: str = "", id_col: str = "doc_id"
     holds = compile_where(s.where)
 
     def search(batches):
+        def find(text: bytes) -> list[tuple]:
+            found = [r for r in results(parser(language).parse(text), query) if holds(r.texts())]
+            return [(i, r.start, r.end, list(r.texts().items())) for i, r in enumerate(found)]
+
+        once = Once(find)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
-                    found = [r for r in results(parser(language).parse(text.encode()), query) if holds(r.texts())]
-                    rows.extend((doc, i, r.start, r.end, list(r.texts().items())) for i, r in enumerate(found))
+                    rows.extend((doc, *row) for row in once(text.encode()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(search, _RESULT)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(search, _RESULT)
 
 
 def grep_replace(docs: DataFrame, statement: str, lang: str = "", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,5 +219,5 @@ def grep_replace(docs: DataFrame, statement: str, lang: str = "", id_col: str =
                 rows.append((doc, apply(source, edits).decode("utf-8", "replace"), len(edits), notes))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string())))], names=["doc_id", "text", "n_edits", "notes"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rewrite, "doc_id bigint, text string, n_edits int, notes array<string>")
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(rewrite, "doc_id bigint, text string, n_edits int, notes array<string>")
 

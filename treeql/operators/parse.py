@@ -9,29 +9,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..grammar.samples import parser
+from ..partitions import Once, spread
 from ..tree import ARROW, DDL, Tree, record_batch
 
 
 def parse(docs: DataFrame, lang: str | Callable[[bytes], Tree], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The `nodes` of every text; empty and null texts give none.
 
-    Only the two columns reach Python, in Arrow batches; each worker compiles a grammar once.
+    Only the two columns reach Python, in Arrow batches; each worker compiles a grammar once, and each task parses equal texts once.
     """
 
     def run(batches):
-        read = (lambda b: parser(lang).parse(b)) if isinstance(lang, str) else lang
+        read = parser(lang).parse if isinstance(lang, str) else lang
+        once = Once(lambda text: read(text).rows(None))
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
-                    rows.extend(read(text.encode() if isinstance(text, str) else text).rows(doc))
+                    rows.extend((doc, *row[1:]) for row in once(text.encode() if isinstance(text, str) else text))
                 if len(rows) > 50_000:
                     yield record_batch(rows)
                     rows = []
             if rows:
                 yield record_batch(rows, ARROW)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DDL)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, DDL)
 
 
 def parse_utf16(docs: DataFrame, lang: str, order: str = "LE", id_col: str = "doc_id", content_col: str = "content") -> DataFrame:

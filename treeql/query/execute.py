@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grammar.samples import parser
+from ..partitions import Once, spread
 from ..tree import Tree, from_rows
 from .compiler import Query, compile_query
 from .matcher import run
@@ -76,15 +77,16 @@ def query_sources(docs: DataFrame, lang: str | Callable[[bytes], Tree], query: s
 
     def match(batches):
         parse = parser(lang).parse if isinstance(lang, str) else lang
+        once = Once(lambda text: match_rows(0, parse(text), query, **options))
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
-                    rows.extend(match_rows(doc, parse(text.encode() if isinstance(text, str) else text), query, **options))
+                    rows.extend((doc, *row[1:]) for row in once(text.encode() if isinstance(text, str) else text))
             if rows:
                 yield _batch(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(match, MATCHES)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col)).mapInArrow(match, MATCHES)
 
 
 #: Queries of more patterns go document by document: each pattern as joins would read `nodes` anew.

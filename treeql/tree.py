@@ -27,16 +27,27 @@ DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in NODES.fields)
 
 
 class Node:
-    """A node under construction or in use; `parent` and `index` are set by `Tree`."""
+    """A node under construction or in use; `parent` and `index` are set by `Tree`. What most nodes have alike stands in the class."""
 
-    __slots__ = ("children", "end", "error", "extra", "field", "id", "index", "missing", "named", "named_index", "parent", "start", "text_", "type")
+    extra = missing = error = False
+    field: str | None = None
+    text_: str | None = None
+    parent: "Node | None" = None
+    index = named_index = id = -1
 
     def __init__(self, type_: str, named: bool = True, start: int = 0, end: int = 0, children: Iterable["Node"] = (), field: str | None = None, *, extra=False, missing=False, error=False, text: str | None = None):
-        self.type, self.named, self.start, self.end, self.field = type_, named, start, end, field
-        self.children = list(children)
-        self.extra, self.missing, self.error, self.text_ = extra, missing, error, text
-        self.parent: Node | None = None
-        self.index = self.named_index = self.id = -1
+        self.type, self.named, self.start, self.end = type_, named, start, end
+        self.children = children if type(children) is list else list(children)
+        if field is not None:
+            self.field = field
+        if extra:
+            self.extra = True
+        if missing:
+            self.missing = True
+        if error:
+            self.error = True
+        if text is not None:
+            self.text_ = text
 
     def child_by_field(self, name: str) -> "Node | None":
         return next((c for c in self.children if c.field == name), None)
