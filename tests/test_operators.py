@@ -227,3 +227,32 @@ def test_extension_highlights():
 
     more = calc_grammar().extended("more").append_choice("expression", dsl.seq("let", dsl.sym("number")))
     assert code.extension_highlights(calc_grammar(), more) == '"let" @keyword'
+
+
+def test_a_deep_and_a_wide_document(spark):
+    """300,000 nodes in one document: no operator compares them all with each other."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from treeql.operators.edits import diff_trees
+
+    n = 300_000
+    wide = spark.range(n).select(
+        F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("node_id"), F.when(F.col("id") > 0, F.lit(0)).alias("parent_id"), F.greatest(F.col("id") - 1, F.lit(0)).cast("int").alias("child_index"),
+        F.when(F.col("id") > 0, 1).otherwise(0).alias("depth"), F.when(F.col("id") > 0, F.col("id")).otherwise(n - 1).cast("int").alias("last_desc"),
+        F.when(F.col("id") > 0, F.lit("leaf")).otherwise(F.lit("top")).alias("type"), F.lit(True).alias("is_named"), F.lit(False).alias("is_missing"), (F.col("id") % 3 == 0).alias("is_error"),
+        F.when(F.col("id") > 0, 0).otherwise(n - 1).alias("child_count"), (F.col("id") * 2).cast("int").alias("start_byte"), (F.col("id") * 2 + 1).cast("int").alias("end_byte"), F.col("id").cast("string").alias("text"),
+    )
+    # one chain of nodes, each the only child of the one before
+    deep = wide.withColumns({"parent_id": F.expr("nullif(node_id - 1, -1)"), "child_index": F.lit(0), "depth": F.col("node_id"), "last_desc": F.lit(n - 1), "child_count": F.when(F.col("node_id") < n - 1, 1).otherwise(0), "doc_id": F.lit(2).cast("long")})
+    both = wide.unionByName(deep)
+    began = time.time()
+    assert nav.walk(both, skip_below=F.col("node_id") == 5).groupBy("doc_id").count().orderBy("doc_id").collect() == [(1, n), (2, 6)]
+    assert nav.ancestor_types(both).groupBy("doc_id").count().orderBy("doc_id").collect() == [(1, n - 1), (2, n - 1)]
+    assert {r.doc_id: r.n_errors for r in nav.count_errors(both).collect()} == {1: 1, 2: 1}
+    assert {r.doc_id: len(r.sexpr) > n for r in nav.sexprs(wide).collect()} == {1: True}
+    changed = both.withColumn("text", F.when(F.col("node_id") % 1000 == 7, F.lit("x")).otherwise(F.col("text")))
+    spans = {r.doc_id: r["count"] for r in diff_trees(both, changed).groupBy("doc_id").count().collect()}
+    assert spans == {1: 300, 2: 1}
+    assert time.time() - began < 120

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .navigation import below, down_the_tree
 from .spans import coalesce_ranges
 
 
@@ -73,21 +77,28 @@ def changed_ranges(edits: DataFrame) -> DataFrame:
 
 
 def with_paths(nodes: DataFrame) -> DataFrame:
-    """`nodes` with `path`: the child indexes from the root, joined by dots, from ancestors found by interval."""
-    up = nodes.select("doc_id", F.col("node_id").alias("a"), "last_desc", F.col("depth").alias("ad"), F.col("child_index").alias("ai"))
-    pairs = nodes.select("doc_id", "node_id").join(up, "doc_id").where("node_id >= a and node_id <= last_desc")
-    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ad", "ai"))), lambda x: x["ai"].cast("string")), ".")
-    return nodes.join(pairs.groupBy("doc_id", "node_id").agg(path.alias("path")), ["doc_id", "node_id"])
+    """`nodes` with `path`: the child indexes from the root, joined by dots."""
+    join = lambda above, own: f"{above}.{own}" if above else str(own)
+    rest = tuple(c for c in nodes.columns if c not in ("doc_id", "node_id"))
+    return down_the_tree(nodes, "child_index", "path", pa.string(), "string", "", join, join, rest).select(*nodes.columns, "path")
+
+
+def _step(above: bytes, own: int) -> bytes:
+    return blake2b(above + own.to_bytes(4, "little"), digest_size=16).digest()
 
 
 def diff_trees(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(doc_id, s, e): spans of the topmost nodes whose type or number of children differ, of leaves also whose text does, coalesced."""
-    columns = ["doc_id", "path", "type", "child_count", "start_byte", "end_byte", "depth", "text"]
-    a = with_paths(old).select([F.col(c).alias(f"o_{c}") for c in columns])
-    b = with_paths(new).select(columns)
-    both = b.join(a, (F.col("doc_id") == F.col("o_doc_id")) & (F.col("path") == F.col("o_path")))
-    bad = both.where((F.col("type") != F.col("o_type")) | (F.col("child_count") != F.col("o_child_count")) | ~F.col("text").eqNullSafe(F.col("o_text")))
-    outer = bad.select(F.col("doc_id").alias("d_"), F.col("path").alias("p_"))
-    top = bad.join(outer, (F.col("doc_id") == F.col("d_")) & F.col("path").startswith(F.concat("p_", F.lit("."))), "left_anti")
+    """(doc_id, s, e): spans of the topmost nodes whose type or number of children differ, of leaves also whose text does, coalesced.
+
+    Nodes at one place meet by a digest of their path, which is as short for deep trees as for others.
+    """
+    columns = ["type", "child_count", "start_byte", "end_byte", "text"]
+    at = lambda nodes, keep: down_the_tree(nodes, "child_index", "place", pa.binary(), "binary", b"", _step, _step, tuple(keep))
+    a = at(old, columns).select("doc_id", "place", *[F.col(c).alias(f"o_{c}") for c in columns])
+    both = at(new, [*columns, "last_desc"]).join(a, ["doc_id", "place"])
+    differs = (F.col("type") != F.col("o_type")) | (F.col("child_count") != F.col("o_child_count")) | ~F.col("text").eqNullSafe(F.col("o_text"))
+    # only nodes that differ meet in the window that finds the topmost of them
+    bad = both.where(differs)
+    top = bad.withColumn("__below", below(F.lit(True))).where("not __below")
     spans = top.select("doc_id", F.least("start_byte", "o_start_byte").alias("s"), F.greatest("end_byte", "o_end_byte").alias("e"))
     return coalesce_ranges(spans)

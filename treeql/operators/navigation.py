@@ -1,14 +1,48 @@
 """Navigation: axes, lookups and serialisation of trees, as joins, windows and aggregates over `nodes`.
 
-Joins always have the document in their key, so that ancestor and span conditions are residual filters of an equi-join.
+Whether a node lies below others is a window in preorder (`below`), and what its ancestors hand down is read in one pass with a stack (`down_the_tree`), so that no operator compares
+all nodes of a document with each other. Joins always have the document in their key; conditions on spans are residual filters of an equi-join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def below(flag: Column) -> Column:
+    """Whether a node lies below one with `flag`: the furthest end of a flagged subtree that began before it reaches it."""
+    earlier = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.max(F.when(flag, F.col("last_desc"))).over(earlier) >= F.col("node_id"), F.lit(False))
+
+
+def down_the_tree(nodes: DataFrame, column: str, out: str, kind: pa.DataType, ddl: str, root, give: Callable, hand: Callable, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, node_id, out, *keep): `give(what the ancestors hand down, column)` for each node; `hand` of the same is what its children get. `root` is handed to roots.
+
+    Documents are dealt by hash and read in preorder; a task holds the stack of open nodes only.
+    """
+    def run(batches):
+        doc, stack = None, []
+        for batch in batches:
+            values = []
+            for d, node, last, value in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if d != doc:
+                    doc, stack = d, []
+                while stack and stack[-1][0] < node:
+                    stack.pop()
+                handed = stack[-1][1] if stack else root
+                values.append(give(handed, value))
+                if last > node:
+                    stack.append((last, hand(handed, value)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, kind), *batch.columns[4:]], names=["doc_id", "node_id", out, *keep])
+
+    rows = nodes.select("doc_id", "node_id", "last_desc", column, *[F.col(c).alias(f"__{c}") for c in keep])
+    kept = "".join(f", `{c}` {nodes.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "node_id").mapInArrow(run, f"doc_id bigint, node_id int, {out} {ddl}{kept}")
+
 
 def _siblings():
     return Window.partitionBy("doc_id", "parent_id").orderBy("child_index")
@@ -57,17 +91,16 @@ def descendants(nodes: DataFrame, of: DataFrame, types: tuple[str, ...] = ()) ->
 
 def ancestor_types(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, ancestor_types): sorted distinct types above each node."""
-    up = nodes.where("child_count > 0").select("doc_id", F.col("node_id").alias("a"), "last_desc", F.col("type").alias("above"))
-    pairs = nodes.select("doc_id", "node_id").join(up, "doc_id").where("node_id > a and node_id <= last_desc")
-    return pairs.groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_set("above")).alias("ancestor_types"))
+    more = lambda above, own: above if own in above else sorted([*above, own])
+    found = down_the_tree(nodes, "type", "ancestor_types", pa.list_(pa.string()), "array<string>", [], lambda above, own: above, more)
+    return found.where(F.size("ancestor_types") > 0)
 
 
 def walk(nodes: DataFrame, skip_below: Column | None = None, stop_at: Column | None = None) -> DataFrame:
     """Nodes in preorder (step = place in the visit); those below a node with `skip_below` are left out, and all after the first with `stop_at`."""
     seen = nodes
     if skip_below is not None:
-        cut = nodes.where(skip_below).select(F.col("doc_id").alias("d"), F.col("node_id").alias("s"), F.col("last_desc").alias("l"))
-        seen = seen.join(cut, (F.col("doc_id") == F.col("d")) & (F.col("node_id") > F.col("s")) & (F.col("node_id") <= F.col("l")), "left_anti")
+        seen = seen.withColumn("__below", below(skip_below)).where("not __below").drop("__below")
     if stop_at is not None:
         first = F.min(F.when(stop_at, F.col("node_id"))).over(Window.partitionBy("doc_id"))
         seen = seen.withColumn("__stop", first).where("__stop is null or node_id <= __stop").drop("__stop")
@@ -112,8 +145,7 @@ def shifted(nodes: DataFrame, offset: int, rows: int, columns: int) -> DataFrame
 
 def sexprs(nodes: DataFrame) -> DataFrame:
     """(doc_id, sexpr): named nodes as an S-expression; what stands below an anonymous node is left out with it."""
-    hidden = nodes.where("not is_named and child_count > 0").select(F.col("doc_id").alias("d"), F.col("node_id").alias("s"), F.col("last_desc").alias("l"))
-    named = nodes.where("is_named").join(hidden, (F.col("doc_id") == F.col("d")) & (F.col("node_id") > F.col("s")) & (F.col("node_id") <= F.col("l")), "left_anti")
+    named = nodes.withColumn("__below", below(~F.col("is_named"))).where("is_named and not __below").drop("__below")
     after = F.coalesce(F.lead("depth").over(Window.partitionBy("doc_id").orderBy("node_id")), F.lit(0))
     mark = F.when(F.col("is_missing"), F.concat(F.lit("MISSING "), "type")).otherwise(F.col("type"))
     # levels that close behind a node: down to the next one's depth (to the root's, after the last)
@@ -130,9 +162,7 @@ def dot(nodes: DataFrame) -> DataFrame:
 
 def count_errors(nodes: DataFrame) -> DataFrame:
     """(doc_id, n_errors): error nodes that aren't inside another."""
-    bad = nodes.where("is_error")
-    outer = bad.select(F.col("doc_id").alias("d"), F.col("node_id").alias("s"), F.col("last_desc").alias("l"))
-    top = bad.join(outer, (F.col("doc_id") == F.col("d")) & (F.col("node_id") > F.col("s")) & (F.col("node_id") <= F.col("l")), "left_anti")
+    top = nodes.withColumn("__below", below(F.col("is_error"))).where("is_error and not __below")
     return top.groupBy("doc_id").agg(F.count("*").alias("n_errors"))
 
 

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.navigation import below
 from .compiler import Child, Pattern, Predicate, Query, Step
 
 _PREDICATES = {"eq", "not-eq", "any-eq", "any-not-eq", "match", "not-match", "any-match", "any-not-match", "any-of", "not-any-of", "is-exported", "has-parent", "not-has-parent", "set", "offset", "strip", "is", "is-not", "count", "has-ancestor", "not-has-ancestor"}
@@ -115,12 +116,16 @@ class _Plan:
         if "has-" in q.name:
             if not at:
                 return df.limit(0)
+            anti = "left_anti" if q.name.startswith("not-") else "left_semi"
+            if "ancestor" in q.name and len(at) == 1:
+                under = self.nodes.withColumn("u_", below(F.col("type").isin(*q.values))).where("u_").select(F.col("doc_id").alias("d_"), F.col("node_id").alias("a_"))
+                return df.join(under, (F.col(at[0] + "doc_id") == F.col("d_")) & (F.col(at[0] + "node_id") == F.col("a_")), anti)
             above = self.nodes.where(F.col("type").isin(*q.values)).select(F.col("doc_id").alias("d_"), F.col("node_id").alias("a_"), F.col("last_desc").alias("l_"))
             hit = F.lit(False)
             for p in at:
                 inside = (F.col("a_") == F.col(p + "parent_id")) if "parent" in q.name else (F.col(p + "node_id") > F.col("a_")) & (F.col(p + "node_id") <= F.col("l_"))
                 hit |= inside
-            return df.join(above, (F.col(at[0] + "doc_id") == F.col("d_")) & hit, "left_anti" if q.name.startswith("not-") else "left_semi")
+            return df.join(above, (F.col(at[0] + "doc_id") == F.col("d_")) & hit, anti)
         if not at:
             return df if q.optional else df.limit(0)
         texts = [F.coalesce(F.col(p + "text"), F.lit("")) for p in (at if q.name.startswith("any-") and q.name != "any-of" else at[:1])]
