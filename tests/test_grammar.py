@@ -118,12 +118,12 @@ def test_vm_scanner():
     from treeql.grammar.vm import VmError, VmScanner
 
     # a name: letters, after them any number of word characters
-    program = [("require_valid", "name"), ("if_class", "letter", 3), ("fail",), ("advance",), ("mark",), ("if_class", "word", 3), ("emit", "name")]
+    program = [("require_valid", "name", 7), ("if_class", "letter", 7), ("advance",), ("mark",), ("if_class", "word", 6), ("jump", 2), ("emit", "name"), ("fail",)]
     scanner = VmScanner(program)
     assert scanner.scan("été_1 x".encode(), 0, ["name"], b"") == ("name", 7, b"")
     assert scanner.scan(b"1x", 0, ["name"], b"") is None and scanner.scan(b"x", 0, ["other"], b"") is None
     assert VmScanner([("jump", 0)]).scan(b"", 0, [], b"") is None
-    assert VmScanner([("require_state", 0), ("set_state", 5), ("emit", "t")]).scan(b"", 0, ["t"], b"")[2] == (5).to_bytes(8, "big")
+    assert VmScanner([("require_state", 0, 3), ("set_state", 5), ("emit", "t"), ("fail",)]).scan(b"", 0, ["t"], b"")[2] == (5).to_bytes(8, "big")
     for bad in ([("nope",)], [("jump", 7)]):
         with pytest.raises(VmError):
             VmScanner(bad)

@@ -1,7 +1,7 @@
 """Scanners as data: short programs of a few instructions, run over the text at one place.
 
-A program is a list of (name, argument, target) instructions. The register `state` is what is kept between tokens, as a whole number; `width` is how far the
-token reaches. Every run ends: a program takes at most MAX_STEPS steps.
+A program is a list of (name, argument, target) instructions. The register `state` is what is kept between tokens, as a whole number; `mark` sets how far the
+token reaches. A condition that holds goes on with the next instruction, one that fails with its target. Every run ends: a program takes at most `max_steps` steps.
 """
 
 from __future__ import annotations
@@ -9,10 +9,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 MAX_STEPS = 10_000
-OPERATIONS = {
-    "fail", "jump", "require_valid", "require_state", "set_state", "if_char", "if_range", "if_class", "advance", "mark", "emit",
-}
-_CLASSES = {"letter": str.isalpha, "digit": str.isdigit, "space": str.isspace, "word": lambda c: c.isalnum() or c == "_"}
+_CLASSES = {"letter": str.isalpha, "digit": str.isdigit, "space": str.isspace, "word": lambda c: c.isalnum() or c == "_", "newline": lambda c: c == "\n"}
+#: Tests of (argument, names that may come next, state, character).
+CONDITIONS = {
+    "require_valid": lambda arg, names, state, char: arg in names,
+    "require_state": lambda arg, names, state, char: state == arg,
+    "if_char": lambda arg, names, state, char: char == arg,
+    "if_range": lambda arg, names, state, char: bool(char) and arg[0] <= char <= arg[1],
+    "if_class": lambda arg, names, state, char: bool(char) and _CLASSES[arg](char),
+}
+OPERATIONS = {"fail", "jump", "set_state", "advance", "mark", "emit", *CONDITIONS}
 
 
 class VmError(ValueError):
@@ -22,43 +28,46 @@ class VmError(ValueError):
 class VmScanner:
     """Runs a program for each token.
 
-    fail; jump target; require_valid name; require_state n; set_state n; if_char c target; if_range (a, b) target; if_class name target;
-    advance; mark (the token ends here); emit name.
+    fail; jump target; set_state n; advance (to the next character, nowhere at the end); mark (the token ends here); emit name; and with a target for when they don't hold: require_valid name;
+    require_state n; if_char c; if_range (a, b); if_class name.
     """
 
-    def __init__(self, program: Sequence[tuple]):
-        self.program = [(*p, None, None)[:3] for p in program]
+    def __init__(self, program: Sequence[tuple], max_steps: int = MAX_STEPS):
+        self.program, self.max_steps = [(*p, None, None)[:3] for p in program], max_steps
+        if not self.program:
+            raise VmError("empty program")
         for i, (op, arg, target) in enumerate(self.program):
             if op not in OPERATIONS:
                 raise VmError(f"unknown instruction {op!r} at {i}")
             to = arg if op == "jump" else target
-            if op in ("jump", "if_char", "if_range", "if_class") and not (isinstance(to, int) and 0 <= to < len(self.program)):
+            if (op == "jump" or op in CONDITIONS) and not (isinstance(to, int) and 0 <= to < len(self.program)):
                 raise VmError(f"instruction {i} jumps out of the program")
+            if op == "if_class" and arg not in _CLASSES:
+                raise VmError(f"unknown class {arg!r} at {i}")
 
     def scan(self, source: bytes, at: int, names: list[str], state: bytes):
         value, place, end, k = int.from_bytes(state, "big"), at, at, 0
-        for _ in range(MAX_STEPS):
+        for _ in range(self.max_steps):
             if k >= len(self.program):
                 return None
             op, arg, target = self.program[k]
-            k += 1
             char, width = self._char(source, place)
-            if op == "fail" or (op == "require_valid" and arg not in names) or (op == "require_state" and value != arg):
+            k += 1
+            if op in CONDITIONS:
+                if not CONDITIONS[op](arg, names, value, char):
+                    k = target
+            elif op == "fail":
                 return None
-            if op == "jump":
+            elif op == "jump":
                 k = arg
             elif op == "set_state":
                 value = arg
             elif op == "advance":
-                if not char:
-                    return None
                 place += width
             elif op == "mark":
                 end = place
-            elif op == "emit":
+            else:
                 return (arg, end, value.to_bytes(8, "big") if value else b"") if arg in names else None
-            elif (op == "if_char" and char == arg) or (op == "if_range" and char and arg[0] <= char <= arg[1]) or (op == "if_class" and char and _CLASSES[arg](char)):
-                k = target
         return None
 
     @staticmethod

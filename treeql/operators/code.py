@@ -12,7 +12,7 @@ from ..grammar.dsl import Grammar, Rule
 from ..query.compiler import compile_query
 from ..query.execute import capture_rows, query_sources
 from .parse import parse
-from .spans import resolve_highlights
+from .spans import point_for_byte, resolve_highlights
 
 
 def highlight(matches: DataFrame) -> DataFrame:
@@ -86,14 +86,27 @@ def injection_query(docs: DataFrame, lang, query: str, id_col: str = "doc_id", t
     return injections(query_sources(docs, lang, compiled, id_col, text_col), fixed)
 
 
-def parse_injections(regions: DataFrame, languages: tuple[str, ...]) -> DataFrame:
-    """Nodes of the embedded regions in the document's coordinates, with inj_id and lang; regions of other languages give none."""
+def parse_injections(regions: DataFrame, languages: tuple[str, ...], docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Nodes of the embedded regions in the document's coordinates, with inj_id and lang; regions of other languages give none.
+
+    Rows and columns are those of the document too, if its texts are given as `docs`; columns move in a region's first row only.
+    """
     keyed = regions.withColumn("key", F.xxhash64("doc_id", "inj_id"))
+    if docs is not None:
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__source"))
+        keyed = keyed.join(texts, "doc_id").withColumn("point", point_for_byte(F.col("__source"), F.col("start_byte"))).drop("__source")
+    else:
+        keyed = keyed.withColumn("point", F.expr("named_struct('row', 0, 'column', 0)"))
     out = None
     for lang in languages:
         part = keyed.where(F.col("language") == lang)
         trees = parse(part, lang, "key", "text").withColumnRenamed("doc_id", "key")
-        part = trees.join(part.select("key", F.col("doc_id"), "inj_id", F.col("start_byte").alias("base")), "key").withColumns({"start_byte": F.col("start_byte") + F.col("base"), "end_byte": F.col("end_byte") + F.col("base"), "lang": F.lit(lang)}).drop("key", "base")
+        part = trees.join(part.select("key", F.col("doc_id"), "inj_id", F.col("start_byte").alias("base"), "point"), "key")
+        moved = {"start_byte": F.col("start_byte") + F.col("base"), "end_byte": F.col("end_byte") + F.col("base"), "lang": F.lit(lang)}
+        for edge in ("start", "end"):
+            moved[f"{edge}_col"] = F.col(f"{edge}_col") + F.when(F.col(f"{edge}_row") == 0, F.col("point.column")).otherwise(0)
+            moved[f"{edge}_row"] = F.col(f"{edge}_row") + F.col("point.row")
+        part = part.withColumns(moved).drop("key", "base", "point")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -103,13 +103,6 @@ query("shifted_nodes", "SELECT doc_id, node_id, node_id * 2 + 7 AS start_byte, l
     lambda n: nav.shifted(n, 7, 1, 3).select("doc_id", "node_id", "start_byte", "end_byte", "start_col", "start_row")
 )
 
-
-def _ranges(n: DataFrame) -> DataFrame:
-    return n.where("type = 'item'").select("doc_id", F.col("node_id").alias("range_id"), F.col("start_byte").alias("s"), (F.col("start_byte") + 1).alias("e"))
-
-
-query("descendant_for_range", "SELECT n.doc_id, n.node_id AS range_id, n.node_id, n.type FROM nodes n WHERE type = 'item'")(lambda n: nav.smallest_containing(n, _ranges(n)))
-query("match_root", "SELECT n.doc_id, n.node_id AS range_id, n.node_id, n.type FROM nodes n WHERE type = 'item'")(lambda n: nav.match_root(n, _ranges(n)))
 query("first_child_for_byte", "SELECT doc_id, parent_id, min(child_index) AS child_index FROM nodes WHERE parent_id IS NOT NULL AND last_desc * 2 + 2 > 40 GROUP BY 1, 2")(lambda n: nav.first_child_for_byte(n, 40))
 
 # queries
@@ -157,12 +150,23 @@ tree_query("pred_lua_match", '((customer) @x (#lua-match? @x "^%u+$"))', f"{_ONE
 tree_query("pred_any_of", '((customer) @x (#any-of? @x "BUILDING" "MACHINERY"))', f"{_ONE} WHERE type = 'customer' AND text IN ('BUILDING', 'MACHINERY')")
 tree_query("pred_not_any_of", '((item) @x (#not-any-of? @x "A" "N"))', f"{_ONE} WHERE type = 'item' AND text NOT IN ('A', 'N')")
 tree_query("pred_has_parent", "((_) @x (#has-parent? @x order))", f"{_ONE} WHERE type = 'item'")
-tree_query("pred_not_has_parent", "((_) @x (#not-has-parent? @x order))", f"{_ONE} WHERE type <> 'item'")
-tree_query("pred_has_ancestor", "((item) @x (#has-ancestor? @x customer))", f"{_ONE} WHERE type = 'item'")
+
+
+def _by_status(n: DataFrame) -> DataFrame:
+    """The forest with the order's status in its type, so that ancestors differ."""
+    return n.withColumn("type", F.when(F.col("type") == "order", F.concat("type", "text")).otherwise(F.col("type")))
+
+
+for _name, _test, _not in (("has_ancestor", "has-ancestor", ""), ("not_has_ancestor", "not-has-ancestor", "NOT"), ("not_has_parent", "not-has-parent", "NOT")):
+    query(f"pred_{_name}", f"SELECT c.doc_id, 'x=' || c.node_id AS found FROM nodes p JOIN nodes c ON c.doc_id = p.doc_id AND c.parent_id = p.node_id WHERE c.type = 'item' AND {_not} p.text = 'F'")(
+        lambda n, _test=_test: execute(_by_status(n), f"((item) @x (#{_test}? @x orderF))").select("doc_id", _listed())
+    )
 tree_query("pred_any_eq", '((order (item)+ @x) (#any-eq? @x "R"))', "SELECT doc_id, string_agg('x=' || node_id, ',' ORDER BY child_index) AS found FROM nodes WHERE type = 'item' GROUP BY doc_id, parent_id HAVING bool_or(text = 'R')", by_document=True)
 tree_query("pred_any_match", '((order (item)+ @x) (#any-match? @x "[RA]"))', "SELECT doc_id, string_agg('x=' || node_id, ',' ORDER BY child_index) AS found FROM nodes WHERE type = 'item' GROUP BY doc_id, parent_id HAVING bool_or(text IN ('R', 'A'))", by_document=True)
 tree_query("pred_count", "((order (item)+ @x) (#count? @x > 3))", "SELECT doc_id, string_agg('x=' || node_id, ',' ORDER BY child_index) AS found FROM nodes WHERE type = 'item' GROUP BY doc_id, parent_id HAVING count(*) > 3", by_document=True)
-tree_query("pred_is_exported", "((customer) @x (#is-exported? @x))", f"{_ONE} WHERE type = 'customer'")
+query("pred_is_exported", f"{_ONE} WHERE type = 'item' AND text <> 'R'")(
+    lambda n: execute(n.withColumn("text", F.when(F.col("text") == "R", "r").otherwise(F.col("text"))), "((item) @x (#is-exported? @x))").select("doc_id", _listed())
+)
 query("dir_strip", "SELECT doc_id, node_id, regexp_replace(text, '[AEIOU]', '', 'g') AS text FROM nodes WHERE type = 'customer'")(
     lambda n: capture_rows(execute(n, '((customer) @x (#strip! @x "[AEIOU]"))')).select("doc_id", "node_id", "text")
 )
@@ -199,10 +203,10 @@ def line_starts(spark, sf_dir):
     return sp.line_starts(table(spark, sf_dir, "documents")).withColumn("line", F.col("line").cast("long"))
 
 
-@query("highlight_resolve", "SELECT doc_id, CAST(sum(last_desc * 2 + 2 - node_id * 2) AS BIGINT) AS bytes FROM nodes WHERE node_id = 0 GROUP BY 1")
+@query("highlight_resolve", "SELECT doc_id, type AS capture, CAST(2 * count(*) AS BIGINT) AS bytes FROM nodes GROUP BY 1, 2")
 def highlight_resolve(n):
     flat = sp.resolve_highlights(n.select("doc_id", "start_byte", "end_byte", F.col("type").alias("capture"), F.lit(0).alias("pattern_index")))
-    return flat.groupBy("doc_id").agg(F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"))
+    return flat.groupBy("doc_id", "capture").agg(F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"))
 
 
 @query("highlight_items", "SELECT doc_id, CAST(sum(CASE WHEN type = 'item' THEN 2 ELSE 0 END) AS BIGINT) AS item_bytes FROM nodes GROUP BY 1")
@@ -239,9 +243,9 @@ def template_substitute(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", substitute_column(F.lit("$BRAND: $NAME ($BRAND)"), ["NAME", "BRAND"], _captures()).alias("text"))
 
 
-@query("where_clauses", "SELECT p_partkey FROM part WHERE contains(p_name, '1') AND NOT regexp_matches(p_brand, '[24]$')", forest=False)
+@query("where_clauses", "SELECT p_partkey FROM part WHERE contains(p_name, 'in') AND NOT regexp_matches(p_brand, '[24]$')", forest=False)
 def where_clauses(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(where_column('contains($NAME, "1"); not matches($BRAND, "[24]$")', _captures())).select("p_partkey")
+    return table(spark, sf_dir, "part").where(where_column('contains($NAME, "in"); not matches($BRAND, "[24]$")', _captures())).select("p_partkey")
 
 
 @query("tree_diff", "SELECT doc_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM (SELECT doc_id, node_id * 2 AS s, node_id * 2 + 2 AS e, max(node_id * 2 + 2) OVER (PARTITION BY doc_id ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM nodes WHERE type = 'item' AND text = 'R')) GROUP BY doc_id, g")
@@ -354,8 +358,4 @@ def edit_stream_final(spark, sf_dir):
     return final_texts(edits).select("doc_id", F.col("n_edits").cast("long").alias("n_edits"), "text")
 
 
-@query("language_support", forest=False)
-def language_support(spark, sf_dir):
-    from ..sources.languages import support
-
-    return support(spark)
+from . import lookups  # noqa: E402, F401 - registers its queries here

@@ -74,7 +74,7 @@ def interpreter(line: Column) -> Column:
     """The interpreter that a `#!` line names, past `env`, its flags and variable settings."""
     words = F.split(F.trim(F.regexp_replace(line, r"^#!\s*", "")), r"\s+")
     base = lambda w: F.lower(F.element_at(F.split(w, "/"), -1))
-    rest = F.filter(F.slice(words, 2, 100), lambda w: ~w.startswith("-") & ~w.contains("="))
+    rest = F.filter(F.slice(words, 2, F.size(words)), lambda w: ~w.startswith("-") & ~w.contains("="))
     found = F.when(base(words[0]) == "env", base(F.try_element_at(rest, F.lit(1)))).otherwise(base(words[0]))
     return F.when(line.startswith("#!"), found)
 
