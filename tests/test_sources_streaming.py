@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -34,18 +35,53 @@ def test_walk(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    """Edits out of order and repeated, over several batches."""
     rng = random.Random(2)
     rows = [(rng.randrange(3), v, a := rng.randrange(10), a + rng.randrange(4), f"t{v}é") for v in range(60)]
     schema = "doc_id long, version long, start_byte int, old_end_byte int, new_text string"
-    source, out = tmp_path / "in", tmp_path / "out"
-    for k in range(3):
-        spark.createDataFrame(rows[20 * k : 20 * k + 20], schema).coalesce(1).write.mode("append").parquet(str(source))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    query = edited_texts(stream).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = spark.read.parquet(str(out)).groupBy("doc_id").agg(F.max_by("text", "version").alias("text"))
-    want = final_texts(spark.createDataFrame(rows, schema)).select("doc_id", "text")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    came = rows + rng.sample(rows, 20)
+    rng.shuffle(came)
+    for kept in (1000, 4):
+        source, last, late = tmp_path / f"in{kept}", {}, [0]
+        for k in range(4):
+            spark.createDataFrame(came[20 * k : 20 * k + 20], schema).coalesce(1).write.mode("append").parquet(str(source))
+
+        def take(df, _, last=last, late=late):
+            for r in df.collect():
+                last[r.doc_id] = r.version, r.text
+                late[0] += r.n_late
+
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        writer = edited_texts(stream, kept).writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / f"ck{kept}"))
+        query = writer.trigger(availableNow=True).start()
+        assert query.awaitTermination(60)
+        want = {r.doc_id: (r.version, r.text) for r in final_texts(spark.createDataFrame(came, schema)).collect()}
+        if kept == 1000:
+            assert last == want and not late[0]
+        else:
+            assert set(last) == set(want) and late[0] > 0  # what can't be placed is counted
+
+
+def test_idle_documents_leave_the_state(spark, tmp_path):
+    """A stream with a time-out has no end of its own: it runs until the second edit of the document starts anew."""
+    schema = "doc_id long, version long, start_byte int, old_end_byte int, new_text string"
+    source, seen = tmp_path / "in", []
+    add = lambda v: spark.createDataFrame([(1, v, 0, 0, f"t{v}")], schema).coalesce(1).write.mode("append").parquet(str(source))
+    add(1)
+    stream = spark.readStream.schema(schema).parquet(str(source))
+    out = edited_texts(stream, idle_ms=1000).writeStream.foreachBatch(lambda df, _: seen.extend(r.text for r in df.collect()))
+    query = out.option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="500 milliseconds").start()
+    try:
+        until = time.time() + 60
+        while not seen and time.time() < until:
+            time.sleep(0.2)
+        time.sleep(8)
+        add(2)
+        while len(seen) < 2 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert seen == ["t1", "t2"]
 
 
 def test_table_functions(spark):
