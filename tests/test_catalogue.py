@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 LOOKUPS = (
     "dot_graph named_counts child_by_type error_counts syntax_errors typed_captures descendant_for_range named_descendant_for_range match_root utf16_offsets utf16_ranges utf16_edits points tokens_in_ranges shifted_by_edit "
-    "changed_ranges edits_applied updated_nodes parse_utf16 parse_ranges parse_runtime table_functions shebangs import_rows_go_java_starlark diagnostics embedded_nodes tags_of_methods language_support"
+    "changed_ranges edits_applied updated_nodes parse_utf16 parse_ranges parse_runtime table_functions shebangs import_rows_go_java_starlark diagnostics embedded_nodes tags_of_methods language_support tokens updated_tags updated_highlights_utf16"
 ).split()
 
 

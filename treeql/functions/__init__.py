@@ -20,6 +20,16 @@ class ParseNodes:
             yield from parser(lang).parse(text.encode()).rows(doc_id)
 
 
+class Tokenize:
+    """tokenize(text, lang): a row for each leaf of the tree, in order."""
+
+    def eval(self, text: str, lang: str):
+        if text:
+            tree = parser(lang).parse(text.encode())
+            for i, n in enumerate(n for n in tree.nodes if not n.children):
+                yield i, n.type, n.named, n.start, n.end, tree.text(n)
+
+
 class RunQuery:
     """run_query(text, lang, query): a row for each capture of each match."""
 
@@ -43,5 +53,6 @@ class ExtractImports:
 def register(spark: SparkSession) -> None:
     """Make the table functions known to SQL, for use as `FROM t, LATERAL parse_nodes(t.id, t.text, 'json')`."""
     spark.udtf.register("parse_nodes", udtf(ParseNodes, returnType=DDL))
+    spark.udtf.register("tokenize", udtf(Tokenize, returnType="seq int, type string, is_named boolean, start_byte int, end_byte int, text string"))
     spark.udtf.register("run_query", udtf(RunQuery, returnType="match_seq int, pattern_index int, capture_seq int, capture string, type string, start_byte int, end_byte int, text string"))
     spark.udtf.register("extract_imports", udtf(ExtractImports, returnType="seq int, kind string, path string, from string, name string, alias string"))

@@ -72,8 +72,13 @@ def parse_runtime(docs: DataFrame, lang: str, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, stop_reason string, n_nodes bigint, n_errors bigint, n_bytes bigint")
 
 
-def update_nodes(old_nodes: DataFrame, old: DataFrame, new: DataFrame, lang: str) -> DataFrame:
-    """`nodes` of the texts `new` (doc_id, text), given those of `old`: only texts that differ are parsed, the others keep their nodes."""
+def update_rows(old_rows: DataFrame, old: DataFrame, new: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`run` of the texts `new` (doc_id, text), given its rows for those of `old`: it only sees texts that differ, the others keep their rows. For trees, matches, highlights and tags alike."""
     digest = lambda df, name: df.select("doc_id", F.sha2("text", 256).alias(name))
     same = digest(old, "a").join(digest(new, "b"), "doc_id").where("a = b").select("doc_id")
-    return old_nodes.join(same, "doc_id", "left_semi").unionByName(parse(new.join(same, "doc_id", "left_anti"), lang))
+    return old_rows.join(same, "doc_id", "left_semi").unionByName(run(new.join(same, "doc_id", "left_anti")))
+
+
+def update_nodes(old_nodes: DataFrame, old: DataFrame, new: DataFrame, lang: str) -> DataFrame:
+    """`nodes` of the texts `new` (doc_id, text), given those of `old`: only texts that differ are parsed, the others keep their nodes."""
+    return update_rows(old_nodes, old, new, lambda texts: parse(texts, lang))

@@ -9,7 +9,7 @@ from ..operators import code, edits
 from ..operators import navigation as nav
 from ..operators import spans as sp
 from ..operators.imports import extract_imports
-from ..operators.parse import parse, parse_ranges, parse_runtime, parse_utf16, update_nodes
+from ..operators.parse import parse, parse_ranges, parse_runtime, parse_utf16, update_nodes, update_rows
 from ..query.execute import execute, query_sources, typed
 from ..sources.languages import detect_by_name, detect_by_shebang, interpreter, support
 from .catalogue import query, table
@@ -142,6 +142,40 @@ def table_functions(spark, sf_dir):
     return keys.unionByName(spark.sql("SELECT event_id AS doc_id, 'pairs' AS capture, CAST(count(*) AS STRING) AS text FROM treeql_events, LATERAL parse_nodes(event_id, props, 'json') n WHERE n.type = 'pair' GROUP BY event_id"))
 
 
+@query("tokens", "SELECT p_partkey AS doc_id, unnest(range(0, 5))::INTEGER AS seq, unnest(['number', '*', 'number', '-', 'number']) AS type, unnest([CAST(p_size AS VARCHAR), '*', '3', '-', CAST(p_partkey AS VARCHAR)]) AS text FROM part", forest=False)
+def tokens(spark, sf_dir):
+    from ..functions import register
+
+    register(spark)
+    table(spark, sf_dir, "part").select("p_partkey", F.concat("p_size", F.lit("*3 - "), "p_partkey").alias("formula")).createOrReplaceTempView("treeql_formulas")
+    return spark.sql("SELECT p_partkey AS doc_id, t.seq, t.type, t.text FROM treeql_formulas, LATERAL tokenize(formula, 'calc') t")
+
+
+def _programs(spark, sf_dir):
+    """Old and new programs of each part; every second one is edited."""
+    old = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.format_string('fun f%d() { return "%s"; } // é', "p_partkey", "p_brand").alias("text"))
+    return old, old.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("fun new() { }\n"), "text")).otherwise(F.col("text")))
+
+
+@query("updated_tags", "SELECT p_partkey AS doc_id, 'f' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 18 ELSE 4 END AS name_start FROM part UNION ALL SELECT p_partkey, 'new', 4 FROM part WHERE p_partkey % 2 = 0", forest=False)
+def updated_tags(spark, sf_dir):
+    from ..grammar.samples import language
+
+    old, new = _programs(spark, sf_dir)
+    run = lambda texts: code.tags(query_sources(texts, "lox", code.infer_tags_query(language("lox"))))
+    return update_rows(run(old), old, new, run).where("kind = 'definition.function'").select("doc_id", "name", "name_start")
+
+
+@query("updated_highlights_utf16", "SELECT p_partkey AS doc_id, capture, CAST(place + CASE WHEN p_partkey % 2 = 0 THEN 14 ELSE 0 END AS BIGINT) AS start_unit, CAST(n AS BIGINT) AS units FROM (SELECT p_partkey, length(CAST(p_partkey AS VARCHAR)) AS k, length(p_brand) AS b FROM part), LATERAL (SELECT 'string' AS capture, 17 + k AS place, b + 2 AS n UNION ALL SELECT 'comment', 17 + k + b + 2 + 4, 4)", forest=False)
+def updated_highlights(spark, sf_dir):
+    from ..grammar.samples import lox_grammar
+
+    old, new = _programs(spark, sf_dir)
+    run = lambda texts: code.highlight(query_sources(texts, "lox", code.infer_highlight_query(lox_grammar())))
+    found = update_rows(run(old), old, new, run).where("capture in ('string', 'comment')")
+    return sp.to_utf16_ranges(found, new).select("doc_id", "capture", "start_unit", (F.col("end_unit") - F.col("start_unit")).alias("units"))
+
+
 # languages, imports, diagnostics
 
 
