@@ -256,3 +256,23 @@ def test_a_deep_and_a_wide_document(spark):
     spans = {r.doc_id: r["count"] for r in diff_trees(both, changed).groupBy("doc_id").count().collect()}
     assert spans == {1: 300, 2: 1}
     assert time.time() - began < 120
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_smallest_containing_equals_a_walk_down(spark, named):
+    texts = ['[1, [2, {"a": [3]}], "x"]', '{"k":[[],[[]],""]}', "7"]
+    nodes = parse(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "json")
+    ranges, want = [], {}
+    for doc, text in enumerate(texts):
+        tree = parser("json").parse(text.encode())
+        for s in range(len(text) + 1):
+            for e in range(s, len(text) + 1):
+                ranges.append((doc, len(ranges), s, e))
+                node, best = tree.root, None
+                while node is not None and node.start <= s and node.end >= e:
+                    best = node if node.named or not named else best
+                    node = next((c for c in reversed(node.children) if c.start <= s and c.end >= e), None)
+                if best is not None:
+                    want[len(ranges) - 1] = best.id
+    got = nav.smallest_containing(nodes, spark.createDataFrame(ranges, "doc_id long, range_id long, s int, e int"), named)
+    assert {r.range_id: r.node_id for r in got.collect()} == want

@@ -110,16 +110,36 @@ def walk(nodes: DataFrame, skip_below: Column | None = None, stop_at: Column | N
 def smallest_containing(nodes: DataFrame, ranges: DataFrame, named: bool = False) -> DataFrame:
     """For each (doc_id, range_id, s, e) the deepest node whose span holds it, the last of equals along the path: rows with node_id, type.
 
-    Of nodes at one depth that hold the range, which only a zero-width one at a border has, the last is followed.
+    Of nodes at one depth that hold the range, which only a zero-width one at a border has, the last is followed. Nodes and ranges of a document are swept by their starts: the open nodes at a range's
+    start are a path, and the deepest of them that reaches its end is the answer.
     """
-    hold = nodes.select("doc_id", "node_id", "depth", "last_desc", "type", "is_named", "start_byte", "end_byte").join(ranges, "doc_id").where("start_byte <= s and end_byte >= e")
-    # of siblings that both hold the range, the later one's subtree is taken: its identifiers are the larger ones at every depth
-    line = Window.partitionBy("doc_id", "range_id").orderBy(F.col("node_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    path = hold.withColumn("later", F.min("depth").over(line)).where("later is null or depth < later")
-    if named:
-        path = path.where("is_named")
-    best = F.max_by(F.struct("node_id", "type"), F.struct("depth", "node_id"))
-    return path.groupBy("doc_id", "range_id").agg(best.alias("n")).select("doc_id", "range_id", "n.node_id", "n.type")
+    rank = {f.name: f.dataType for f in ranges.schema.fields}["range_id"].simpleString()
+    none = lambda kind: F.lit(None).cast(kind)
+    open_ = nodes.select("doc_id", F.col("start_byte").cast("long").alias("at"), F.lit(0).alias("kind"), "node_id", "last_desc", F.col("end_byte").cast("long").alias("end"), "type", F.col("is_named").alias("fits"), none(rank).alias("range_id"))
+    asked = ranges.select("doc_id", F.col("s").cast("long").alias("at"), F.lit(1).alias("kind"), none("int").alias("node_id"), none("int").alias("last_desc"), F.col("e").cast("long").alias("end"), none("string").alias("type"), none("boolean").alias("fits"), "range_id")
+
+    def run(batches):
+        doc, stack = None, []
+        for batch in batches:
+            take, found, types = [], [], []
+            for k, (d, kind, node, last, end, type_, fits) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "kind", "node_id", "last_desc", "end", "type", "fits")))):
+                if d != doc:
+                    doc, stack = d, []
+                if kind == 0:
+                    while stack and stack[-1][0] < node:
+                        stack.pop()
+                    stack.append((last, end, node, type_, fits))
+                    continue
+                hit = next((x for x in reversed(stack) if x[1] >= end and (x[4] or not named)), None)
+                if hit:
+                    take.append(k)
+                    found.append(hit[2])
+                    types.append(hit[3])
+            rows = batch.take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("range_id"), pa.array(found, pa.int32()), pa.array(types, pa.string())], names=["doc_id", "range_id", "node_id", "type"])
+
+    both = open_.unionByName(asked).repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "at", "kind", "node_id")
+    return both.mapInArrow(run, f"doc_id bigint, range_id {rank}, node_id int, type string")
 
 
 def match_root(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
