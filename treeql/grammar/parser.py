@@ -7,13 +7,14 @@ take the token, the cut nodes forming an ERROR, or the token goes into an ERROR.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import regex
 
-from ..tree import Node, Tree
+from ..tree import Node, Tree, uncollected
 from .compiler import END, Language
 
 MAX_STACKS = 8
@@ -70,9 +71,15 @@ class Parser:
         # for states with one action on a token: a shift's state, or a reduction's number as -1, -2 ..
         one = lambda a: a[1] if a[0] == "shift" else -1 - a[1]
         self._single = [{name: one(acts[0]) for name, acts in table.items() if len(acts) == 1 and acts[0][0] != "accept"} for table in language.actions]
-        # of each production: left side, length, dynamic precedence, whether it is hidden, whether a part is hidden, whether a part has a name of its own or a field
-        self._shapes = [(p.left, len(p.right), p.dynamic, language.hidden(p.left), any(language.hidden(x.name) for x in p.right), any(x.alias or x.field for x in p.right)) for p in language.productions]
+        # of each production: left side, length, dynamic precedence, whether it is hidden, whether a part is hidden, whether a part has a name of its own or a field,
+        # and whether its one part may stand for it: a hidden name that is never renamed leaves nothing else behind
+        renamed = {x.name for p in language.productions for x in p.right if x.alias} | {language.start}
+        self._shapes = []
+        for p in language.productions:
+            own = any(x.alias or x.field for x in p.right)
+            self._shapes.append((p.left, len(p.right), p.dynamic, language.hidden(p.left), any(language.hidden(x.name) for x in p.right), own, language.hidden(p.left) and len(p.right) == 1 and not own and p.left not in renamed))
         self._lexed: dict[int, tuple] = {}
+        self._first: dict[str, list[int]] = {}
 
     def _ordered(self, names: set[str]) -> list:
         return sorted((self.language.terminals[n] for n in names if n in self.language.terminals), key=lambda t: (-t.level, not t.is_string, t.order))
@@ -184,14 +191,20 @@ class Parser:
                 break
         else:
             return nodes
-        out, stack = [], [(n, None) for n in reversed(nodes)]
+        out, stack = [], list(reversed(nodes))
+        fields: dict[int, str] = {}  # of nodes below hidden ones with a field
         while stack:
-            n, field_ = stack.pop()
-            if n.type.startswith("_"):
-                stack.extend((c, n.field or field_) for c in reversed(n.children))
-            elif field_ and not n.field and not n.extra:
+            n = stack.pop()
+            own = fields.pop(id(n), None) if fields else None
+            if n.type[:1] == "_":
+                field_ = n.field or own
+                if field_:
+                    for c in n.children:
+                        fields[id(c)] = field_
+                stack += reversed(n.children)
+            elif own and not n.field and not n.extra:
                 n = self._copy(n, n.type, n.named)
-                n.field = field_
+                n.field = own
                 out.append(n)
             else:
                 out.append(n)
@@ -270,14 +283,22 @@ class Parser:
         at = place = s.at  # `at`: where the last token ended, `place`: behind blanks
         while place < size:
             key = state << 8 | source[place]
-            usable, extras, blank = lexed.get(key) or self._lex_entry(key)
-            best, end = None, place
-            for t in usable:
-                if t[4] and place != at:
-                    continue
-                m = t[0](source, place)
-                if m and (m.end() > end or (best is not None and m.end() == end and t[3] > best[3])):
-                    best, end = t, m.end()
+            usable, extras, blank, sole, skip = lexed.get(key) or self._lex_entry(key)
+            if skip is not None and (m := skip(source, place)) and m.end() > place:
+                place = m.end()
+                continue
+            if sole is not None:
+                best, end = sole, place + 1
+            else:
+                best, end = None, place
+                for t in usable:
+                    if t[4] and place != at:
+                        continue
+                    m = t[0](source, place)
+                    if m:
+                        to = m.end()
+                        if to > end or (best is not None and to == end and t[3] > best[3]):
+                            best, end = t, to
             if extras:
                 extra, extra_end = self._longest(extras, source, place)
                 if extra and (not best or extra_end > end):
@@ -291,7 +312,16 @@ class Parser:
             to = single[now].get(name)
             while to is not None and to < 0:
                 number = -1 - to
-                left, need, dynamic, is_hidden, takes_hidden, named_parts = shapes[number]
+                left, need, dynamic, is_hidden, takes_hidden, named_parts, through = shapes[number]
+                if through and under is not None and not under[1].extra and under[1].field is None:
+                    before, node, popped = under
+                    goto = gotos[before].get(left)
+                    if goto is None:
+                        to = None
+                        break
+                    now, sum_, under = goto, sum_ + dynamic, (before, node, popped)
+                    to = single[now].get(name)
+                    continue
                 taken, popped = [], under
                 while need and popped is not None:
                     now, node, popped = popped
@@ -318,9 +348,23 @@ class Parser:
 
     def _lex_entry(self, key: int) -> tuple:
         usable, extras = self._candidates(key >> 8, key & 255)
-        entry = self._lexed[key] = [(t.regex.match, t.name, t.named, t.level, t.immediate) for t in usable], extras, all(self.language.hidden(t.name) for t in extras)
+        found = [(t.regex.match, t.name, t.named, t.level, t.immediate) for t in usable]
+        # a byte that is a token of its own, with no other way to read it
+        sole = found[0] if len(usable) == 1 and not extras and not usable[0].immediate and usable[0].regex.pattern in (re.escape(bytes([key & 255])), bytes([key & 255])) else None
+        # a run of blanks in one step, where nothing else may start with any of them
+        skip, blank = None, all(self.language.hidden(t.name) for t in extras)
+        if len(extras) == 1 and not usable and blank and not any(self._candidates(key >> 8, b)[0] for b in self._starts(extras[0])):
+            skip = re.compile(b"(?:" + extras[0].regex.pattern + b")+").match
+        entry = self._lexed[key] = found, extras, blank, sole, skip
         return entry
 
+    def _starts(self, terminal) -> list[int]:
+        """The bytes that a terminal may start with."""
+        found = self._first.get(terminal.name)
+        if found is None:
+            found = self._first[terminal.name] = [b for b in range(256) if self._may_start(terminal, b)]
+        return found
+
     def _root(self, s: _Stack, size: int) -> Node:
         parts, below = [], s.below
         while below is not None:
@@ -365,7 +409,8 @@ class Parser:
         `ranges`: only these stretches of bytes are read, the rest counts as blank. `stop_reason` of the tree says how the parse ended: accepted,
         no_stacks_alive, iteration_limit or timeout.
         """
-        tree = self._parse(blank_outside(source, ranges) if ranges is not None else source, max_steps, seconds)
+        with uncollected():
+            tree = self._parse(blank_outside(source, ranges) if ranges is not None else source, max_steps, seconds)
         tree.source = source
         return tree
 

@@ -5,7 +5,10 @@ A document's tree is a set of rows in preorder. `last_desc` makes "below" an int
 
 from __future__ import annotations
 
+import gc
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import types as T
@@ -26,6 +29,18 @@ ARROW = pa.schema([(f.name, {"bigint": pa.int64(), "int": pa.int32(), "string":
 DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in NODES.fields)
 
 
+@contextmanager
+def uncollected():
+    """Without the cyclic collector, which would visit all nodes of a growing tree again and again; what is dropped meanwhile waits for its next run."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Node:
     """A node under construction or in use; `parent` and `index` are set by `Tree`. What most nodes have alike stands in the class."""
 
@@ -87,13 +102,30 @@ class Node:
 
 
 class Tree:
+    """A tree over its text. Numbers, parents and indexes of nodes are set when `root` or `nodes` is first asked for; `rows` does without."""
+
     def __init__(self, root: Node, source: bytes = b""):
-        self.root, self.source, self.stop_reason = root, source, "accepted"
-        self.nodes: list[Node] = []
-        root.parent = None
-        for node in root.walk():
-            node.id = len(self.nodes)
-            self.nodes.append(node)
+        self._root, self.source, self.stop_reason = root, source, "accepted"
+        self._nodes: list[Node] | None = None
+
+    @property
+    def root(self) -> Node:
+        if self._nodes is None:
+            self._number()
+        return self._root
+
+    @property
+    def nodes(self) -> list[Node]:
+        if self._nodes is None:
+            self._number()
+        return self._nodes
+
+    def _number(self) -> None:
+        self._nodes = found = []
+        self._root.parent = None
+        for node in self._root.walk():
+            node.id = len(found)
+            found.append(node)
             named = 0
             for i, c in enumerate(node.children):
                 c.parent, c.index = node, i
@@ -116,23 +148,53 @@ class Tree:
 
     def rows(self, doc_id: int) -> list[tuple]:
         """Rows of `NODES`."""
-        from bisect import bisect_right
-
-        lines = self.line_starts()
-        last, errors, depth = [n.id for n in self.nodes], [n.error or n.missing for n in self.nodes], [0] * len(self.nodes)
-        for n in self.nodes[1:]:
-            depth[n.id] = depth[n.parent.id] + 1
-        for n in reversed(self.nodes[1:]):
-            last[n.parent.id] = max(last[n.parent.id], last[n.id])
-            errors[n.parent.id] |= errors[n.id]
+        with uncollected():
+            return self._rows(doc_id)
+
+    def _rows(self, doc_id: int) -> list[tuple]:
+        lines, source = self.line_starts(), self.source
+        one_line, size = len(lines) == 1, len(self.source)
+        # the nodes in preorder, each with its parent's number, its places among all and among named siblings, and its depth
+        order, stack = [], [(self._root, None, 0, None, 0)]
+        counts = []
+        while stack:
+            at = stack.pop()
+            node, depth, number = at[0], at[4] + 1, len(order)
+            order.append(at)
+            named = 0
+            if node.children:
+                below = []
+                for i, c in enumerate(node.children):
+                    if c.named:
+                        below.append((c, number, i, named, depth))
+                        named += 1
+                    else:
+                        below.append((c, number, i, None, depth))
+                below.reverse()
+                stack += below
+            counts.append(named)
+        last, errors = list(range(len(order))), [n[0].error or n[0].missing for n in order]
+        for k in range(len(order) - 1, 0, -1):
+            up = order[k][1]
+            if last[k] > last[up]:
+                last[up] = last[k]
+            if errors[k]:
+                errors[up] = True
         out = []
-        for n in self.nodes:
-            r0, r1 = bisect_right(lines, n.start) - 1, bisect_right(lines, n.end) - 1
-            out.append((
-                doc_id, n.id, n.parent.id if n.parent else None, n.index if n.parent else 0, n.named_index if n.parent and n.named else None, depth[n.id],
-                last[n.id], n.type, n.named, n.extra, n.missing, n.error, errors[n.id], n.field, n.start, n.end, r0, n.start - lines[r0], r1, n.end - lines[r1],
-                len(n.children), sum(c.named for c in n.children), None if n.children else self.text(n),
-            ))
+        for k, (n, up, index, named_index, depth) in enumerate(order):
+            start, end = n.start, n.end
+            if one_line:
+                r0 = r1 = c0 = c1 = 0
+            else:
+                r0, r1 = bisect_right(lines, start) - 1, bisect_right(lines, end) - 1
+                c0, c1 = lines[r0], lines[r1]
+            if n.children:
+                text = None
+            elif n.text_ is not None:
+                text = n.text_
+            else:
+                text = source[start:end].decode("utf-8", "replace") if start <= end <= size else ""
+            out.append((doc_id, k, up, index, named_index, depth, last[k], n.type, n.named, n.extra, n.missing, n.error, errors[k], n.field, start, end, r0, start - c0, r1, end - c1, len(n.children), counts[k], text))
         return out
 
 
