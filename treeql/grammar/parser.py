@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import regex
@@ -18,6 +18,10 @@ from ..tree import Node, Tree, uncollected
 from .compiler import END, Language
 
 MAX_STACKS = 8
+#: A parse that lost stacks to the cap, or came to its limit of nodes, is tried again with so many times the room, for texts of up to so many bytes.
+WIDER, RETRY_BYTES = 8, 1 << 20
+#: (text) -> (place -> next token there or behind it as (name, start, end), or None at the end)
+TokenSource = Callable[[bytes], Callable[[int], tuple[str, int, int] | None]]
 
 
 @dataclass
@@ -80,6 +84,9 @@ class Parser:
             self._shapes.append((p.left, len(p.right), p.dynamic, language.hidden(p.left), any(language.hidden(x.name) for x in p.right), own, language.hidden(p.left) and len(p.right) == 1 and not own and p.left not in renamed))
         self._lexed: dict[int, tuple] = {}
         self._first: dict[str, list[int]] = {}
+        # of the parse at hand: where its tokens come from, if not from the grammar, whether the cap cut stacks off, and how many nodes it made
+        self._next: Callable | None = None
+        self._culled, self._made = False, 0
 
     def _ordered(self, names: set[str]) -> list:
         return sorted((self.language.terminals[n] for n in names if n in self.language.terminals), key=lambda t: (-t.level, not t.is_string, t.order))
@@ -115,6 +122,9 @@ class Parser:
 
         A language's scanner is asked first for the external tokens that the state can take.
         """
+        if self._next is not None:
+            yield from self._given(state, source, at, memo)
+            return
         moved, size = False, len(source)
         externals = [n for n in self.language.externals if n in self.language.actions[state]]
         while True:
@@ -148,9 +158,29 @@ class Parser:
                 yield Token("", at, end, False, memo)
             return
 
+    def _given(self, state: int, source: bytes, at: int, memo: bytes) -> Iterator[Token]:
+        """As `lex`, with the tokens of a token source; one of a name that the grammar doesn't know is an error."""
+        extras, actions = self.language.extras, self.language.actions[state]
+        while True:
+            found = self._next(at)
+            if found is None:
+                yield Token(END, len(source), len(source), False, memo)
+                return
+            name, start, end = found
+            if start < at or end <= start or end > len(source):
+                raise ValueError(f"token {name} at {start} to {end}, behind {at} of {len(source)} bytes")
+            terminal = self.language.terminals.get(name)
+            if terminal is None or name not in extras or name in actions:
+                yield Token(name if terminal else "", start, end, bool(terminal and terminal.named), memo)
+                return
+            if not self.language.hidden(name):
+                yield Token(name, start, end, True, memo)
+            at = end
+
     # stacks
 
     def _reduce(self, stack: _Stack, number: int) -> _Stack | None:
+        self._made += 1
         p = self.language.productions[number]
         taken, below, state = [], stack.below, stack.state
         need = len(p.right)
@@ -273,15 +303,16 @@ class Parser:
                 return [], self._root(r, len(source)), token, s
         return [self._shift(r, token) for r in ready if any(a[0] == "shift" for a in self._actions(r, token.name))], None, token, s
 
-    def _straight(self, s: _Stack, source: bytes) -> _Stack:
+    def _straight(self, s: _Stack, source: bytes, limit: int) -> _Stack:
         """Follow a lone stack as far as every token has one action: the greater part of most texts. Extras that make nodes, external tokens, conflicts, errors and
         the end of the text are left to `_step`."""
-        if self.language.externals:
+        if self.language.externals or self._next is not None:
             return s
+        budget = limit - self._made
         single, shapes, gotos, productions, lexed = self._single, self._shapes, self.language.gotos, self.language.productions, self._lexed
         state, below, score, size = s.state, s.below, s.score, len(source)
         at = place = s.at  # `at`: where the last token ended, `place`: behind blanks
-        while place < size:
+        while place < size and budget > 0:
             key = state << 8 | source[place]
             usable, extras, blank, sole, skip = lexed.get(key) or self._lex_entry(key)
             if skip is not None and (m := skip(source, place)) and m.end() > place:
@@ -310,7 +341,9 @@ class Parser:
                 break
             name, now, under, sum_ = best[1], state, below, score
             to = single[now].get(name)
+            budget -= 1
             while to is not None and to < 0:
+                budget -= 1
                 number = -1 - to
                 left, need, dynamic, is_hidden, takes_hidden, named_parts, through = shapes[number]
                 if through and under is not None and not under[1].extra and under[1].field is None:
@@ -344,6 +377,7 @@ class Parser:
                 break
             below, state, score, at = (now, Node(name, best[2], place, end), under), to, sum_, end
             place = end
+        self._made = limit - budget
         return _Stack(at, state, below, score, s.errors, s.memo)
 
     def _lex_entry(self, key: int) -> tuple:
@@ -403,32 +437,70 @@ class Parser:
             return self._push_extra(_Stack(s.at, s.below[0], s.below[2], s.score, s.errors - 1, s.memo), grown)
         return self._push_extra(s, Node("ERROR", True, token.start, token.end, leaf, error=True))
 
-    def parse(self, source: bytes, max_steps: int | None = None, ranges: list[tuple[int, int]] | None = None, seconds: float | None = None) -> Tree:
+    def parse(
+        self, source: bytes, max_steps: int | None = None, ranges: list[tuple[int, int]] | None = None, seconds: float | None = None, *,
+        tokens: TokenSource | None = None, cancelled: Callable[[], bool] | None = None, max_nodes: int | None = None, max_depth: int | None = None, log: Callable[[str, str], None] | None = None,
+    ) -> Tree:
         """The tree of a text; one without any tree has an ERROR over all of it.
 
-        `ranges`: only these stretches of bytes are read, the rest counts as blank. `stop_reason` of the tree says how the parse ended: accepted,
-        no_stacks_alive, iteration_limit or timeout.
+        `ranges`: only these stretches of bytes are read, the rest counts as blank. `tokens`: where tokens come from instead of the grammar. `max_nodes`: nodes that may be made,
+        by default 300,000 or 52 for each byte; `max_depth`: entries that a stack may have. `cancelled` is asked now and then, `log` is told (kind, message) of each token, recovery and
+        second parse. `stop_reason` of the tree says how the parse ended: accepted, no_stacks_alive, iteration_limit, node_limit, stack_depth_limit, timeout or cancelled.
+
+        A parse that ends without a tree or with errors after stacks had to be given up, or that comes to the default limit of nodes, is made again with more room; the better of the
+        two trees stays (`preferred`).
         """
-        with uncollected():
-            tree = self._parse(blank_outside(source, ranges) if ranges is not None else source, max_steps, seconds)
+        text = blank_outside(source, ranges) if ranges is not None else source
+        nodes = max_nodes or max(300_000, 52 * len(source))
+        self._next = tokens(text) if tokens else None
+        try:
+            with uncollected():
+                tree = self._parse(text, max_steps, seconds, nodes, max_depth, cancelled, log)
+                short = tree.stop_reason == "node_limit" and max_nodes is None
+                lost = self._culled and (tree.stop_reason == "no_stacks_alive" or (tree.stop_reason == "accepted" and tree.has_error))
+                if (short or lost) and len(source) <= RETRY_BYTES:
+                    if log:
+                        log("parse", f"again after {tree.stop_reason}")
+                    narrow, self.max_stacks = self.max_stacks, self.max_stacks * WIDER
+                    try:
+                        again = self._parse(text, max_steps, seconds, nodes * WIDER, max_depth, cancelled, log)
+                    finally:
+                        self.max_stacks = narrow
+                    tree = again if preferred(again, tree) else tree
+        finally:
+            self._next = None
         tree.source = source
         return tree
 
-    def _parse(self, source: bytes, max_steps: int | None, seconds: float | None) -> Tree:
+    def _parse(self, source: bytes, max_steps: int | None, seconds: float | None, max_nodes: int, max_depth: int | None, cancelled, log) -> Tree:
         stacks = [_Stack(0, 0)]
         steps, limit = 0, max_steps or max(10_000, 30 * len(source))
-        until, reason = time.monotonic() + seconds if seconds is not None else None, "no_stacks_alive"
+        until, reason = time.monotonic() + seconds if seconds is not None else None, ""
+        self._culled, self._made = False, 0
+        stepwise = until is not None or cancelled is not None or max_depth is not None or log is not None
         while stacks:
-            if steps >= limit or (until is not None and steps % 64 == 0 and time.monotonic() > until):
-                reason = "iteration_limit" if steps >= limit else "timeout"
+            if steps >= limit:
+                reason = "iteration_limit"
+            elif self._made >= max_nodes:
+                reason = "node_limit"
+            elif until is not None and steps % 64 == 0 and time.monotonic() > until:
+                reason = "timeout"
+            elif cancelled is not None and steps % 64 == 0 and cancelled():
+                reason = "cancelled"
+            elif max_depth is not None and all(self._deeper(s, max_depth) for s in stacks):
+                reason = "stack_depth_limit"
+            if reason:
                 s = stacks[0]
                 break
             steps += 1
             k = min(range(len(stacks)), key=lambda i: stacks[i].at)
             s = stacks.pop(k)
-            if not stacks and until is None:
-                s = self._straight(s, source)
+            if not stacks and not stepwise:
+                s = self._straight(s, source, max_nodes)
             onward, root, token, s = self._step(s, source)
+            self._made += len(onward)
+            if log:
+                log("lex", f"{token.name or 'unknown'} {token.start} {token.end}")
             if root is not None:
                 return Tree(root, source)
             if len(onward) == 1 and not stacks:
@@ -436,6 +508,8 @@ class Parser:
             elif onward:
                 stacks = self._merged(stacks + onward)
             elif not stacks:
+                if log:
+                    log("parse", f"recover at {token.start}")
                 if token.name == END:
                     found = self._missing_end(s)
                     if found is None:
@@ -451,9 +525,16 @@ class Parser:
             below = below[2]
         inside = self.visible(parts[::-1])
         tree = Tree(Node("ERROR", True, 0, len(source), inside, error=True), source)
-        tree.stop_reason = reason
+        tree.stop_reason = reason or "no_stacks_alive"
         return tree
 
+    @staticmethod
+    def _deeper(s: _Stack, n: int) -> bool:
+        below = s.below
+        while below is not None and n > 0:
+            below, n = below[2], n - 1
+        return below is not None
+
     def _missing_end(self, s: _Stack) -> _Stack | None:
         """At the end of a text: a stack with one more token taken for granted, if that leads on."""
         if s.errors > 50:
@@ -482,4 +563,19 @@ class Parser:
             old = best.get(key)
             if old is None or (s.errors, -s.score) < (old.errors, -old.score):
                 best[key] = s
-        return sorted(best.values(), key=lambda s: (s.errors, -s.score))[: self.max_stacks]
+        found = sorted(best.values(), key=lambda s: (s.errors, -s.score))
+        self._culled |= len(found) > self.max_stacks
+        return found[: self.max_stacks]
+
+
+def preferred(new: Tree, old: Tree) -> bool:
+    """Whether a second tree is better: whole and without errors, else further to the end, not stopped by a limit, without errors, then of fewer nodes below the root, then of fewer nodes."""
+
+    def rank(t: Tree) -> tuple:
+        bad, root = t.has_error, t.root
+        whole = t.stop_reason == "accepted"
+        end = max((n.end for n in root.children), default=0) if root.error else root.end
+        return whole and not bad, end, whole, not bad, t.stop_reason == "no_stacks_alive", -len(root.children), -len(t.nodes)
+
+    clean = rank(old)[0]
+    return not clean and rank(new) > rank(old)

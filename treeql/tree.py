@@ -120,6 +120,10 @@ class Tree:
             self._number()
         return self._nodes
 
+    @property
+    def has_error(self) -> bool:
+        return self._root.has_error
+
     def _number(self) -> None:
         self._nodes = found = []
         self._root.parent = None
