@@ -130,3 +130,84 @@ def test_vm_scanner():
     g = dsl.Grammar("vm", externals=["name"], scanner=scanner)
     g.define("s", dsl.repeat(dsl.sym("name")))
     assert Parser(compile_grammar(g)).parse(b"ab c1").root.sexpr() == "(s (name) (name))"
+
+
+def test_token_sources():
+    from treeql.grammar.sources import Renamed, by_order, listed_tokens, pattern_tokens
+
+    calc = Parser(language("calc"))
+    words = pattern_tokens({"number": "[0-9]+", "+": "plus", "*": "times"})
+    assert calc.parse(b"1 plus 2 times 3", tokens=words).root.sexpr() == calc.parse(b"1 + 2 * 3").root.sexpr()
+    assert calc.parse(b"1 plus ? 2", tokens=words).has_error and not calc.parse(b"1+2").has_error
+    listed = listed_tokens([("number", 0, 1), ("+", 1, 2), ("number", 2, 3)])
+    assert calc.parse(b"1p2", tokens=listed).root.sexpr() == calc.parse(b"1+2").root.sexpr()
+    with pytest.raises(ValueError):
+        listed_tokens([("number", 0, 2), ("+", 1, 2)])
+    with pytest.raises(ValueError):
+        calc.parse(b"1", tokens=lambda text: lambda at: ("number", 0, 9))
+    outline = language("outline")
+    other = by_order(outline, ["nl", "in", "out"])
+    assert other.scan(b"\nx", 0, ["nl"], b"") == ("nl", 1, b"") and isinstance(other, Renamed)
+    with pytest.raises(ValueError):
+        by_order(outline, ["nl"])
+
+
+def test_limits_cancellation_and_log():
+    p = Parser(language("json"))
+    deep = b"[" * 50 + b"]" * 50
+    assert p.parse(deep, max_depth=20).stop_reason == "stack_depth_limit" and p.parse(deep, max_depth=60).stop_reason == "accepted"
+    assert p.parse(b"[" + b"1," * 500 + b"1]", max_nodes=100).stop_reason == "node_limit"
+    assert p.parse(deep, cancelled=lambda: True).stop_reason == "cancelled"
+    said = []
+    p.parse(b"[1", log=lambda kind, text: said.append((kind, text)))
+    assert ("lex", "number 1 2") in said and any(k == "parse" for k, _ in said)
+
+
+def test_second_parse_with_more_room():
+    # which of the names is meant shows only at the end: with one stack the parse may follow the wrong one
+    g = dsl.Grammar("late")
+    g.define("s", dsl.choice(*[dsl.seq(dsl.sym(f"n{k}"), dsl.repeat("x"), end) for k, end in enumerate("abcdef")]))
+    for k in range(6):
+        g.define(f"n{k}", dsl.seq("n", "m"))
+    g.conflicts = [tuple(f"n{k}" for k in range(6))]
+    wide, narrow = Parser(compile_grammar(g), max_stacks=64), Parser(compile_grammar(g), max_stacks=1)
+    for end in b"abcdef":
+        source = b"n m x x " + bytes([end])
+        assert not wide.parse(source).has_error
+        assert narrow.parse(source).root.sexpr() == wide.parse(source).root.sexpr()
+
+
+def test_saved_languages():
+    from treeql.grammar.artifact import dump_language, load_language
+    from treeql.grammar.samples import Indentation
+
+    for name, source in (("json", b'{"a": [1, tru, "\\u00e9"]}'), ("lox", b"class A < B { f(x) { return x.y(1) } }"), ("calc", b"1 + * 2")):
+        loaded = load_language(dump_language(language(name)))
+        assert Parser(loaded).parse(source).rows(1) == Parser(language(name)).parse(source).rows(1)
+        assert dump_language(loaded) == dump_language(language(name))
+    with pytest.raises(ValueError):
+        load_language(dump_language(language("outline")))
+    outline = load_language(dump_language(language("outline")), Indentation())
+    assert Parser(outline).parse(b"a\n  b\n").root.sexpr() == Parser(language("outline")).parse(b"a\n  b\n").root.sexpr()
+
+
+def test_nested_regions():
+    from treeql.operators.embedded import detect, regions
+    from treeql.query.compiler import compile_query
+
+    inside = {"json": compile_query("((pair key: (string (string_content) @injection.language) value: (string (string_content) @injection.content)))")}
+    source = b'{"calc": "1+2", "none": "x", "json": "[7]"}'
+    found = regions(source, "json", inside)
+    assert [(r.language, source[r.start : r.end], r.level, r.tree is not None) for r in found[1:]] == [("calc", b"1+2", 1, True), ("none", b"x", 1, False), ("json", b"[7]", 1, True)]
+    assert len(regions(source, "json", inside, max_depth=0)) == 1 and list(detect(found[3].tree, inside["json"])) == []
+    # a language that holds itself ends at the greatest depth
+    whole = {"json": compile_query('((document) @injection.content (#set! injection.language "json"))')}
+    assert [r.level for r in regions(b"1", "json", whole)] == list(range(11))
+
+
+def test_utf16_query_range():
+    from treeql.query.execute import in_utf16_range
+
+    source = "é😀x".encode()
+    assert in_utf16_range(source, 1, 3) == (2, 6) and in_utf16_range(source, 3, 4) == (6, 7) and in_utf16_range(source, 0, 0) == (0, 0)
+    assert in_utf16_range(source, 2, 3) is None and in_utf16_range(source, 0, 9) is None

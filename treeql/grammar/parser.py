@@ -1,6 +1,6 @@
 """A table-driven parser that forks on ambiguity and recovers from errors.
 
-A stack entry is (state, node, entry below). Stacks advance token by token, the one furthest behind first; stacks that reach the same state at the same place
+A stack entry is (state, node, entry below). Stacks advance token by token, the one furthest behind first; stacks with the same states at the same place
 are merged, the better one staying: fewer errors, then the higher dynamic precedence. Where no stack can go on, a token may be taken for granted (MISSING), the stack may be cut back to a state that can
 take the token, the cut nodes forming an ERROR, or the token goes into an ERROR.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import regex
 
@@ -33,14 +33,14 @@ class Token:
     memo: bytes = b""
 
 
-@dataclass(order=True)
+@dataclass(eq=False)
 class _Stack:
     at: int
-    state: int = field(compare=False)
-    below: tuple | None = field(compare=False, default=None)  # (state before, node, below)
-    score: int = field(compare=False, default=0)
-    errors: int = field(compare=False, default=0)
-    memo: bytes = field(compare=False, default=b"")  # the scanner's state
+    state: int
+    below: tuple | None = None  # (state before, node, below)
+    score: int = 0
+    errors: int = 0
+    memo: bytes = b""  # the scanner's state
 
 
 def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -557,16 +557,29 @@ class Parser:
         return None
 
     def _merged(self, stacks: list[_Stack]) -> list[_Stack]:
-        best: dict[tuple[int, int, bytes], _Stack] = {}
+        best: dict[tuple[int, int, bytes], list[_Stack]] = {}
         for s in stacks:
-            key = (s.state, s.at, s.memo)
-            old = best.get(key)
-            if old is None or (s.errors, -s.score) < (old.errors, -old.score):
-                best[key] = s
-        found = sorted(best.values(), key=lambda s: (s.errors, -s.score))
+            alike = best.setdefault((s.state, s.at, s.memo), [])
+            for k, old in enumerate(alike):
+                if self._same_states(s.below, old.below):
+                    if (s.errors, -s.score) < (old.errors, -old.score):
+                        alike[k] = s
+                    break
+            else:
+                alike.append(s)
+        found = sorted((s for alike in best.values() for s in alike), key=lambda s: (s.errors, -s.score))
         self._culled |= len(found) > self.max_stacks
         return found[: self.max_stacks]
 
+    @staticmethod
+    def _same_states(a: tuple | None, b: tuple | None) -> bool:
+        """Whether two stacks stand on the same states all the way down, so that whatever follows can do the same with either."""
+        while a is not b:
+            if a is None or b is None or a[0] != b[0]:
+                return False
+            a, b = a[2], b[2]
+        return True
+
 
 def preferred(new: Tree, old: Tree) -> bool:
     """Whether a second tree is better: whole and without errors, else further to the end, not stopped by a limit, without errors, then of fewer nodes below the root, then of fewer nodes."""

@@ -31,20 +31,59 @@ def tags(matches: DataFrame) -> DataFrame:
     return rows.select("doc_id", "match_seq", F.col("k.name").alias("kind"), named["text"].alias("name"), F.col("k.start_byte").alias("start_byte"), F.col("k.end_byte").alias("end_byte"), named["start_byte"].alias("name_start"), named["end_byte"].alias("name_end"))
 
 
-#: Node types that a language may have, and the tag pattern for each.
-TAG_TEMPLATES = (
-    ("function_declaration", "definition.function"), ("method_declaration", "definition.method"), ("class_declaration", "definition.class"),
-    ("interface_declaration", "definition.interface"), ("variable_declaration", "definition.variable"), ("function_definition", "definition.function"), ("class_definition", "definition.class"),
-)
+# Node types that grammars commonly have, and the tag of each.
+TAG_TEMPLATES = """
+(function_declaration (identifier) @name) @definition.function
+(function_declaration (type_identifier) @name) @definition.function
+(function_definition (identifier) @name) @definition.function
+(function_definition (field_identifier) @name) @definition.function
+(function_definition (function_declarator (identifier) @name)) @definition.function
+(function_definition (function_declarator (field_identifier) @name)) @definition.function
+(method_declaration (identifier) @name) @definition.method
+(method_declaration (field_identifier) @name) @definition.method
+(method_definition (property_identifier) @name) @definition.method
+(method_definition (identifier) @name) @definition.method
+(class_declaration (identifier) @name) @definition.class
+(class_declaration (type_identifier) @name) @definition.class
+(class_definition (identifier) @name) @definition.class
+(interface_declaration (identifier) @name) @definition.interface
+(interface_declaration (type_identifier) @name) @definition.interface
+(enum_declaration (identifier) @name) @definition.type
+(enum_declaration (type_identifier) @name) @definition.type
+(constructor_declaration (identifier) @name) @definition.constructor
+(type_definition (type_identifier) @name) @definition.type
+(type_definition (identifier) @name) @definition.type
+(type_declaration (type_spec (type_identifier) @name)) @definition.type
+(type_declaration (type_alias (type_identifier) @name)) @definition.type
+(function_item (identifier) @name) @definition.function
+(function_signature_item (identifier) @name) @definition.function
+(struct_item (type_identifier) @name) @definition.type
+(enum_item (type_identifier) @name) @definition.type
+(trait_item (type_identifier) @name) @definition.type
+(class_specifier (type_identifier) @name) @definition.class
+(struct_specifier (type_identifier) @name) @definition.type
+(const_spec (identifier) @name) @definition.constant
+(var_spec (identifier) @name) @definition.variable
+(short_var_declaration (identifier) @name) @definition.variable
+(variable_declaration name: (identifier) @name) @definition.variable
+(call_expression (identifier) @name) @reference.call
+(call_expression (field_identifier) @name) @reference.call
+(call_expression (property_identifier) @name) @reference.call
+(call_expression (member_expression (property_identifier) @name)) @reference.call
+(call_expression (selector_expression (field_identifier) @name)) @reference.call
+(call_expression (scoped_identifier (identifier) @name)) @reference.call
+(call (identifier) @name) @reference.call
+(call (attribute (identifier) @name)) @reference.call
+(method_invocation (identifier) @name) @reference.call
+(macro_invocation (identifier) @name) @reference.call
+"""
 
 
 def infer_tags_query(language: Language) -> str:
-    """A tags query of the templates whose node types a language has."""
-    have = {n for n, named in language.types() if named}
-    out = [f"({t} name: (identifier) @name) @{k}" for t, k in TAG_TEMPLATES if t in have]
-    if "call_expression" in have:
-        out.append("(call_expression function: (identifier) @name) @reference.call")
-    return "\n".join(out)
+    """A tags query of the templates whose node types and fields a language has."""
+    have, fields = {n for n, named in language.types() if named}, language.fields()
+    lines = TAG_TEMPLATES.strip().split("\n")
+    return "\n".join(x for x in lines if set(re.findall(r"\((\w+)", x)) <= have and set(re.findall(r"(\w+):", x)) <= fields)
 
 
 def infer_highlight_query(g: Grammar) -> str:

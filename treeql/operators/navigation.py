@@ -199,3 +199,11 @@ def child_by_type(nodes: DataFrame, type_: str) -> DataFrame:
     best = F.min_by(F.struct("node_id", "start_row", "start_col"), "child_index")
     found = nodes.where((F.col("type") == type_) & F.col("parent_id").isNotNull()).groupBy("doc_id", "parent_id").agg(best.alias("n"))
     return found.select("doc_id", "parent_id", "n.node_id", (F.col("n.start_row") + 1).alias("line"), (F.col("n.start_col") + 1).alias("column"))
+
+
+def smallest_containing_utf16(nodes: DataFrame, ranges: DataFrame, texts: DataFrame, named: bool = False) -> DataFrame:
+    """As `smallest_containing`, of ranges (doc_id, range_id, start_unit, end_unit) in UTF-16 units of the texts (doc_id, text); a range that cuts a character in two has no node."""
+    from .spans import from_utf16_ranges
+
+    moved = from_utf16_ranges(ranges, texts)
+    return smallest_containing(nodes, moved.select("doc_id", "range_id", F.col("start_byte").alias("s"), F.col("end_byte").alias("e")), named)

@@ -8,9 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..grammar.artifact import load_language
+from ..grammar.parser import Parser, TokenSource
 from ..grammar.samples import parser
+from ..grammar.sources import TOKEN_SOURCES, listed_tokens
 from ..partitions import Once, spread
 from ..tree import ARROW, DDL, Tree, record_batch
+from .spans import byte_for_utf16
 
 
 def parse(docs: DataFrame, lang: str | Callable[[bytes], Tree], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,15 +61,55 @@ def parse_ranges(docs: DataFrame, lang: str, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(ranges_col).alias("ranges")).mapInArrow(run, DDL)
 
 
-def parse_runtime(docs: DataFrame, lang: str, id_col: str = "doc_id", text_col: str = "text", seconds: float | None = None) -> DataFrame:
-    """(doc_id, stop_reason, n_nodes, n_errors, n_bytes): how each parse ended."""
+def parse_tokens(docs: DataFrame, lang: str, tokens: str | TokenSource, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As `parse`, with the tokens of a source, or of one registered under a name, in place of the grammar's own."""
+    source = TOKEN_SOURCES[tokens] if isinstance(tokens, str) else tokens
+    return parse(docs, lambda text: parser(lang).parse(text, tokens=source), id_col, text_col)
+
+
+def parse_listed(docs: DataFrame, lang: str, id_col: str = "doc_id", text_col: str = "text", tokens_col: str = "tokens") -> DataFrame:
+    """As `parse`, with each text's tokens in a column: array of (name, s, e) in bytes; null counts as no tokens."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, text, tokens in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if text:
+                    rows.extend(parser(lang).parse(text.encode(), tokens=listed_tokens((t["name"], t["s"], t["e"]) for t in tokens or [])).rows(doc))
+            if rows:
+                yield record_batch(rows, ARROW)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(tokens_col).alias("tokens")).mapInArrow(run, DDL)
+
+
+def parse_with(docs: DataFrame, language: bytes, scanner=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As `parse`, in a language that `dump_language` saved: its bytes travel with the task, and each task loads the tables once."""
+    made: list[Parser] = []
+
+    def read(text: bytes):
+        if not made:
+            made.append(Parser(load_language(language, scanner)))
+        return made[0].parse(text)
+
+    return parse(docs, read, id_col, text_col)
+
+
+def parse_ranges_utf16(docs: DataFrame, lang: str, id_col: str = "doc_id", text_col: str = "text", ranges_col: str = "ranges") -> DataFrame:
+    """As `parse_ranges`, with ranges in UTF-16 units; one that cuts a character in two is left out."""
+    at = lambda r, edge: byte_for_utf16(F.col(text_col), r[edge])
+    moved = F.transform(ranges_col, lambda r: F.struct(at(r, "s").cast("int").alias("s"), at(r, "e").cast("int").alias("e")))
+    return parse_ranges(docs.withColumn("__ranges", F.filter(moved, lambda r: r["s"].isNotNull() & r["e"].isNotNull())), lang, id_col, text_col, "__ranges")
+
+
+def parse_runtime(docs: DataFrame, lang: str, id_col: str = "doc_id", text_col: str = "text", seconds: float | None = None, max_nodes: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """(doc_id, stop_reason, n_nodes, n_errors, n_bytes): how each parse ended, under limits if given."""
 
     def run(batches):
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 source = (text or "").encode()
-                tree = parser(lang).parse(source, seconds=seconds)
+                tree = parser(lang).parse(source, seconds=seconds, max_nodes=max_nodes, max_depth=max_depth)
                 out.append((doc, tree.stop_reason, len(tree.nodes), sum(n.error or n.missing for n in tree.nodes), len(source)))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "stop_reason", "n_nodes", "n_errors", "n_bytes"])
 

@@ -9,7 +9,8 @@ from ..operators import code, edits
 from ..operators import navigation as nav
 from ..operators import spans as sp
 from ..operators.imports import extract_imports
-from ..operators.parse import parse, parse_ranges, parse_runtime, parse_utf16, update_nodes, update_rows
+from ..operators.embedded import embedded_highlights, embedded_nodes as nested_nodes
+from ..operators.parse import parse, parse_listed, parse_ranges, parse_ranges_utf16, parse_runtime, parse_tokens, parse_utf16, parse_with, update_nodes, update_rows
 from ..query.execute import execute, query_sources, typed
 from ..sources.languages import detect_by_name, detect_by_shebang, interpreter, support
 from .catalogue import query, table
@@ -222,6 +223,92 @@ def tags_of_methods(spark, sf_dir):
     return code.tags(query_sources(docs, "lox", code.infer_tags_query(language("lox")))).select("doc_id", "kind", "name")
 
 
+# tokens from elsewhere, saved languages, limits
+
+_SUMS = "SELECT p_partkey AS doc_id, '+' AS operator, CAST(p_size AS VARCHAR) AS left_text, CAST(p_partkey % 9 AS VARCHAR) || ' ' || '* 3' AS right_text FROM part"
+
+
+def _sums(n):
+    """Each sum's operator, with the texts on its sides, of trees of `p_size + k * 3` in any spelling."""
+    leaf = n.where("text is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "type", "text"))).alias("x"))
+    return leaf.select("doc_id", F.col("x")[1]["type"].alias("operator"), F.col("x")[0]["text"].alias("left_text"), F.concat(F.col("x")[2]["text"], F.lit(" "), F.col("x")[3]["type"], F.lit(" "), F.col("x")[4]["text"]).alias("right_text"))
+
+
+@query("token_source", _SUMS, forest=False)
+def token_source(spark, sf_dir):
+    from ..grammar.sources import pattern_tokens
+
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.format_string("%d plus %d times 3", "p_size", F.col("p_partkey") % 9).alias("text"))
+    return _sums(parse_tokens(docs, "calc", pattern_tokens({"number": "[0-9]+", "+": "plus", "*": "times"})))
+
+
+@query("token_lists", _SUMS, forest=False)
+def token_lists(spark, sf_dir):
+    size = F.length(F.col("p_size").cast("string"))
+    tokens = F.array(*[F.struct(F.lit(n).alias("name"), (size + a).cast("int").alias("s"), (size + b).cast("int").alias("e")) for n, a, b in (("+", 0, 1), ("number", 1, 2), ("*", 2, 3), ("number", 3, 4))])
+    tokens = F.concat(F.array(F.struct(F.lit("number").alias("name"), F.lit(0).alias("s"), size.cast("int").alias("e"))), tokens)
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.format_string("%da%dm3", "p_size", F.col("p_partkey") % 9).alias("text"), tokens.alias("tokens"))
+    return _sums(parse_listed(docs, "calc"))
+
+
+@query("saved_language", _SUMS, forest=False)
+def saved_language(spark, sf_dir):
+    from ..grammar.artifact import dump_language
+    from ..grammar.samples import language
+
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.format_string("%d + %d * 3", "p_size", F.col("p_partkey") % 9).alias("text"))
+    return _sums(parse_with(docs, dump_language(language("calc"))))
+
+
+@query("parse_limits", "SELECT p_partkey AS doc_id, CASE WHEN p_size + 1 > 20 THEN 'stack_depth_limit' ELSE 'accepted' END AS stop_reason FROM part", forest=False)
+def parse_limits(spark, sf_dir):
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.repeat(F.lit("["), F.col("p_size").cast("int")), F.repeat(F.lit("]"), F.col("p_size").cast("int"))).alias("text"))
+    return parse_runtime(docs, "json", max_depth=20).select("doc_id", "stop_reason")
+
+
+@query("parse_ranges_utf16", "SELECT p_partkey AS doc_id, CAST(strlen(p_name) + 8 AS INTEGER) AS start_byte, CAST(p_size AS VARCHAR) AS text FROM part", forest=False)
+def ranges_utf16(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    name = F.length("p_name")
+    docs = part.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("\U0001f600"), "p_name", F.lit("é \t"), "p_size", F.lit("!")).alias("text"), F.array(F.struct((name + 5).cast("int").alias("s"), (name + 5 + F.length(F.col("p_size").cast("string"))).cast("int").alias("e"))).alias("ranges"))
+    return parse_ranges_utf16(docs, "json").where("type = 'number'").select("doc_id", "start_byte", "text")
+
+
+@query("descendant_utf16", "SELECT p_partkey AS doc_id, 'string_content' AS type, '\U0001F600x' || p_brand AS text FROM part".replace("\\U0001F600", "\U0001f600"), forest=False)
+def descendant_utf16(spark, sf_dir):
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit('["é", "\U0001f600x'), "p_brand", F.lit('"]')).alias("text"))
+    ranges = docs.select("doc_id", F.lit(1).alias("range_id"), F.lit(7).alias("start_unit"), F.lit(10).alias("end_unit"))
+    nodes = parse(docs, "json")
+    found = nav.smallest_containing_utf16(nodes, ranges, docs)
+    return found.select("doc_id", "node_id").join(nodes, ["doc_id", "node_id"]).select("doc_id", "type", "text")
+
+
+# languages inside languages
+
+_INSIDE = {"html": '((script_element (raw_text) @injection.content) (#set! injection.language "json"))', "json": '((pair key: (string (string_content) @injection.language) value: (string (string_content) @injection.content)))'}
+
+
+def _pages(spark, sf_dir):
+    """Pages with JSON in a script, which holds a sum in a string."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("<p>"), "p_name", F.lit('</p>\n<script>{"calc": "'), "p_size", F.lit('+1", "no": "x"}</script>')).alias("text"))
+
+
+@query("nested_languages", """
+SELECT p_partkey AS doc_id, v.level, v.lang, v.type, CAST(strlen(p_name) + 8 + v.place AS INTEGER) AS start_byte, 1 AS start_row, CAST(v.place AS INTEGER) AS start_col, coalesce(v.text, CAST(p_size AS VARCHAR)) AS text
+FROM part, LATERAL (SELECT 18 + strlen(CAST(p_size AS VARCHAR)) + 1 AS one) l, LATERAL (VALUES (2, 'calc', 'number', 18, NULL), (2, 'calc', 'number', l.one, '1')) v(level, lang, type, place, text)
+""", forest=False)
+def nested_languages(spark, sf_dir):
+    found = nested_nodes(_pages(spark, sf_dir), "html", _INSIDE)
+    return found.where("type = 'number'").select("doc_id", "level", "lang", "type", "start_byte", "start_row", "start_col", "text")
+
+
+@query("nested_highlights", "SELECT p_partkey AS doc_id, 'number' AS capture, CAST(strlen(CAST(p_size AS VARCHAR)) + 1 AS BIGINT) AS bytes FROM part UNION ALL SELECT p_partkey, 'string', CAST(15 AS BIGINT) FROM part UNION ALL SELECT p_partkey, 'operator', CAST(1 AS BIGINT) FROM part", forest=False)
+def nested_highlights(spark, sf_dir):
+    marks = {"json": "(string) @string", "calc": '(number) @number "+" @operator'}
+    flat = embedded_highlights(_pages(spark, sf_dir), "html", marks, _INSIDE, max_depth=2)
+    return flat.groupBy("doc_id", "capture").agg(F.sum(F.col("end_byte") - F.col("start_byte")).cast("long").alias("bytes"))
+
+
 #: How each language of the registry is parsed: by tables of a sample grammar, by its imports only, or not at all.
 _SUPPORT = "'calc', 'lr', 17), ('ini', 'lr', 24), ('json', 'lr', 40), ('lox', 'lr', 139), ('outline', 'lr', 11"
 query("language_support", f"SELECT name, backend, CAST(states AS INTEGER) AS n_states, CAST(0 AS INTEGER) AS n_conflicts FROM (VALUES ({_SUPPORT})) v(name, backend, states) UNION ALL SELECT unnest(['go', 'java', 'python', 'starlark']), 'imports', 0, 0 UNION ALL SELECT unnest(['bash', 'c', 'cpp', 'css', 'html', 'javascript', 'make', 'markdown', 'perl', 'ruby', 'rust', 'toml', 'typescript', 'yaml']), 'unsupported', 0, 0", forest=False)(

@@ -132,3 +132,15 @@ def byte_range_for_points(tree: Tree, start: tuple[int, int], end: tuple[int, in
     lines = tree.line_starts()
     at = lambda p: min(lines[p[0]] + p[1], len(tree.source)) if p[0] < len(lines) else len(tree.source)
     return at(start), at(end)
+
+
+def in_utf16_range(source: bytes, start: int, end: int) -> tuple[int, int] | None:
+    """The byte range of UTF-16 units of a text, for `run_query`; None if it cuts a character in two or leaves the text."""
+    units = source.decode().encode("utf-16-le")
+    if not 0 <= start <= end <= len(units) // 2:
+        return None
+    try:
+        first = len(units[: start * 2].decode("utf-16-le").encode())
+        return first, first + len(units[start * 2 : end * 2].decode("utf-16-le").encode())
+    except UnicodeDecodeError:
+        return None
