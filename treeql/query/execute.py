@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grammar.samples import parser
 from ..partitions import Once, spread
-from ..tree import Tree, from_rows
+from ..tree import Tree, from_columns, uncollected
 from .compiler import Query, compile_query
 from .matcher import run
 from .relational import definite, query_matches
@@ -49,6 +50,28 @@ def by_document(batches) -> Iterator[tuple[int, list[dict]]]:
         yield doc, held
 
 
+def columns_by_document(batches) -> Iterator[tuple[int, list[list]]]:
+    """(doc_id, the other columns as lists) of batches sorted by their first column, doc_id; holds one document and one batch at a time."""
+    doc, held = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        docs = batch.column(0).to_numpy(zero_copy_only=False)
+        columns = [batch.column(k).to_pylist() for k in range(1, batch.num_columns)]
+        edges = [0, *(np.flatnonzero(docs[1:] != docs[:-1]) + 1).tolist(), len(docs)]
+        for a, b in zip(edges, edges[1:]):
+            part = [c[a:b] for c in columns]
+            if held is not None and docs[a] == doc:
+                for have, more in zip(held, part):
+                    have += more
+            else:
+                if held is not None:
+                    yield doc, held
+                doc, held = int(docs[a]), part
+    if held is not None:
+        yield doc, held
+
+
 def run_query(nodes: DataFrame, query: str | Query, **options) -> DataFrame:
     """Matches (doc_id, match_seq, pattern_index, root_id, captures) of any query, document by document.
 
@@ -58,8 +81,9 @@ def run_query(nodes: DataFrame, query: str | Query, **options) -> DataFrame:
 
     def match(batches):
         rows = []
-        for doc, held in by_document(batches):
-            rows.extend(match_rows(doc, from_rows(held), query, **options))
+        for doc, columns in columns_by_document(batches):
+            with uncollected():
+                rows.extend(match_rows(doc, from_columns(*columns), query, **options))
             if len(rows) > 20_000:
                 yield _batch(rows)
                 rows = []

@@ -217,6 +217,19 @@ def from_rows(rows: Iterable[dict]) -> Tree:
     return Tree(root)
 
 
+def from_columns(node_id, parent_id, type_, is_named, is_error, is_missing, field, start_byte, end_byte, text) -> Tree:
+    """The tree of one document from columns of `NODES`, in the order of node_id."""
+    made: dict[int, Node] = {}
+    root = None
+    for number, up, kind, named, error, missing, name, start, end, own in zip(node_id, parent_id, type_, is_named, is_error, is_missing, field, start_byte, end_byte, text):
+        made[number] = node = Node(kind, named, start or 0, end or 0, [], name, error=error, missing=missing, text=own)
+        if up is None:
+            root = node
+        else:
+            made[up].children.append(node)
+    return Tree(root)
+
+
 def record_batch(rows: list[tuple], schema: pa.Schema = ARROW) -> pa.RecordBatch:
     columns = zip(*rows) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
