@@ -211,3 +211,40 @@ def test_utf16_query_range():
     source = "é😀x".encode()
     assert in_utf16_range(source, 1, 3) == (2, 6) and in_utf16_range(source, 3, 4) == (6, 7) and in_utf16_range(source, 0, 0) == (0, 0)
     assert in_utf16_range(source, 2, 3) is None and in_utf16_range(source, 0, 9) is None
+
+
+def test_grammar_js():
+    from treeql.grammar.javascript import from_javascript
+
+    g = from_javascript(r"""
+    // a small language
+    const PREC = { add: 1, mul: 2, call: 9 };
+    const digits = /[0-9]+/;
+    const commaSep1 = (rule, by = ',') => seq(rule, repeat(seq(by, rule)));
+    function commaSep(rule) { return optional(commaSep1(rule)); }
+    module.exports = grammar({
+      name: 'tiny',
+      extras: $ => [/\s/, $.comment],
+      word: $ => $.identifier,
+      supertypes: ($) => [$._expression],
+      rules: {
+        program: $ => repeat(seq(field('value', $._expression), ';')),
+        _expression: $ => choice($.binary, $.call, $.number, $.identifier, alias($.quoted, $.string)),
+        binary: $ => choice(...[['+', PREC.add], ["*", PREC.mul]].map(x => prec.left(x[1], seq(field('left', $._expression), x[0], field('right', $._expression))))),
+        call($) { return prec(PREC.call, seq(field('function', $.identifier), '(', commaSep($._expression), ')')); },
+        number: _ => token(seq(optional('-'), digits)),
+        identifier: $ => /[a-z_]\w*/i,
+        quoted: $ => seq('"', token.immediate(/[^"\u000a]*/), '"'),
+        comment: $ => token(seq('//', /[^\n]*/)),
+      },
+    });
+    """)
+    p = Parser(compile_grammar(g))
+    tree = p.parse(b'f(1, -2 * x + 3); // c\n"q";')
+    assert tree.root.sexpr() == "(program (call (identifier) (number) (binary (binary (number) (identifier)) (number))) (comment) (string))"
+    assert tree.root.children[0].field == "value" and g.word == "identifier" and g.supertypes == ["_expression"]
+    again = dsl.from_json(dsl.to_json(g))
+    assert again.rules == g.rules
+    for bad in ("module.exports = grammar(base, {});", "for (;;) {}", "const x = 1;", "module.exports = grammar({name: 'x', rules: {a: $ => prec('up', 'b')}});", "module.exports = grammar({name: 'x', rules: {a: $ => @}});"):
+        with pytest.raises(GrammarError):
+            from_javascript(bad)

@@ -260,6 +260,30 @@ def saved_language(spark, sf_dir):
     return _sums(parse_with(docs, dump_language(language("calc"))))
 
 
+_CALC_JS = """
+const LEVELS = { sum: 1, product: 2 };
+const side = ($, op, level) => prec.left(level, seq(field('left', $.expression), field('operator', op), field('right', $.expression)));
+module.exports = grammar({
+  name: 'calc_js',
+  rules: {
+    program: $ => $.expression,
+    expression: $ => choice(...['+', '-'].map(op => side($, op, LEVELS.sum)), side($, '*', LEVELS.product), seq('(', $.expression, ')'), $.number),
+    number: $ => /[0-9]+/,
+  },
+});
+"""
+
+
+@query("javascript_grammar", _SUMS, forest=False)
+def javascript_grammar(spark, sf_dir):
+    from ..grammar.artifact import dump_language
+    from ..grammar.compiler import compile_grammar
+    from ..grammar.javascript import from_javascript
+
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.format_string("%d + %d * 3", "p_size", F.col("p_partkey") % 9).alias("text"))
+    return _sums(parse_with(docs, dump_language(compile_grammar(from_javascript(_CALC_JS)))))
+
+
 @query("parse_limits", "SELECT p_partkey AS doc_id, CASE WHEN p_size + 1 > 20 THEN 'stack_depth_limit' ELSE 'accepted' END AS stop_reason FROM part", forest=False)
 def parse_limits(spark, sf_dir):
     docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.repeat(F.lit("["), F.col("p_size").cast("int")), F.repeat(F.lit("]"), F.col("p_size").cast("int"))).alias("text"))
