@@ -69,7 +69,8 @@ class Parser:
 
     def __init__(self, language: Language, max_stacks: int = MAX_STACKS):
         self.language, self.max_stacks = language, max_stacks
-        self._all = self._ordered(set(language.terminals))
+        # what a text is read by where nothing fits; tokens that must follow another at once mean nothing there
+        self._all = [t for t in self._ordered(set(language.terminals)) if not t.immediate]
         self._extras = [language.terminals[x] for x in language.extras]
         self._by_byte: dict[tuple[int, int], tuple[list, list]] = {}
         # for states with one action on a token: a shift's state, or a reduction's number as -1, -2 ..
@@ -276,7 +277,7 @@ class Parser:
         return _Stack(max(s.at, node.end), s.state, (s.state, node, s.below), s.score, s.errors + node.error, s.memo)
 
     def _step(self, s: _Stack, source: bytes) -> tuple[list[_Stack], Node | None, Token, _Stack]:
-        """Advance by one token: (stacks, root if accepted, token, the stack with the extras before it)."""
+        """Advance by one token: (stacks, root if accepted, token, the stack with the extras before it, or the one accepted)."""
         token = None
         for token in self.lex(s.state, source, s.at, s.memo):
             if token.name in self.language.extras and token.name not in self.language.actions[s.state]:
@@ -296,11 +297,12 @@ class Parser:
                 leaf = Node(token.name, token.named, token.start, token.end)
                 return [_Stack(token.end, acts[0][1], (now.state, leaf, now.below), now.score, now.errors, token.memo)], None, token, s
             else:
-                return [], self._root(now, len(source)), token, s
+                return [], self._root(now, len(source)), token, now
         ready = self._after_reductions(s, token.name)
-        for r in ready:
-            if ("accept",) in self._actions(r, token.name):
-                return [], self._root(r, len(source)), token, s
+        whole = [r for r in ready if ("accept",) in self._actions(r, token.name)]
+        if whole:
+            best = min(whole, key=lambda r: (r.errors, -r.score))
+            return [], self._root(best, len(source)), token, best
         return [self._shift(r, token) for r in ready if any(a[0] == "shift" for a in self._actions(r, token.name))], None, token, s
 
     def _straight(self, s: _Stack, source: bytes, limit: int) -> _Stack:
@@ -476,7 +478,7 @@ class Parser:
         stacks = [_Stack(0, 0)]
         steps, limit = 0, max_steps or max(10_000, 30 * len(source))
         until, reason = time.monotonic() + seconds if seconds is not None else None, ""
-        self._culled, self._made = False, 0
+        self._culled, self._made, whole = False, 0, None
         stepwise = until is not None or cancelled is not None or max_depth is not None or log is not None
         while stacks:
             if steps >= limit:
@@ -502,11 +504,17 @@ class Parser:
             if log:
                 log("lex", f"{token.name or 'unknown'} {token.start} {token.end}")
             if root is not None:
-                return Tree(root, source)
+                if whole is None or (s.errors, -s.score) < whole[:2]:
+                    whole = s.errors, -s.score, root
+                if not stacks:
+                    break
+                continue
             if len(onward) == 1 and not stacks:
                 stacks = onward
             elif onward:
                 stacks = self._merged(stacks + onward)
+            elif not stacks and whole is not None:
+                break
             elif not stacks:
                 if log:
                     log("parse", f"recover at {token.start}")
@@ -517,6 +525,8 @@ class Parser:
                     stacks = [found]
                 else:
                     stacks = [self._recover(s, token)]
+        if whole is not None:
+            return Tree(whole[2], source)
         last = s if steps else None
         parts = []
         below = last.below if last else None

@@ -358,4 +358,4 @@ def edit_stream_final(spark, sf_dir):
     return final_texts(edits).select("doc_id", F.col("n_edits").cast("long").alias("n_edits"), "text")
 
 
-from . import lookups  # noqa: E402, F401 - registers its queries here
+from . import languages, lookups  # noqa: E402, F401 - register their queries here
