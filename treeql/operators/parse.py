@@ -12,7 +12,7 @@ from ..grammar.artifact import load_language
 from ..grammar.parser import Parser, TokenSource
 from ..grammar.samples import parser
 from ..grammar.sources import TOKEN_SOURCES, listed_tokens
-from ..partitions import Once, spread
+from ..partitions import Once, shuffled, spread
 from ..tree import ARROW, DDL, Tree, record_batch
 from .spans import byte_for_utf16
 
@@ -119,8 +119,8 @@ def parse_runtime(docs: DataFrame, lang: str, id_col: str = "doc_id", text_col:
 def update_rows(old_rows: DataFrame, old: DataFrame, new: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """`run` of the texts `new` (doc_id, text), given its rows for those of `old`: it only sees texts that differ, the others keep their rows. For trees, matches, highlights and tags alike."""
     digest = lambda df, name: df.select("doc_id", F.sha2("text", 256).alias(name))
-    same = digest(old, "a").join(digest(new, "b"), "doc_id").where("a = b").select("doc_id")
-    return old_rows.join(same, "doc_id", "left_semi").unionByName(run(new.join(same, "doc_id", "left_anti")))
+    same = digest(old, "a").join(shuffled(digest(new, "b")), "doc_id").where("a = b").select("doc_id")
+    return old_rows.join(shuffled(same), "doc_id", "left_semi").unionByName(run(new.join(shuffled(same), "doc_id", "left_anti")))
 
 
 def update_nodes(old_nodes: DataFrame, old: DataFrame, new: DataFrame, lang: str) -> DataFrame:

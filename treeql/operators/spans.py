@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..partitions import shuffled
+
 
 def coalesce_ranges(ranges: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(key, s, e) with empty ranges dropped and ranges that overlap or touch merged, by gaps and islands."""
@@ -117,21 +119,21 @@ def resolve_highlights(ranges: DataFrame) -> DataFrame:
 
 def to_utf16_ranges(ranges: DataFrame, texts: DataFrame) -> DataFrame:
     """Ranges (doc_id, start_byte, end_byte, ...) with start_unit and end_unit of the texts (doc_id, text); those that cut a character are dropped."""
-    both = ranges.join(texts.select("doc_id", F.col("text").alias("__text")), "doc_id")
+    both = ranges.join(shuffled(texts.select("doc_id", F.col("text").alias("__text"))), "doc_id")
     both = both.withColumns({"start_unit": utf16_for_byte(F.col("__text"), F.col("start_byte")), "end_unit": utf16_for_byte(F.col("__text"), F.col("end_byte"))})
     return both.where("start_unit is not null and end_unit is not null").drop("__text")
 
 
 def from_utf16_ranges(ranges: DataFrame, texts: DataFrame) -> DataFrame:
     """Ranges (doc_id, start_unit, end_unit, ...) with start_byte and end_byte of the texts (doc_id, text); those that cut a pair are dropped."""
-    both = ranges.join(texts.select("doc_id", F.col("text").alias("__text")), "doc_id")
+    both = ranges.join(shuffled(texts.select("doc_id", F.col("text").alias("__text"))), "doc_id")
     both = both.withColumns({"start_byte": byte_for_utf16(F.col("__text"), F.col("start_unit")), "end_byte": byte_for_utf16(F.col("__text"), F.col("end_unit"))})
     return both.where("start_byte is not null and end_byte is not null").drop("__text")
 
 
 def edits_from_utf16(edits: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Edits (doc_id, start_unit, old_end_unit, new_end_unit) in bytes: starts and old ends in the old texts, new ends in the new ones."""
-    both = edits.join(old.select("doc_id", F.col("text").alias("__o")), "doc_id").join(new.select("doc_id", F.col("text").alias("__n")), "doc_id")
+    both = edits.join(shuffled(old.select("doc_id", F.col("text").alias("__o"))), "doc_id").join(shuffled(new.select("doc_id", F.col("text").alias("__n"))), "doc_id")
     at = lambda text, unit: byte_for_utf16(F.col(text), F.col(unit))
     out = both.withColumns({"start_byte": at("__o", "start_unit"), "old_end_byte": at("__o", "old_end_unit"), "new_end_byte": at("__n", "new_end_unit")})
     return out.where("start_byte is not null and old_end_byte is not null and new_end_byte is not null").drop("__o", "__n")

@@ -26,6 +26,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join by document that is never broadcast: columnar files are so much smaller than their rows that Spark would send a million texts through the driver."""
+    return df.hint("merge")
+
+
 class Once:
     """`f` of texts, remembered for a bounded number of texts, since tables often hold equal ones."""
 

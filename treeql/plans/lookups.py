@@ -11,6 +11,7 @@ from ..operators import spans as sp
 from ..operators.imports import extract_imports
 from ..operators.embedded import embedded_highlights, embedded_nodes as nested_nodes
 from ..operators.parse import parse, parse_listed, parse_ranges, parse_ranges_utf16, parse_runtime, parse_tokens, parse_utf16, parse_with, update_nodes, update_rows
+from ..partitions import shuffled
 from ..query.execute import execute, query_sources, typed
 from ..sources.languages import detect_by_name, detect_by_shebang, interpreter, support
 from .catalogue import query, table
@@ -304,7 +305,7 @@ def descendant_utf16(spark, sf_dir):
     ranges = docs.select("doc_id", F.lit(1).alias("range_id"), F.lit(7).alias("start_unit"), F.lit(10).alias("end_unit"))
     nodes = parse(docs, "json")
     found = nav.smallest_containing_utf16(nodes, ranges, docs)
-    return found.select("doc_id", "node_id").join(nodes, ["doc_id", "node_id"]).select("doc_id", "type", "text")
+    return found.select("doc_id", "node_id").join(shuffled(nodes), ["doc_id", "node_id"]).select("doc_id", "type", "text")
 
 
 # languages inside languages
