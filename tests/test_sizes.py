@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from treeql.operators import spans
 from treeql.plans import catalogue
+from treeql.sources import walk as sources
+from treeql.sources.walk import Policy, stats, walk
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,3 +21,20 @@ def test_texts_are_not_broadcast(spark):
     units = docs.select("doc_id", F.lit(0).alias("start_unit"), F.lit(1).alias("end_unit"))
     for df in (spans.to_utf16_ranges(ranges, docs), spans.from_utf16_ranges(units, docs), catalogue.QUERIES["descendant_utf16"](spark, SF), catalogue.QUERIES["updated_nodes"](spark, SF)):
         assert "Broadcast" not in plan(df)
+
+
+def _walked(spark, root, **policy):
+    return sorted((r.path.rsplit("/", 1)[1], r.lang, r.size, r.is_binary, r.text) for r in walk(spark, str(root), Policy(**policy)).collect())
+
+
+def test_large_files_show_by_their_heads(spark, tmp_path, monkeypatch):
+    """A file of over 2 GB is no value of a column, and a walk that needs no text doesn't read it."""
+    for name, data in {"a.json": b"[1]", "b [1].bin": b"a\0b" * 10, "run": b"#!" + b" " * 10_000 + b"/bin/sh\nexit", "c*": b"x" * 9000 + b"\0"}.items():
+        (tmp_path / name).write_bytes(data)
+    whole = _walked(spark, tmp_path)
+    monkeypatch.setattr(sources, "WHOLE_BYTES", 4)
+    assert _walked(spark, tmp_path) == whole and [x[1] for x in whole] == ["json", None, None, "bash"]
+    monkeypatch.undo()
+    with (tmp_path / "huge.bin").open("wb") as f:
+        f.truncate((2 << 30) + 5)
+    assert tuple(stats(walk(spark, str(tmp_path))).first()[:3]) == (5, 1, 2)
