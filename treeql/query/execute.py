@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..grammar.samples import parser
 from ..partitions import Once, spread
-from ..tree import Tree, from_columns, uncollected
+from ..tree import Tree, collected_by_hand, from_columns
 from .compiler import Query, compile_query
 from .matcher import run
 from .relational import definite, query_matches
@@ -33,7 +34,11 @@ def match_rows(doc_id: int, tree: Tree, query: Query, **options) -> list[tuple]:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
+    *plain, captures = zip(*rows)
+    flat = [c for held in captures for c in held]
+    parts = pa.StructArray.from_arrays([pa.array([c[f.name] for c in flat], f.type) for f in _CAPTURE], fields=list(_CAPTURE))
+    listed = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, captures))], pa.int32()), parts)
+    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(plain, _ARROW.types)), listed.cast(_ARROW.field("captures").type)], schema=_ARROW)
 
 
 def by_document(batches) -> Iterator[tuple[int, list[dict]]]:
@@ -81,14 +86,15 @@ def run_query(nodes: DataFrame, query: str | Query, **options) -> DataFrame:
 
     def match(batches):
         rows = []
-        for doc, columns in columns_by_document(batches):
-            with uncollected():
+        with collected_by_hand() as tell:
+            for doc, columns in columns_by_document(batches):
                 rows.extend(match_rows(doc, from_columns(*columns), query, **options))
-            if len(rows) > 20_000:
+                tell(len(columns[0]))
+                if len(rows) > 20_000:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
                 yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
 
     # by a hash of its own: Spark may drop an exchange by the bare key above a union that seems to have that partitioning, and then read the union's
     # inputs as they lie
@@ -101,14 +107,25 @@ def query_sources(docs: DataFrame, lang: str | Callable[[bytes], Tree], query: s
 
     def match(batches):
         parse = parser(lang).parse if isinstance(lang, str) else lang
-        once = Once(lambda text: match_rows(0, parse(text), query, **options))
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    rows.extend((doc, *row[1:]) for row in once(text.encode() if isinstance(text, str) else text))
-            if rows:
-                yield _batch(rows)
+
+        def found(text: bytes) -> list[tuple]:
+            tree = parse(text)
+            rows = match_rows(0, tree, query, **options)
+            tell(len(tree.nodes))
+            return rows
+
+        once = Once(found)
+        with collected_by_hand() as tell:
+            for batch in batches:
+                rows = []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if text:
+                        rows.extend((doc, *row[1:]) for row in once(text.encode() if isinstance(text, str) else text))
+                    if len(rows) > 20_000:
+                        yield _batch(rows)
+                        rows = []
+                if rows:
+                    yield _batch(rows)
 
     return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col)).mapInArrow(match, MATCHES)
 

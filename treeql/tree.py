@@ -41,6 +41,23 @@ def uncollected():
             gc.enable()
 
 
+@contextmanager
+def collected_by_hand():
+    """Yields a function to tell how many nodes were made and dropped: the cyclic collector, which trees need as parents and children hold each other, runs after so many of them only,
+    and not whenever rows that wait for output have grown."""
+    made = 0
+
+    def tell(n: int) -> None:
+        nonlocal made
+        made += n
+        if made >= 100_000:
+            made = 0
+            gc.collect()
+
+    with uncollected():
+        yield tell
+
+
 class Node:
     """A node under construction or in use; `parent` and `index` are set by `Tree`. What most nodes have alike stands in the class."""
 
@@ -218,16 +235,43 @@ def from_rows(rows: Iterable[dict]) -> Tree:
 
 
 def from_columns(node_id, parent_id, type_, is_named, is_error, is_missing, field, start_byte, end_byte, text) -> Tree:
-    """The tree of one document from columns of `NODES`, in the order of node_id."""
+    """The tree of one document from columns of `NODES`, in the order of node_id; numbered at once where that is the preorder."""
     made: dict[int, Node] = {}
-    root = None
+    found: list[Node] = []
+    root, new, kept = None, Node.__new__, True
+    path: list[Node] = []  # from the root to the node before
     for number, up, kind, named, error, missing, name, start, end, own in zip(node_id, parent_id, type_, is_named, is_error, is_missing, field, start_byte, end_byte, text):
-        made[number] = node = Node(kind, named, start or 0, end or 0, [], name, error=error, missing=missing, text=own)
+        made[number] = node = new(Node)
+        node.type, node.named, node.start, node.end, node.children = kind, named, start or 0, end or 0, []
+        if name is not None:
+            node.field = name
+        if error:
+            node.error = True
+        if missing:
+            node.missing = True
+        if own is not None:
+            node.text_ = own
         if up is None:
-            root = node
+            kept, root = kept and root is None and not found, node
         else:
-            made[up].children.append(node)
-    return Tree(root)
+            above = made[up]
+            siblings = above.children
+            if kept:
+                while path and path[-1] is not above:
+                    path.pop()
+                kept = bool(path)
+                node.parent, node.index = above, len(siblings)
+                if named:
+                    node.named_index = seen = above.__dict__.get("_seen", 0)
+                    above._seen = seen + 1
+            siblings.append(node)
+        node.id = len(found)
+        found.append(node)
+        path.append(node)
+    tree = Tree(root)
+    if kept:
+        tree._nodes = found
+    return tree
 
 
 def record_batch(rows: list[tuple], schema: pa.Schema = ARROW) -> pa.RecordBatch:
