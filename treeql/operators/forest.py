@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..partitions import dealt
+
 
 def customer_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tree per customer: customer > orders > line items, in key order.
@@ -15,6 +17,7 @@ def customer_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     items = read("lineitem").select(F.col("l_orderkey").alias("okey"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_extendedprice")
+    items = dealt(items, "okey")
     orders = read("orders").select(F.col("o_orderkey").alias("okey"), F.col("o_custkey").alias("doc_id"), "o_orderstatus", "o_orderpriority")
     per_order = items.groupBy("okey").agg(F.count("*").alias("n_items"))
     orders = orders.join(per_order, "okey", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))

@@ -8,14 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..partitions import shuffled
+from ..partitions import dealt, shuffled
 
 
 def coalesce_ranges(ranges: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(key, s, e) with empty ranges dropped and ranges that overlap or touch merged, by gaps and islands."""
     order = Window.partitionBy(*key).orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.where("s < e").withColumn("new", (reach.isNull() | (F.col("s") > reach)).cast("int"))
+    marked = dealt(ranges.where("s < e").select(*key, "s", "e"), *key).withColumn("new", (reach.isNull() | (F.col("s") > reach)).cast("int"))
     marked = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*key, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
 

@@ -12,18 +12,46 @@ T = TypeVar("T")
 KEPT_TEXTS, KEPT_BYTES = 4096, 8 << 20
 
 
+#: Rows of a small scan, or of what was shuffled, are dealt over so many partitions that each comes from about so many bytes of the plan's own estimate.
+SPREAD_BYTES = 2 << 20
+#: A join's estimate is of no use: what was shuffled has so many partitions for each slot.
+SHUFFLED_EACH = 8
+
+
+def by_size(df: DataFrame, each: int) -> int:
+    """As many partitions as `df` needs for `each` bytes of its estimated size, one for each slot at least and 20,000 at most."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(df.sparkSession.sparkContext.defaultParallelism, size // each), 20_000)
+
+
+#: Rows that are sorted by document are dealt over so many partitions that each comes from about so many bytes of files.
+SORTED_BYTES = 8 << 20
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` by a hash of `keys`, in partitions whose number grows with the files that it comes from, so that what a task sorts does not; small tables stay as they are.
+
+    Adaptive execution would join partitions by their bytes as shuffled, which are a fraction of their rows in memory. Sizes come from the leaves of the plan, as joins are estimated by products.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    n = min(sum(s for s in sizes if s < 1 << 50) // SORTED_BYTES, 20_000)
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """`df` in as many partitions as the session has slots, if it is a mere scan of fewer.
+    """`df` in as many partitions as the session has slots, or more for its size, if it is a mere scan of fewer or has been shuffled.
 
-    A table of one small file is one partition, which one task would parse. Larger tables have more partitions than slots and stay as they are, and so does what has been shuffled already,
-    whose partitions adaptive execution chooses.
+    A table of one small file is one partition, which one task would parse, and adaptive execution puts what was shuffled into few partitions by its bytes, which say little about the time that
+    Python takes. Larger tables have more partitions than slots and stay as they are.
     """
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
+    slots = df.sparkSession.sparkContext.defaultParallelism
     execution = df._jdf.queryExecution()
-    if execution.executedPlan().nodeName() == "AdaptiveSparkPlan" or execution.toRdd().getNumPartitions() >= slots:
+    if execution.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df.repartition(slots * SHUFFLED_EACH)
+    if execution.toRdd().getNumPartitions() >= slots:
         return df
-    return df.repartition(slots)
+    return df.repartition(by_size(df, SPREAD_BYTES))
 
 
 def shuffled(df: DataFrame) -> DataFrame:
@@ -34,16 +62,18 @@ def shuffled(df: DataFrame) -> DataFrame:
 class Once:
     """`f` of texts, remembered for a bounded number of texts, since tables often hold equal ones."""
 
-    def __init__(self, f: Callable[[bytes], T]):
+    def __init__(self, f: Callable[[bytes | tuple], T]):
         self._f, self._kept, self._size = f, {}, 0
 
-    def __call__(self, text: bytes) -> T:
+    def __call__(self, text: bytes | tuple) -> T:
+        """`text` may be a tuple of a text and whatever else decides the result."""
         found = self._kept.get(text)
         if found is None:
             found = self._f(text)
-            if len(self._kept) >= KEPT_TEXTS or self._size + len(text) > KEPT_BYTES:
+            size = len(text) if isinstance(text, bytes) else len(text[0])
+            if len(self._kept) >= KEPT_TEXTS or self._size + size > KEPT_BYTES:
                 self._kept.clear()
                 self._size = 0
             self._kept[text] = found
-            self._size += len(text)
+            self._size += size
         return found
