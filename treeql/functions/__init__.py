@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from ..grammar.samples import parser
 from ..operators.imports import EXTRACTORS
+from ..partitions import Once
 from ..query.compiler import compile_query
 from ..query.matcher import run
 from ..tree import DDL
@@ -15,30 +18,45 @@ from ..tree import DDL
 class ParseNodes:
     """parse_nodes(doc_id, text, lang): a row for each node."""
 
+    def __init__(self):
+        self.once = Once(lambda at: parser(at[1]).parse(at[0]).rows(None))
+
     def eval(self, doc_id: int, text: str, lang: str):
         if text:
-            yield from parser(lang).parse(text.encode()).rows(doc_id)
+            for row in self.once((text.encode(), lang)):
+                yield doc_id, *row[1:]
 
 
 class Tokenize:
     """tokenize(text, lang): a row for each leaf of the tree, in order."""
 
+    def __init__(self):
+        self.once = Once(self.tokens)
+
+    @staticmethod
+    def tokens(at: tuple) -> list[tuple]:
+        tree = parser(at[1]).parse(at[0])
+        return [(i, n.type, n.named, n.start, n.end, tree.text(n)) for i, n in enumerate(n for n in tree.nodes if not n.children)]
+
     def eval(self, text: str, lang: str):
         if text:
-            tree = parser(lang).parse(text.encode())
-            for i, n in enumerate(n for n in tree.nodes if not n.children):
-                yield i, n.type, n.named, n.start, n.end, tree.text(n)
+            yield from self.once((text.encode(), lang))
 
 
 class RunQuery:
-    """run_query(text, lang, query): a row for each capture of each match."""
+    """run_query(text, lang, query): a row for each capture of each match. A task compiles a query once."""
+
+    def __init__(self):
+        self.once, self.compiled = Once(self.found), lru_cache(64)(compile_query)
+
+    def found(self, at: tuple) -> list[tuple]:
+        text, lang, query = at
+        tree = parser(lang).parse(text)
+        return [(i, m.pattern, k, c.name, c.node.type, c.node.start, c.node.end, c.override or tree.text(c.node)) for i, m in enumerate(run(self.compiled(query), tree)) for k, c in enumerate(m.captures)]
 
     def eval(self, text: str, lang: str, query: str):
         if text:
-            tree = parser(lang).parse(text.encode())
-            for i, m in enumerate(run(compile_query(query), tree)):
-                for k, c in enumerate(m.captures):
-                    yield i, m.pattern, k, c.name, c.node.type, c.node.start, c.node.end, c.override or tree.text(c.node)
+            yield from self.once((text.encode(), lang, query))
 
 
 class ExtractImports:

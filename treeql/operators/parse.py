@@ -50,15 +50,19 @@ def parse_ranges(docs: DataFrame, lang: str, id_col: str = "doc_id", text_col: s
     """As `parse`, reading only the byte ranges (array of (s, e)) of each text."""
 
     def run(batches):
+        once = Once(lambda at: parser(lang).parse(at[0], ranges=at[1]).rows(None))
         for batch in batches:
             rows = []
             for doc, text, ranges in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if text:
-                    rows.extend(parser(lang).parse(text.encode(), ranges=[(r["s"], r["e"]) for r in ranges or []]).rows(doc))
+                    rows.extend((doc, *row[1:]) for row in once((text.encode(), tuple((r["s"], r["e"]) for r in ranges or []))))
+                if len(rows) > 50_000:
+                    yield record_batch(rows)
+                    rows = []
             if rows:
                 yield record_batch(rows, ARROW)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(ranges_col).alias("ranges")).mapInArrow(run, DDL)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(ranges_col).alias("ranges"))).mapInArrow(run, DDL)
 
 
 def parse_tokens(docs: DataFrame, lang: str, tokens: str | TokenSource, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,10 +80,13 @@ def parse_listed(docs: DataFrame, lang: str, id_col: str = "doc_id", text_col: s
             for doc, text, tokens in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if text:
                     rows.extend(parser(lang).parse(text.encode(), tokens=listed_tokens((t["name"], t["s"], t["e"]) for t in tokens or [])).rows(doc))
+                if len(rows) > 50_000:
+                    yield record_batch(rows)
+                    rows = []
             if rows:
                 yield record_batch(rows, ARROW)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(tokens_col).alias("tokens")).mapInArrow(run, DDL)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(tokens_col).alias("tokens"))).mapInArrow(run, DDL)
 
 
 def parse_with(docs: DataFrame, language: bytes, scanner=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,23 +111,28 @@ def parse_ranges_utf16(docs: DataFrame, lang: str, id_col: str = "doc_id", text_
 def parse_runtime(docs: DataFrame, lang: str, id_col: str = "doc_id", text_col: str = "text", seconds: float | None = None, max_nodes: int | None = None, max_depth: int | None = None) -> DataFrame:
     """(doc_id, stop_reason, n_nodes, n_errors, n_bytes): how each parse ended, under limits if given."""
 
+    def ended(source: bytes) -> tuple:
+        tree = parser(lang).parse(source, seconds=seconds, max_nodes=max_nodes, max_depth=max_depth)
+        return tree.stop_reason, len(tree.nodes), sum(n.error or n.missing for n in tree.nodes), len(source)
+
     def run(batches):
+        # how a parse ends under a limit of time is not the text's alone
+        once = Once(ended) if seconds is None else ended
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                source = (text or "").encode()
-                tree = parser(lang).parse(source, seconds=seconds, max_nodes=max_nodes, max_depth=max_depth)
-                out.append((doc, tree.stop_reason, len(tree.nodes), sum(n.error or n.missing for n in tree.nodes), len(source)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "stop_reason", "n_nodes", "n_errors", "n_bytes"])
+            out = [(doc, *once((text or "").encode())) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "stop_reason", "n_nodes", "n_errors", "n_bytes"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, stop_reason string, n_nodes bigint, n_errors bigint, n_bytes bigint")
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id bigint, stop_reason string, n_nodes bigint, n_errors bigint, n_bytes bigint")
 
 
 def update_rows(old_rows: DataFrame, old: DataFrame, new: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """`run` of the texts `new` (doc_id, text), given its rows for those of `old`: it only sees texts that differ, the others keep their rows. For trees, matches, highlights and tags alike."""
     digest = lambda df, name: df.select("doc_id", F.sha2("text", 256).alias(name))
     same = digest(old, "a").join(shuffled(digest(new, "b")), "doc_id").where("a = b").select("doc_id")
-    return old_rows.join(shuffled(same), "doc_id", "left_semi").unionByName(run(new.join(shuffled(same), "doc_id", "left_anti")))
+    # hashed, so that rows and texts pass by without being sorted
+    same = same.hint("shuffle_hash")
+    return old_rows.join(same, "doc_id", "left_semi").unionByName(run(new.join(same, "doc_id", "left_anti")))
 
 
 def update_nodes(old_nodes: DataFrame, old: DataFrame, new: DataFrame, lang: str) -> DataFrame:

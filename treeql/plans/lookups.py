@@ -11,7 +11,7 @@ from ..operators import spans as sp
 from ..operators.imports import extract_imports
 from ..operators.embedded import embedded_highlights, embedded_nodes as nested_nodes
 from ..operators.parse import parse, parse_listed, parse_ranges, parse_ranges_utf16, parse_runtime, parse_tokens, parse_utf16, parse_with, update_nodes, update_rows
-from ..partitions import shuffled
+from ..partitions import shuffled, spread
 from ..query.execute import execute, query_sources, typed
 from ..sources.languages import detect_by_name, detect_by_shebang, interpreter, support
 from .catalogue import query, table
@@ -139,7 +139,7 @@ def table_functions(spark, sf_dir):
     from ..functions import register
 
     register(spark)
-    table(spark, sf_dir, "events").select("event_id", "props").createOrReplaceTempView("treeql_events")
+    spread(table(spark, sf_dir, "events").select("event_id", "props")).createOrReplaceTempView("treeql_events")
     keys = spark.sql("SELECT event_id AS doc_id, q.capture, q.text FROM treeql_events, LATERAL run_query(props, 'json', '(pair key: (string (string_content) @key))') q")
     return keys.unionByName(spark.sql("SELECT event_id AS doc_id, 'pairs' AS capture, CAST(count(*) AS STRING) AS text FROM treeql_events, LATERAL parse_nodes(event_id, props, 'json') n WHERE n.type = 'pair' GROUP BY event_id"))
 
@@ -149,7 +149,7 @@ def tokens(spark, sf_dir):
     from ..functions import register
 
     register(spark)
-    table(spark, sf_dir, "part").select("p_partkey", F.concat("p_size", F.lit("*3 - "), "p_partkey").alias("formula")).createOrReplaceTempView("treeql_formulas")
+    table(spark, sf_dir, "part").select("p_partkey", F.concat("p_size", F.lit("*3 - "), "p_partkey").alias("formula")).transform(spread).createOrReplaceTempView("treeql_formulas")
     return spark.sql("SELECT p_partkey AS doc_id, t.seq, t.type, t.text FROM treeql_formulas, LATERAL tokenize(formula, 'calc') t")
 
 
