@@ -1,5 +1,6 @@
 """Plans whose tasks and driver must not grow with their input."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import treeql.functions as functions
@@ -86,3 +87,28 @@ def test_table_functions_parse_equal_texts_once(monkeypatch):
     found = functions.ParseNodes()
     assert [r[0] for r in [*found.eval(1, "[1]", "json"), *found.eval(2, "[1]", "json")] if r[2] is None] == [1, 2]
     assert len(calls) == 3
+
+
+def test_texts_reach_python_in_bounded_batches(spark):
+    """However many rows a partition has: 40 texts of 1 MB don't come at once."""
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(256 << 20))
+    try:
+        docs = partitions.spread(spark.range(0, 40, 1, 4).select(F.col("id").alias("doc_id"), F.expr("repeat('[1, 2]  ', 131072)").alias("text")).coalesce(1))
+        counted = docs.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        sizes = [r.n for r in counted.collect()]
+    finally:
+        spark.conf.set(conf, before)
+    assert sum(sizes) == 40 and max(sizes) <= 10
+
+
+def test_kept_results_are_bounded_by_their_rows(monkeypatch):
+    """A text's results may weigh far more than the text."""
+    monkeypatch.setattr(partitions, "KEPT_ROWS", 10)
+    calls = []
+    once = partitions.Once(lambda text: calls.append(text) or [0] * int(text), len)
+    for text in (b"4", b"5", b"4", b"11", b"11", b"4", b"6", b"4"):
+        assert len(once(text)) == int(text)
+        assert sum(map(len, once._kept.values())) <= 10
+    assert calls == [b"4", b"5", b"11", b"11", b"6", b"4"]

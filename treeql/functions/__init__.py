@@ -19,7 +19,7 @@ class ParseNodes:
     """parse_nodes(doc_id, text, lang): a row for each node."""
 
     def __init__(self):
-        self.once = Once(lambda at: parser(at[1]).parse(at[0]).rows(None))
+        self.once = Once(lambda at: parser(at[1]).parse(at[0]).rows(None), len)
 
     def eval(self, doc_id: int, text: str, lang: str):
         if text:
@@ -31,7 +31,7 @@ class Tokenize:
     """tokenize(text, lang): a row for each leaf of the tree, in order."""
 
     def __init__(self):
-        self.once = Once(self.tokens)
+        self.once = Once(self.tokens, len)
 
     @staticmethod
     def tokens(at: tuple) -> list[tuple]:
@@ -47,7 +47,7 @@ class RunQuery:
     """run_query(text, lang, query): a row for each capture of each match. A task compiles a query once."""
 
     def __init__(self):
-        self.once, self.compiled = Once(self.found), lru_cache(64)(compile_query)
+        self.once, self.compiled = Once(self.found, len), lru_cache(64)(compile_query)
 
     def found(self, at: tuple) -> list[tuple]:
         text, lang, query = at

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..partitions import bound_batches  # noqa: F401 - the operators take it from here
+
 #: White space between words; a word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,16 +91,6 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(pieces - ends).cast("long")
 
 
-def bound_batches(df: DataFrame, rows: int = 1000, size: int = 8 << 20) -> None:
-    """Let Arrow batches of the session hold at most so many rows and bytes, if it allows more: whole texts pass through them, and their buffers stand outside of
-    the executor's heap on either side. The session keeps the setting, as results are lazy and read it when they run."""
-    conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = str(conf.get(key)).lower().removesuffix("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            conf.set(key, str(most))
-
-
 def text_slices(batch, of, rows: int = 512):
     """Slices of an Arrow batch of at most `rows` rows, with their texts as bytes; `of` takes the column of texts from a slice.
 

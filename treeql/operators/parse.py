@@ -25,7 +25,7 @@ def parse(docs: DataFrame, lang: str | Callable[[bytes], Tree], id_col: str = "d
 
     def run(batches):
         read = parser(lang).parse if isinstance(lang, str) else lang
-        once = Once(lambda text: read(text).rows(None))
+        once = Once(lambda text: read(text).rows(None), len)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -50,7 +50,7 @@ def parse_ranges(docs: DataFrame, lang: str, id_col: str = "doc_id", text_col: s
     """As `parse`, reading only the byte ranges (array of (s, e)) of each text."""
 
     def run(batches):
-        once = Once(lambda at: parser(lang).parse(at[0], ranges=at[1]).rows(None))
+        once = Once(lambda at: parser(lang).parse(at[0], ranges=at[1]).rows(None), len)
         for batch in batches:
             rows = []
             for doc, text, ranges in zip(*(batch.column(i).to_pylist() for i in range(3))):

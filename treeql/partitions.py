@@ -8,8 +8,10 @@ from typing import TypeVar
 from pyspark.sql import DataFrame
 
 T = TypeVar("T")
-#: Results of so many texts, of so many bytes together, are kept in a task.
-KEPT_TEXTS, KEPT_BYTES = 4096, 8 << 20
+#: Results of so many texts, of so many bytes and so many rows of results together, are kept in a task: the rows of a text may weigh fifty times the text.
+KEPT_TEXTS, KEPT_BYTES, KEPT_ROWS = 4096, 8 << 20, 100_000
+#: Texts come to Python in batches of at most so many rows and bytes.
+BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
 
 
 #: Rows of a small scan, or of what was shuffled, are dealt over so many partitions that each comes from about so many bytes of the plan's own estimate.
@@ -39,12 +41,23 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
 
 
+def bound_batches(df: DataFrame, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Let Arrow batches of the session hold at most so many rows and bytes, if it allows more: whole texts pass through them, and their buffers stand outside of
+    the executor's heap on either side. The session keeps the setting, as results are lazy and read it when they run."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = str(conf.get(key)).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """`df` in as many partitions as the session has slots, or more for its size, if it is a mere scan of fewer or has been shuffled.
+    """`df` in as many partitions as the session has slots, or more for its size, if it is a mere scan of fewer or has been shuffled; its texts reach Python in bounded batches.
 
     A table of one small file is one partition, which one task would parse, and adaptive execution puts what was shuffled into few partitions by its bytes, which say little about the time that
-    Python takes. Larger tables have more partitions than slots and stay as they are.
+    Python takes. Larger tables have more partitions than slots and stay as they are. Batches are bounded by bytes, as 10,000 texts of a large partition may be any number of them.
     """
+    bound_batches(df, BATCH_ROWS, BATCH_BYTES)
     slots = df.sparkSession.sparkContext.defaultParallelism
     execution = df._jdf.queryExecution()
     if execution.executedPlan().nodeName() == "AdaptiveSparkPlan":
@@ -60,20 +73,23 @@ def shuffled(df: DataFrame) -> DataFrame:
 
 
 class Once:
-    """`f` of texts, remembered for a bounded number of texts, since tables often hold equal ones."""
+    """`f` of texts, remembered for a bounded number of texts and rows of results, since tables often hold equal ones. `weigh` counts the rows of a result, one by default."""
 
-    def __init__(self, f: Callable[[bytes | tuple], T]):
-        self._f, self._kept, self._size = f, {}, 0
+    def __init__(self, f: Callable[[bytes | tuple], T], weigh: Callable[[T], int] = lambda found: 1):
+        self._f, self._weigh, self._kept, self._size, self._rows = f, weigh, {}, 0, 0
 
     def __call__(self, text: bytes | tuple) -> T:
         """`text` may be a tuple of a text and whatever else decides the result."""
         found = self._kept.get(text)
         if found is None:
             found = self._f(text)
-            size = len(text) if isinstance(text, bytes) else len(text[0])
-            if len(self._kept) >= KEPT_TEXTS or self._size + size > KEPT_BYTES:
+            size, rows = len(text) if isinstance(text, bytes) else len(text[0]), self._weigh(found)
+            if size > KEPT_BYTES or rows > KEPT_ROWS:
+                return found
+            if len(self._kept) >= KEPT_TEXTS or self._size + size > KEPT_BYTES or self._rows + rows > KEPT_ROWS:
                 self._kept.clear()
-                self._size = 0
+                self._size = self._rows = 0
             self._kept[text] = found
             self._size += size
+            self._rows += rows
         return found

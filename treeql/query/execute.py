@@ -25,9 +25,10 @@ _USED = ("doc_id", "node_id", "parent_id", "type", "is_named", "is_error", "is_m
 
 
 def match_rows(doc_id: int, tree: Tree, query: Query, **options) -> list[tuple]:
+    """Rows of `MATCHES`, a capture as a tuple."""
     out = []
     for seq, m in enumerate(run(query, tree, **options)):
-        captures = [{"name": c.name, "node_id": c.node.id, "start_byte": c.node.start, "end_byte": c.node.end, "text": c.override or tree.text(c.node)} for c in m.captures]
+        captures = [(c.name, c.node.id, c.node.start, c.node.end, c.override or tree.text(c.node)) for c in m.captures]
         first = m.captures[0].node.id if m.captures else 0
         out.append((doc_id, seq, m.pattern, first, captures))
     return out
@@ -36,11 +37,16 @@ def match_rows(doc_id: int, tree: Tree, query: Query, **options) -> list[tuple]:
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     *plain, captures = zip(*rows)
     flat = [c for held in captures for c in held]
-    parts = pa.StructArray.from_arrays([pa.array([c[f.name] for c in flat], f.type) for f in _CAPTURE], fields=list(_CAPTURE))
+    parts = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*flat) if flat else [()] * len(_CAPTURE), _CAPTURE)], fields=list(_CAPTURE))
     listed = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, captures))], pa.int32()), parts)
     return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(plain, _ARROW.types)), listed.cast(_ARROW.field("captures").type)], schema=_ARROW)
 
 
+def _weight(rows: list[tuple]) -> int:
+    """How much of a task's memory rows of matches take, in rows of one capture."""
+    return sum(max(1, len(row[4])) for row in rows)
+
+
 def by_document(batches) -> Iterator[tuple[int, list[dict]]]:
     """(doc_id, rows) of sorted batches; holds one document at a time."""
     doc, held = None, []
@@ -114,7 +120,7 @@ def query_sources(docs: DataFrame, lang: str | Callable[[bytes], Tree], query: s
             tell(len(tree.nodes))
             return rows
 
-        once = Once(found)
+        once = Once(found, _weight)
         with collected_by_hand() as tell:
             for batch in batches:
                 rows = []
