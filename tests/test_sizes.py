@@ -1,6 +1,7 @@
 """Plans whose tasks and driver must not grow with their input."""
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import treeql.functions as functions
@@ -9,7 +10,7 @@ from treeql.grammar.samples import parser
 from treeql.operators import navigation as nav
 from treeql.operators import spans
 from treeql.operators.parse import parse
-from treeql.plans import catalogue
+from treeql.plans import catalogue, lookups
 from treeql.sources import walk as sources
 from treeql.sources.walk import Policy, stats, walk
 
@@ -112,3 +113,52 @@ def test_kept_results_are_bounded_by_their_rows(monkeypatch):
         assert len(once(text)) == int(text)
         assert sum(map(len, once._kept.values())) <= 10
     assert calls == [b"4", b"5", b"11", b"11", b"6", b"4"]
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_smallest_nodes_by_batches_as_by_rows(spark, monkeypatch, named):
+    """Whatever a batch holds: parts of documents, ranges alone, documents without nodes or ranges, trees that lack nodes."""
+    texts = ['[1, [2, {"a": [3, {}]}], "x"]', "7", "[[[[[[8]]]]], []]", '{"k":[[],[[]],""]}', "", "[1,"]
+    nodes = parse(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "json").cache()
+    ranges = spark.createDataFrame([(d, s * 100 + e, s, e) for d in range(7) for s in range(31) for e in range(s, 32)], "doc_id long, range_id int, s int, e int").where("doc_id <> 1")
+    by_rows = []
+    climb = nav._climbed
+    for given in (nodes, nodes.where("node_id % 5 <> 3"), nodes.withColumn("last_desc", F.when(F.col("node_id") == 2, 9).otherwise(F.col("last_desc")))):
+        events = [b for b in given.sparkSession.createDataFrame(nav._events(given, ranges).orderBy("doc_id", "at", "kind", "node_id", "end").collect(), nav._events(given, ranges).schema).toArrow().to_batches()]
+        table = pa.Table.from_batches(events).combine_chunks()
+
+        class Given:
+            schema = nav._events(given, ranges).schema
+
+            @staticmethod
+            def mapInArrow(run, ddl):
+                return [[r for b in run(iter(table.to_batches(max_chunksize=n))) for r in zip(*(c.to_pylist() for c in b.columns))] for n in (1, 2, 3, 7, 50, 100_000)]
+
+        monkeypatch.setattr(nav, "_climbed", climb)
+        found = nav._smallest(Given, named)
+        monkeypatch.setattr(nav, "_climbed", lambda *a: None)
+        want = nav._smallest(Given, named)
+        assert found == want and len(want[0]) > 300
+        by_rows.append(want[0])
+    assert by_rows[0] != by_rows[1]
+
+
+def test_batches_of_trees_are_not_read_row_by_row():
+    """Each document's open nodes come from sorting: two documents, the first one of them begun in the batch before."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 1, 2, 2, 2], "kind": pa.array([0, 1, 0, 0, 1], pa.int32()), "node_id": pa.array([5, None, 0, 1, None], pa.int32()), "last_desc": pa.array([5, None, 1, 1, None], pa.int32()), "end": [12, 14, 4, 3, 3], "type": ["item", None, "a", "b", None], "fits": [True, None, True, False, None], "range_id": pa.array([None, 5, None, None, 1], pa.int32())})
+    held = [(9, 20, 0, "top", True), (6, 14, 4, "order", True)]
+    for named, nodes in ((False, [4, 1]), (True, [4, 0])):
+        take, _, node, after = nav._climbed(held, batch, named)
+        assert (take.tolist(), node.tolist(), after) == ([1, 4], nodes, [(1, 4, 0, "a", True), (1, 3, 1, "b", False)])
+
+
+def test_ranges_of_nodes_come_with_their_trees(spark):
+    """Read once for both: as many scans as the nodes alone need, and rows as from a table of ranges."""
+    for name, named in (("descendant_for_range", False), ("named_descendant_for_range", True)):
+        nodes = catalogue.customer_forest(spark, SF)
+        nodes = nodes.withColumn("is_named", F.col("type") != "item") if named else nodes
+        got = catalogue.QUERIES[name](spark, SF)
+        apart = nav.smallest_containing(nodes, lookups._spread_ranges(nodes), named)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, apart.collect()))
+        scans = [plan(df).split("Initial Plan")[-1].count("FileScan") for df in (catalogue.QUERIES[name](spark, SF), nodes)]
+        assert scans[0] <= scans[1]

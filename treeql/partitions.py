@@ -6,6 +6,7 @@ from collections.abc import Callable
 from typing import TypeVar
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 T = TypeVar("T")
 #: Results of so many texts, of so many bytes and so many rows of results together, are kept in a task: the rows of a text may weigh fifty times the text.
@@ -35,10 +36,23 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
 
     Adaptive execution would join partitions by their bytes as shuffled, which are a fraction of their rows in memory. Sizes come from the leaves of the plan, as joins are estimated by products.
     """
+    n = _by_leaves(df)
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
+def _by_leaves(df: DataFrame) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    n = min(sum(s for s in sizes if s < 1 << 50) // SORTED_BYTES, 20_000)
-    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
+    return min(sum(s for s in sizes if s < 1 << 50) // SORTED_BYTES, 20_000)
+
+
+def swept(df: DataFrame) -> DataFrame:
+    """`df` by a hash of its doc_id, for a sweep in Python: in partitions that grow with its files as those of `dealt`; of small tables in as many as adaptive execution finds.
+
+    By a hash of its own: see `query.execute.run_query`.
+    """
+    key, n = F.xxhash64("doc_id"), _by_leaves(df)
+    return df.repartition(n, key) if n > df.sparkSession.sparkContext.defaultParallelism else df.repartition(key)
 
 
 def bound_batches(df: DataFrame, rows: int = 1000, size: int = 8 << 20) -> None:

@@ -33,14 +33,20 @@ query("typed_captures", "SELECT p.doc_id, p.node_id AS parent, p.start AS parent
 )
 
 
+def _spread_range():
+    """(which nodes have one, its start, its end)."""
+    return F.col("type") == "item", F.col("start_byte"), F.col("start_byte") + 1 + F.col("node_id") % 3 * 2
+
+
 def _spread_ranges(n):
     """A range for each item, over up to two of the nodes that follow it."""
-    return n.where("type = 'item'").select("doc_id", F.col("node_id").alias("range_id"), F.col("start_byte").alias("s"), (F.col("start_byte") + 1 + F.col("node_id") % 3 * 2).alias("e"))
+    of, s, e = _spread_range()
+    return n.where(of).select("doc_id", F.col("node_id").alias("range_id"), s.alias("s"), e.alias("e"))
 
 
 _HOLDS = "SELECT r.doc_id, r.node_id AS range_id, arg_max(a.node_id, a.depth) AS node_id, arg_max(a.type, a.depth) AS type FROM nodes r JOIN nodes a ON a.doc_id = r.doc_id AND a.node_id <= r.node_id AND a.last_desc >= r.node_id + r.node_id % 3 WHERE r.type = 'item'"
-query("descendant_for_range", f"{_HOLDS} GROUP BY 1, 2")(lambda n: nav.smallest_containing(n, _spread_ranges(n)))
-query("named_descendant_for_range", f"{_HOLDS} AND a.type <> 'item' GROUP BY 1, 2")(lambda n: nav.smallest_containing(n.withColumn("is_named", F.col("type") != "item"), _spread_ranges(n), named=True))
+query("descendant_for_range", f"{_HOLDS} GROUP BY 1, 2")(lambda n: nav.smallest_containing_own(n, *_spread_range()))
+query("named_descendant_for_range", f"{_HOLDS} AND a.type <> 'item' GROUP BY 1, 2")(lambda n: nav.smallest_containing_own(n.withColumn("is_named", F.col("type") != "item"), *_spread_range(), named=True))
 query("match_root", f"{_HOLDS} GROUP BY 1, 2")(lambda n: nav.match_root(n, _spread_ranges(n)))
 
 # coordinates
