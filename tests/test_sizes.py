@@ -162,3 +162,19 @@ def test_ranges_of_nodes_come_with_their_trees(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, apart.collect()))
         scans = [plan(df).split("Initial Plan")[-1].count("FileScan") for df in (catalogue.QUERIES[name](spark, SF), nodes)]
         assert scans[0] <= scans[1]
+
+
+def test_highlights_are_flattened_where_they_are_found(spark):
+    """No shuffle of captures, and the stretches that a shuffle by document gives; with patterns of lone nodes and with others."""
+    from treeql.grammar.samples import lox_grammar
+    from treeql.operators.code import highlight, highlight_sources, infer_highlight_query
+    from treeql.query.execute import query_sources
+
+    texts = ['fun f(a) { return "é" + a; } // c\nvar v = f(1, nil);', "", None, "var = 1 $ (", 'print "x";', 'print "x";', "// only"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    lone = infer_highlight_query(lox_grammar())
+    for query in (lone, lone + '\n(call_expression (identifier) @function)\n((string) @s (#eq? @s "\\"x\\""))\n(_)+ @any'):
+        found, want = highlight_sources(docs, "lox", query), highlight(query_sources(docs, "lox", query))
+        assert found.columns == want.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+        assert len({r.doc_id for r in found.collect()}) == 5
+    assert plan(catalogue.QUERIES["code_highlights"](spark, SF)).count("MapInArrow") == 1

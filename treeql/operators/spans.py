@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -92,6 +93,23 @@ def flatten(ranges: list[tuple[int, int, str, int, int]]) -> list[tuple[int, int
     return out
 
 
+#: Flattened captures.
+FLAT = "doc_id bigint, start_byte int, end_byte int, capture string, pattern_index int"
+_FLAT = pa.schema([("doc_id", pa.int64()), ("start_byte", pa.int32()), ("end_byte", pa.int32()), ("capture", pa.string()), ("pattern_index", pa.int32())])
+
+
+def flat_batches(found: Iterable[tuple[int, list[tuple[int, int, str]]]]) -> Iterator[pa.RecordBatch]:
+    """Batches of `FLAT` from the stretches (start, end, capture) of each document."""
+    out = []
+    for doc, stretches in found:
+        out.extend((doc, s, e, c, 0) for s, e, c in stretches)
+        if len(out) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _FLAT.types)], schema=_FLAT)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _FLAT.types)], schema=_FLAT)
+
+
 def resolve_highlights(ranges: DataFrame) -> DataFrame:
     """(doc_id, start_byte, end_byte, capture, pattern_index) with overlaps flattened, document by document.
 
@@ -99,22 +117,14 @@ def resolve_highlights(ranges: DataFrame) -> DataFrame:
     """
     seq = F.coalesce(F.col("seq"), F.lit(0)) if "seq" in ranges.columns else F.lit(0)
     rows = ranges.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("start_byte").cast("int").alias("s"), F.col("end_byte").cast("int").alias("e"), "capture", F.col("pattern_index").cast("int").alias("p"), seq.cast("int").alias("q"))
-    schema = pa.schema([("doc_id", pa.int64()), ("start_byte", pa.int32()), ("end_byte", pa.int32()), ("capture", pa.string()), ("pattern_index", pa.int32())])
 
     def sweep(batches):
         from ..query.execute import by_document
 
-        out = []
-        for doc, held in by_document(batches):
-            out.extend((doc, s, e, c, 0) for s, e, c in flatten([(r["s"], r["e"], r["capture"], r["p"], r["q"]) for r in held]))
-            if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), schema.types)], schema=schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+        return flat_batches((doc, flatten([(r["s"], r["e"], r["capture"], r["p"], r["q"]) for r in held])) for doc, held in by_document(batches))
 
     # by a hash of its own: see run_query
-    return rows.repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id").mapInArrow(sweep, "doc_id bigint, start_byte int, end_byte int, capture string, pattern_index int")
+    return rows.repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id").mapInArrow(sweep, FLAT)
 
 
 def to_utf16_ranges(ranges: DataFrame, texts: DataFrame) -> DataFrame:

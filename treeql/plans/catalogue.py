@@ -334,9 +334,9 @@ def code_rewrite(spark, sf_dir):
 @query("code_highlights", "SELECT p_partkey AS doc_id, 'comment' AS capture, CAST(3 + strlen(p_brand) AS BIGINT) AS bytes FROM part UNION ALL SELECT p_partkey, 'string', CAST(2 + strlen('m' || (p_partkey % 9)) + 2 + strlen(p_type) AS BIGINT) FROM part", forest=False)
 def code_highlights(spark, sf_dir):
     from ..grammar.samples import lox_grammar
-    from ..operators.code import highlight, infer_highlight_query
+    from ..operators.code import highlight_sources, infer_highlight_query
 
-    flat = highlight(query_sources(_snippets(spark, sf_dir), "lox", infer_highlight_query(lox_grammar())))
+    flat = highlight_sources(_snippets(spark, sf_dir), "lox", infer_highlight_query(lox_grammar()))
     return flat.where("capture in ('comment', 'string')").groupBy("doc_id", "capture").agg(F.sum(F.col("end_byte") - F.col("start_byte")).cast("long").alias("bytes"))
 
 

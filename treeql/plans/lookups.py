@@ -179,7 +179,7 @@ def updated_highlights(spark, sf_dir):
     from ..grammar.samples import lox_grammar
 
     old, new = _programs(spark, sf_dir)
-    run = lambda texts: code.highlight(query_sources(texts, "lox", code.infer_highlight_query(lox_grammar())))
+    run = lambda texts: code.highlight_sources(texts, "lox", code.infer_highlight_query(lox_grammar()))
     found = update_rows(run(old), old, new, run).where("capture in ('string', 'comment')")
     return sp.to_utf16_ranges(found, new).select("doc_id", "capture", "start_unit", (F.col("end_unit") - F.col("start_unit")).alias("units"))
 

@@ -131,6 +131,11 @@ class Tree:
             self._number()
         return self._root
 
+    @property
+    def top(self) -> Node:
+        """The root as it is, numbered or not."""
+        return self._root
+
     @property
     def nodes(self) -> list[Node]:
         if self._nodes is None:
